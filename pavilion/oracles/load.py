@@ -1,10 +1,10 @@
 """All SQL counterparts in one dict."""
 
-from pavilion.oracles import live, pages
+from pavilion.oracles import live, pages, statistics
 
 
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (live, pages):
+    for part in (live, pages, statistics):
         out.update(part.SQL)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pavilion.functions.measures import (
-    counted, fixed_mean2, fixed_value, largest, mean2, mean_of, rate_of, rows, total,
+    fixed_mean2, fixed_value, largest, mean2, mean_of, rate_of, rows, total,
 )
 from pavilion.registry import query
 from pavilion.sources.star import Star
@@ -23,7 +23,7 @@ def recent_matches(t: Star, *, limit: int = 20) -> DataFrame:
     order = (desc("start_date"), "match_id")
     return t.matches(
         "match_id", "series_name", "team1", "team2", "match_format", "status", "venue", "start_date",
-        pick=lambda m: m.orderBy(*order).limit(limit),
+        pick=lambda m: F.broadcast(m.orderBy(*order).limit(limit)),
     ).orderBy(*order)
 
 
@@ -96,17 +96,15 @@ def series_statistics(t: Star, *, limit: int = 25) -> DataFrame:
 
 @query("L7_batting_by_format", "Batting level per match format")
 def batting_by_format(t: Star) -> DataFrame:
-    # One row per (match, player) leaves the scan side; a format then sums small partial rows.
     measures = [
         *mean_of("runs"), *rate_of("strike_rate"),
         total("total_fours", F.col("fours")), total("total_sixes", F.col("sixes")),
     ]
     facts = t.batting("match_id", "runs", "strike_rate", "fours", "sixes")
-    per_match = facts.groupBy("match_id", t.name_key).agg(*[m.partial() for m in measures])
+    known = t.matches("match_id", "match_format").where("match_format IS NOT NULL")
+    # Summed per (format, player) first: distinct players and the totals then come from few rows.
     per_player = (
-        per_match.join(t.matches("match_id", "match_format").where("match_format IS NOT NULL"), "match_id")
-        .groupBy("match_format", t.name_key)
-        .agg(*[m.merge() for m in measures])
+        facts.join(known, "match_id").groupBy("match_format", t.name_key).agg(*[m.partial() for m in measures])
     )
     return (
         t.with_name(per_player)
@@ -132,11 +130,11 @@ def century_makers(t: Star, *, limit: int = 30, runs: int = 100) -> DataFrame:
     # Rank on stored columns first; names and teams are then looked up for the few rows shown.
     top = (
         facts.where(F.col("runs") >= runs)
-        .join(t.matches("match_id", "match_format", "start_date"), "match_id")
+        .join(t.matches("match_id"), "match_id")
         .orderBy(desc("runs"), "match_id", "innings_id", "batting_position", t.name_key, "balls")
         .limit(limit)
     )
-    return _with_teams(t, t.with_name(top)).select(
+    return with_match(t, t.with_name(F.broadcast(top)), "team1", "team2", "match_format", "start_date").select(
         "player_name", "runs", "balls", F.col("strike_rate").cast("decimal(10,2)").alias("strike_rate"),
         "team1", "team2", "match_format", "start_date",
     ).orderBy(desc("runs"), "player_name", "start_date")
@@ -147,14 +145,14 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
     facts = t.bowling("match_id", "innings_id", "wickets", "runs_conceded", "overs", "economy")
     top = (
         facts.where(F.col("wickets") >= wickets)
-        .join(t.matches("match_id", "match_format"), "match_id")
+        .join(t.matches("match_id"), "match_id")
         .orderBy(
             desc("wickets"), F.asc_nulls_first("economy"), "match_id", "innings_id", t.name_key,
             "overs", "runs_conceded",
         )
         .limit(limit)
     )
-    return _with_teams(t, t.with_name(top)).select(
+    return with_match(t, t.with_name(F.broadcast(top)), "team1", "team2", "match_format").select(
         "player_name", "wickets", "runs_conceded",
         F.col("overs").cast("decimal(10,1)").alias("overs"),
         F.col("economy").cast("decimal(10,2)").alias("economy"),
@@ -162,13 +160,11 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
     ).orderBy(desc("wickets"), F.asc_nulls_first("economy"), "player_name")
 
 
-def _with_teams(t: Star, top: DataFrame) -> DataFrame:
-    """Team names for a limited set of rows: the match ids (at most the limit) go to the scan side."""
-    ids = top.select("match_id").distinct()
-    teams = t.matches(
-        "match_id", "team1", "team2", pick=lambda m: m.join(F.broadcast(ids), "match_id", "left_semi")
+def with_match(t: Star, top: DataFrame, *cols: str) -> DataFrame:
+    """Match columns for the rows of a LIMIT. Those rows are the broadcast side: the limit bounds them."""
+    return t.matches(
+        *top.columns, *cols, pick=lambda m: F.broadcast(m.join(F.broadcast(top), "match_id"))
     )
-    return top.join(teams, "match_id")
 
 
 @query("L10_table_counts", "Row counts of the five main tables")

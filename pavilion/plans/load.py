@@ -2,3 +2,4 @@
 
 import pavilion.plans.live  # noqa: F401
 import pavilion.plans.pages  # noqa: F401
+import pavilion.plans.statistics  # noqa: F401

@@ -37,10 +37,10 @@ def player_list(t: Star, *, limit: int = 200) -> DataFrame:
         .limit(limit)
         .select(
             "player_id", "external_player_id", "player_name",
-            or_na(F.date_format("date_of_birth", "yyyy-MM-dd")).alias("date_of_birth"),
+            or_na(F.col("date_of_birth")).alias("date_of_birth"),
             "country", "role",
             playing_style(F.col("meta")).alias("playing_style"),
-            or_na(F.date_format("created_at", "yyyy-MM-dd HH:mm")).alias("created_at"),
+            or_na(F.substring(F.col("created_at").cast("string"), 1, 16)).alias("created_at"),
         )
     )
 

@@ -72,7 +72,9 @@ def portable(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "decimal" or kind == "float":
             c = c.cast("double")
-        elif kind in ("timestamp", "timestamp_ntz"):
+        elif kind == "timestamp_ntz":
+            c = F.substring(c.cast("string"), 1, 19)  # as stored: no session zone involved
+        elif kind == "timestamp":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")

@@ -58,6 +58,13 @@ class Star:
         """Aggregate a fact per player id, and attach the name."""
         return self.named(fact.groupBy("player_id", *extra).agg(*[m.partial() for m in measures]))
 
+    def at_match(self, fact: DataFrame, *cols: str) -> DataFrame:
+        """Fact rows beside columns of their match."""
+        return fact.join(self.matches("match_id", *cols), "match_id")
+
+    def teams(self, *cols: str) -> DataFrame:
+        raise NotImplementedError
+
     def with_name(self, df: DataFrame) -> DataFrame:
         """Rows that must show a name: attached by id where facts carry ids only."""
         return df if self.name_key == "player_name" else self.named(df)
@@ -71,6 +78,7 @@ class CatalogStar(Star):
     _RENAMES = {
         "players": {"external_player_id": "player_id"},
         "venues": {"external_venue_id": "venue_id"},
+        "teams": {"external_team_id": "team_id"},
         "matches": {"external_match_id": "match_id", "victory_type": "margin_type"},
         "batting_stats": {"external_match_id": "match_id"},
         "bowling_stats": {"external_match_id": "match_id"},
@@ -99,6 +107,9 @@ class CatalogStar(Star):
     def venues(self, *cols: str) -> DataFrame:
         return self._table("venues", cols)
 
+    def teams(self, *cols: str) -> DataFrame:
+        return self._table("teams", cols)
+
     def matches(self, *cols: str, pick: Pick | None = None) -> DataFrame:
         df = self._table("matches", ())
         if pick:
@@ -179,6 +190,18 @@ class OrdersStar(Star):
             df = df.join(self._read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return df.select(*[columns[c].alias(c) for c in wanted])
 
+    def teams(self, *cols: str) -> DataFrame:
+        df = (
+            self._read("nation")
+            .join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(
+                F.col("n_nationkey").cast("bigint").alias("team_id"),
+                F.col("n_name").alias("team_name"),
+                F.col("r_name").alias("country"),
+            )
+        )
+        return df.select(*cols) if cols else df
+
     def venues(self, *cols: str) -> DataFrame:
         df = (
             self._read("supplier")
