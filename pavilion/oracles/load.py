@@ -1,10 +1,10 @@
 """All SQL counterparts in one dict."""
 
-from pavilion.oracles import analysis, live, pages, statistics
+from pavilion.oracles import analysis, ingest, live, pages, statistics
 
 
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (live, pages, statistics, analysis):
+    for part in (live, pages, statistics, analysis, ingest):
         out.update(part.SQL)
     return out

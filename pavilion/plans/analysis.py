@@ -181,7 +181,7 @@ def wins_by_country(t: Star) -> DataFrame:
     )
 
 
-def stands(t: Star, *where: str) -> DataFrame:
+def stands(t: Star) -> DataFrame:
     """Adjacent batting positions of one innings, as distinct (batter, score) pairs.
 
     Equal rows are counted before the join, so a repeated scorecard row costs
@@ -444,15 +444,63 @@ def recent_form(t: Star) -> DataFrame:
     )
 
 
+# Fixed value: runs that make a stand count as a good one.
+GOOD_STAND = 50
+
+
+def _cards(t: Star) -> DataFrame:
+    """One row per innings, position and batter: how often, total, extremes, and counts per score up to GOOD_STAND."""
+    keys = ["innings_id", "batting_position", "player_id"]
+    score = F.least("runs", F.lit(GOOD_STAND)).alias("score")
+    by_score = t.batting(*keys, "runs").groupBy(*keys, score).agg(
+        F.count(F.lit(1)).alias("n"), F.count("runs").alias("k"), F.sum("runs").alias("s"),
+        F.max("runs").alias("hi"), F.min("runs").alias("lo"),
+    )
+    # The list has one entry per score from 0 to GOOD_STAND at most.
+    return by_score.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"),
+        F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.collect_list(F.struct("score", "k")).alias("scores"),
+    )
+
+
 def pair_totals(t: Star, min_times: int) -> DataFrame:
-    """Per pair of adjacent batters: stands, total and best runs, stands of fifty or more."""
-    runs, times = F.col("partnership_runs"), F.col("times")
+    """Per pair of adjacent batters: stands, total and best runs, stands of fifty or more.
+
+    Rows are summed per batter and innings before the join, and a pair's stands
+    follow from the two sums, so repeated rows never multiply into pairs.
+    """
+    cards = _cards(t)
+    values = ("n", "k", "s", "hi", "lo", "scores")
+    first = cards.select(
+        "innings_id", (F.col("batting_position") + 1).alias("next_position"),
+        F.col("player_id").alias("player1_id"), *[F.col(c).alias(f"{c}1") for c in values],
+    )
+    second = cards.select(
+        "innings_id", F.col("batting_position").alias("next_position"),
+        F.col("player_id").alias("player2_id"), *[F.col(c).alias(f"{c}2") for c in values],
+    )
+    mixed = F.aggregate(
+        "scores1", F.lit(0).cast("long"),
+        lambda acc, a: acc + a["k"] * F.aggregate(
+            F.filter("scores2", lambda b: a["score"] + b["score"] >= GOOD_STAND),
+            F.lit(0).cast("long"), lambda got, b: got + b["k"],
+        ),
+    )
+    good = (
+        F.when(F.col("lo1") + F.col("lo2") >= GOOD_STAND, F.col("k1") * F.col("k2"))
+        .when(F.col("hi1") + F.col("hi2") < GOOD_STAND, F.lit(0))
+        .otherwise(mixed)
+    )
+    stats = first.join(second, ["innings_id", "next_position"]).select(
+        "player1_id", "player2_id",
+        (F.col("n1") * F.col("n2")).alias("times"), (F.col("k1") * F.col("k2")).alias("known"),
+        (F.col("s1") * F.col("k2") + F.col("s2") * F.col("k1")).alias("runs"),
+        (F.col("hi1") + F.col("hi2")).alias("best"), good.alias("good"),
+    )
     return (
-        stands(t)
-        .groupBy("player1_id", "player2_id")
-        .agg(F.sum("times").alias("partnership_count"), F.sum(runs * times).alias("_runs"),
-             F.max(runs).alias("highest_partnership"),
-             F.sum(times * flag(runs >= 50)).alias("good_partnerships"))
+        stats.groupBy("player1_id", "player2_id")
+        .agg(F.sum("times").alias("partnership_count"), F.sum("known").alias("_known"), F.sum("runs").alias("_runs"),
+             F.max("best").alias("highest_partnership"), F.sum("good").alias("good_partnerships"))
         .where(F.col("partnership_count") >= min_times)
     )
 
@@ -462,7 +510,7 @@ def partnerships(t: Star, *, min_times: int = 5) -> DataFrame:
     return (
         pair_totals(t, min_times)
         .select(F.col("player1_id").alias("player1"), F.col("player2_id").alias("player2"), "partnership_count",
-                mean(F.col("_runs"), F.col("partnership_count")).alias("avg_partnership_runs"),
+                mean(F.col("_runs"), F.col("_known")).alias("avg_partnership_runs"),
                 "highest_partnership", "good_partnerships")
         .orderBy(desc("avg_partnership_runs"), "player1", "player2")
     )
@@ -478,7 +526,7 @@ def best_partnerships(t: Star, *, min_times: int = 2, limit: int = 20) -> DataFr
     df = df.select(
         F.concat_ws(" & ", "name1", "name2").alias("partnership_pair"),
         F.col("partnership_count").alias("total_partnerships"),
-        mean(F.col("_runs"), F.col("partnership_count")).alias("avg_partnership_runs"),
+        mean(F.col("_runs"), F.col("_known")).alias("avg_partnership_runs"),
         "highest_partnership",
         F.col("good_partnerships").alias("fifty_plus_partnerships"),
         percent(F.col("good_partnerships"), F.col("partnership_count")).alias("success_rate"),

@@ -5,3 +5,4 @@ import pavilion.plans.pages  # noqa: F401
 import pavilion.plans.statistics  # noqa: F401
 import pavilion.plans.analysis  # noqa: F401
 import pavilion.plans.intent  # noqa: F401
+import pavilion.plans.ingest  # noqa: F401
