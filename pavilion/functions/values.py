@@ -69,43 +69,48 @@ def to_epoch_ms(ts: Column) -> Column:
     return days * F.lit(86_400_000) + seconds * F.lit(1000)
 
 
-def _named_in(j: Column) -> list[Column]:
-    return [filled(F.get_json_object(j, f"$.{key}")) for key in TEAM_NAME_KEYS]
+JSON_MAP = "map<string,string>"
 
 
-def _object_name(j: Column) -> Column:
-    nested = [F.get_json_object(j, f"$.{key}") for key in TEAM_NESTED_KEYS]
-    inner = [name for n in nested for name in _named_in(F.when(n.startswith("{"), n))]
-    return F.coalesce(*_named_in(j), *inner)
+def object_map(text: Column) -> Column:
+    """JSON object text as a map of its fields' texts; NULL for anything else."""
+    return F.from_json(F.when(text.startswith("{"), text), JSON_MAP)
 
 
-def team_name(c: Column) -> Column:
+def _first_key(fields: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[filled(fields[k]) for k in keys])
+
+
+def _object_name(fields: Column) -> Column:
+    inner = [_first_key(object_map(fields[k]), TEAM_NAME_KEYS) for k in TEAM_NESTED_KEYS]
+    return F.coalesce(_first_key(fields, TEAM_NAME_KEYS), *inner)
+
+
+def team_name(c: Column, fields: Column | None = None) -> Column:
     """Team name from plain text, or from the JSON text of an object or a list of objects.
 
-    Text that only looks like JSON is returned as it is.
+    Text that only looks like JSON is returned as it is. ``fields`` may hold
+    ``object_map(c)`` when the caller already has it.
     """
     text = filled(c)
-    items = F.from_json(text, "array<string>")
-    in_list = F.get(
-        F.filter(
-            F.transform(items, lambda e: F.when(e.startswith("{"), _object_name(e)).otherwise(filled(e))),
-            lambda n: n.isNotNull(),
-        ),
-        F.lit(0),
+    fields = object_map(text) if fields is None else fields
+    items = F.from_json(F.when(text.startswith("["), text), "array<string>")
+    names = F.transform(
+        F.transform(items, lambda e: F.struct(e.alias("text"), object_map(e).alias("fields"))),
+        lambda i: F.when(i["fields"].isNotNull(), _object_name(i["fields"])).otherwise(filled(i["text"])),
     )
     return (
-        F.when(text.startswith("{") & F.get_json_object(text, "$").isNotNull(), _object_name(text))
-        .when(text.startswith("[") & F.get_json_object(text, "$").isNotNull(), in_list)
+        F.when(fields.isNotNull(), _object_name(fields))
+        .when(items.isNotNull(), F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0)))
         .otherwise(text)
     )
 
 
-def team_id(c: Column) -> Column:
+def team_id(c: Column, fields: Column | None = None) -> Column:
     """Team id from the JSON text of an object, else the scalar as text."""
     text = filled(c)
-    return F.when(
-        text.startswith("{"), F.coalesce(*[filled(F.get_json_object(text, f"$.{k}")) for k in TEAM_ID_KEYS])
-    ).otherwise(text)
+    fields = object_map(text) if fields is None else fields
+    return F.when(fields.isNotNull(), _first_key(fields, TEAM_ID_KEYS)).otherwise(text)
 
 
 def split_venue(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from pavilion.functions.values import NA, epoch_ms, filled, or_na, safe_float, team_id, team_name
+from pavilion.functions.values import NA, epoch_ms, filled, object_map, or_na, safe_float, team_id, team_name
 
 # Scalars are read as text: feeds switch between numbers and strings. Teams and
 # venues are read as text too, since they come as objects, lists or plain names.
@@ -24,11 +24,16 @@ _VENUE = "ground STRING, city STRING, country STRING"
 
 
 def feed_entries(df: DataFrame, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per match entry of the feed documents: type, series, and the raw info and score structs."""
+    """One row per match entry of the feed documents: type, series, and the raw info and score structs.
+
+    Arrays are exploded as outer and NULLs dropped after: a plain explode makes
+    the optimizer add a filter on the array, which would parse the text twice.
+    """
     doc = df.select(*keep, F.from_json(body, FEED_SCHEMA).alias("doc"))
-    types = doc.select(*keep, F.col("doc.responseLastUpdated").alias("feed_time"), F.explode("doc.typeMatches").alias("t"))
-    entries = types.select(*keep, "feed_time", F.col("t.matchType").alias("type_name"), F.explode("t.seriesMatches").alias("e"))
-    entries = entries.where("e.ad IS NULL")
+    types = doc.select(*keep, F.col("doc.responseLastUpdated").alias("feed_time"), F.explode_outer("doc.typeMatches").alias("t"))
+    types = types.where("t IS NOT NULL")
+    entries = types.select(*keep, "feed_time", F.col("t.matchType").alias("type_name"), F.explode_outer("t.seriesMatches").alias("e"))
+    entries = entries.where("e IS NOT NULL AND e.ad IS NULL")
     wrapped = F.col("e.seriesAdWrapper").isNotNull()
     pick = lambda name: F.when(wrapped, F.col(f"e.seriesAdWrapper.{name}")).otherwise(F.col(f"e.{name}"))
     series = entries.select(
@@ -36,8 +41,8 @@ def feed_entries(df: DataFrame, body: str = "body", keep: Sequence[str] = ()) ->
         pick("seriesId").alias("seriesId"), pick("seriesName").alias("seriesName"), pick("matches").alias("matches"),
     )
     return series.select(
-        *keep, "feed_time", "matchType", "seriesId", "seriesName", F.posexplode("matches").alias("position", "m")
-    ).select(
+        *keep, "feed_time", "matchType", "seriesId", "seriesName", F.posexplode_outer("matches").alias("position", "m")
+    ).where("m IS NOT NULL").select(
         *keep, "feed_time", "position", "matchType", "seriesId", "seriesName",
         F.col("m.matchInfo").alias("matchInfo"), F.col("m.matchScore").alias("matchScore"),
     )
@@ -121,16 +126,19 @@ def canonical_match(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         df = df.select("matchInfo.*", *outer)
     at = lambda *names: first_of(df, names)
 
+    # Nested texts are parsed once, into columns of their own.
+    df = df.withColumns({"_team1": at(*TEAM[1]), "_team2": at(*TEAM[2]), "_place": at(*VENUE)})
+    df = df.withColumns({f"{c}_map": object_map(F.col(c)) for c in ("_team1", "_team2", "_place")})
+
     def side(i: int) -> tuple[Column, Column]:
-        team = at(*TEAM[i])
+        team, fields = F.col(f"_team{i}"), F.col(f"_team{i}_map")
         return (
-            F.coalesce(team_name(team), at(*TEAM_FLAT_NAME[i])),
-            F.coalesce(team_id(team), at(*TEAM_FLAT_ID[i])),
+            F.coalesce(team_name(team, fields), at(*TEAM_FLAT_NAME[i])),
+            F.coalesce(team_id(team, fields), at(*TEAM_FLAT_ID[i])),
         )
 
     (name1, id1), (name2, id2) = side(1), side(2)
-    place = at(*VENUE)
-    ground = F.coalesce(*[filled(F.get_json_object(place, f"$.{k}")) for k in VENUE_KEYS])
+    place, ground = F.col("_place"), F.coalesce(*[filled(F.col("_place_map")[k]) for k in VENUE_KEYS])
     return df.select(
         at(*MATCH_ID).alias("match_id"),
         at(*SERIES_ID).alias("series_id"),

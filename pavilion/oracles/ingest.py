@@ -27,6 +27,7 @@ _FLAT = f"""flat AS (
 _CANON = f"""SELECT {_text('match_id')} AS match_id, {_text('series_id')} AS series_id, series_name, match_desc, match_type,
     match_format, {stamp('start_date')} AS start_date, {stamp('end_date')} AS end_date, state, status, team1, team2,
     {_text('team1_id')} AS team1_id, {_text('team2_id')} AS team2_id, venue FROM v_matches"""
+_YEAR = "strftime(make_timestamp(CAST(\"startDate\" AS BIGINT) * 1000), '%Y-01-01 00:00:00')"
 _ODD = "batting_position % 2 = 1"
 
 SQL = {
@@ -92,10 +93,10 @@ SQL = {
         "matchDesc" AS note FROM flat"""),
     "IO1_read_snapshots": sql(f"""
       WITH {_FLAT}
-      SELECT 'recent' AS endpoint, {stamp('make_timestamp(CAST("startDate" AS BIGINT) * 1000)')} AS fetched_at, "matchId",
+      SELECT 'recent' AS endpoint, {_YEAR} AS fetched_at, "matchId",
         "seriesName", status, team1_name, venue, feed_time FROM flat"""),
     "IO2_land_bad_bodies": sql("""
-      SELECT 'scard_' || (match_id % 4) AS endpoint, CAST(429 AS BIGINT) AS status_code,
+      SELECT 'scard' AS endpoint, CAST(match_id AS VARCHAR) AS subject, CAST(429 AS BIGINT) AS status_code,
         '<p>' || status || '</p> ' || match_id AS text FROM v_matches WHERE status IS NOT NULL"""),
     "IO3_tables": sql("""
       SELECT 'players' AS table_name, count(*) AS record_count FROM v_players

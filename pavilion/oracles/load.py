@@ -1,10 +1,11 @@
 """All SQL counterparts in one dict."""
 
-from pavilion.oracles import analysis, ingest, live, pages, statistics
+from pavilion.oracles import analysis, ingest, live, pages, statistics, upkeep
 
 
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (live, pages, statistics, analysis, ingest):
+    for part in (live, pages, statistics, analysis, ingest, upkeep):
         out.update(part.SQL)
+    out["ST1_stream_matches"] = out["IO1_read_snapshots"]  # the stream must give the batch answer
     return out

@@ -184,7 +184,8 @@ def land_bad_bodies(t: Star) -> DataFrame:
     m = t.matches("match_id", "start_date", "status").where("status IS NOT NULL")
     snapshots.land_snapshots(
         m.select(
-            F.concat(F.lit("scard_"), F.col("match_id") % 4).alias("endpoint"), F.col("start_date").alias("fetched_at"),
+            F.lit("scard").alias("endpoint"), F.col("match_id").cast("string").alias("subject"),
+            F.date_trunc("year", "start_date").cast("timestamp_ntz").alias("fetched_at"),
             F.lit(429).alias("status_code"),
             F.concat(F.lit("<p>"), "status", F.lit("</p> "), "match_id").alias("body"),
         ),
@@ -192,7 +193,7 @@ def land_bad_bodies(t: Star) -> DataFrame:
     )
     df = snapshots.read_snapshots(t.spark, path)
     return df.select(
-        "endpoint", F.get_json_object("body", "$.status_code").cast("bigint").alias("status_code"),
+        "endpoint", "subject", F.get_json_object("body", "$.status_code").cast("bigint").alias("status_code"),
         F.get_json_object("body", "$.text").alias("text"),
     )
 

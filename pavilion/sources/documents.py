@@ -16,6 +16,15 @@ def _maybe(cond: Column, value: Column) -> Column:
     return F.when(cond, value)
 
 
+def _document(*parts: Column) -> Column:
+    """JSON text of the parts.
+
+    The condition holds in every partition; being tied to the partition, it keeps
+    the optimizer from merging the making of a document into its parsing.
+    """
+    return F.when(F.spark_partition_id() >= 0, F.to_json(F.struct(*parts)))
+
+
 def feed_documents(t: Star) -> DataFrame:
     """One feed document per match: an ad entry, then the match, with or without the series wrapper."""
     m = t.matches(
@@ -61,14 +70,13 @@ def feed_documents(t: Star) -> DataFrame:
         )
 
     types = F.struct(F.col("match_type").alias("matchType"), F.array(entry(True), entry(False)).alias("seriesMatches"))
-    body = F.to_json(
-        F.struct(
-            F.array(types).alias("typeMatches"),
-            F.struct(F.array(F.col("match_type")).alias("matchType")).alias("filters"),
-            (F.lit(1_700_000_000) + key).cast("string").alias("responseLastUpdated"),
-        )
+    body = _document(
+        F.array(types).alias("typeMatches"),
+        F.struct(F.array(F.col("match_type")).alias("matchType")).alias("filters"),
+        (F.lit(1_700_000_000) + key).cast("string").alias("responseLastUpdated"),
     )
-    return m.select(F.col("start_date").alias("fetched_at"), body.alias("body"))
+    # Fetched once a year: landed folders are per day, and a day is meant to hold many documents.
+    return m.select(F.date_trunc("year", "start_date").cast("timestamp_ntz").alias("fetched_at"), body.alias("body"))
 
 
 def scorecard_documents(t: Star) -> DataFrame:
@@ -107,9 +115,7 @@ def scorecard_documents(t: Star) -> DataFrame:
         F.array(bowler).alias("bowler"),
         _maybe(plain, extras).alias("extras"),
     )
-    body = F.to_json(
-        F.struct(_maybe(plain, F.array(inn)).alias("scorecard"), _maybe(~plain, F.array(inn)).alias("inningsData"))
-    )
+    body = _document(_maybe(plain, F.array(inn)).alias("scorecard"), _maybe(~plain, F.array(inn)).alias("inningsData"))
     return b.select("match_id", body.alias("body"))
 
 
@@ -127,7 +133,7 @@ def innings_documents(t: Star) -> DataFrame:
         details.alias("scoreDetails"),
         F.struct(F.col("wickets").alias("noBalls"), F.lit(0).alias("total")).alias("extrasData"),
     )
-    return i.select("match_id", F.to_json(F.struct(F.array(inn).alias("scoreCard"))).alias("body"))
+    return i.select("match_id", _document(F.array(inn).alias("scoreCard")).alias("body"))
 
 
 def squad_documents(t: Star) -> DataFrame:
@@ -140,5 +146,5 @@ def squad_documents(t: Star) -> DataFrame:
     )
     no_id = lambda c: F.when(F.lit(False), player[c]).alias(c)
     header = F.struct(no_id("id"), F.lit("BATSMEN").alias("name"), no_id("battingStyle"), no_id("bowlingStyle"), no_id("imageId"))
-    body = F.to_json(F.struct(F.array(header, player).alias("player")))
+    body = _document(F.array(header, player).alias("player"))
     return p.select((F.col("player_id") % 25).alias("team_id"), body.alias("body"))

@@ -7,7 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-LANDED = StructType.fromDDL("fetched_at TIMESTAMP_NTZ, status_code INT, body STRING, endpoint STRING, ingest_date DATE")
+# ``endpoint`` is the kind of feed (live, upcoming, recent, scard, squad);
+# ``subject`` the match or team a scorecard or squad belongs to.
+LANDED = StructType.fromDDL(
+    "subject STRING, fetched_at TIMESTAMP_NTZ, status_code INT, body STRING, endpoint STRING, ingest_date DATE"
+)
 
 
 def is_json(body: Column) -> Column:
@@ -15,17 +19,21 @@ def is_json(body: Column) -> Column:
 
 
 def land_snapshots(df: DataFrame, path: str) -> None:
-    """Append ``(endpoint, fetched_at, status_code, body)`` rows as JSON lines, in folders per endpoint and day.
+    """Append ``(endpoint, subject, fetched_at, status_code, body)`` rows as JSON lines per endpoint and day.
 
     A body that is not JSON is kept as an object of its status code and text.
+    Rows are rebalanced by folder first: small folders get one file, big ones
+    are split, and no task writes into every folder.
     """
     kept = F.to_json(F.struct("status_code", F.col("body").alias("text")))
+    subject = F.col("subject") if "subject" in df.columns else F.lit(None).cast("string")
     (
         df.select(
-            "fetched_at", "status_code",
+            subject.alias("subject"), "fetched_at", "status_code",
             F.when(is_json(F.col("body")), F.col("body")).otherwise(kept).alias("body"),
             "endpoint", F.to_date("fetched_at").alias("ingest_date"),
         )
+        .hint("rebalance", "endpoint", "ingest_date")
         .write.mode("append").partitionBy("endpoint", "ingest_date").json(path)
     )
 
@@ -33,14 +41,21 @@ def land_snapshots(df: DataFrame, path: str) -> None:
 def read_snapshots(spark: SparkSession, path: str, endpoint: str | None = None) -> DataFrame:
     """Landed snapshots with their endpoint, fetch time and file; other endpoints' folders are not listed."""
     df = spark.read.schema(LANDED).json(path)
-    df = df.select("endpoint", "fetched_at", "status_code", "body", F.col("_metadata.file_path").alias("source_file"))
+    df = df.select(
+        "endpoint", "subject", "fetched_at", "status_code", "body", F.col("_metadata.file_path").alias("source_file")
+    )
     return df if endpoint is None else df.where(F.col("endpoint") == endpoint)
 
 
 def read_documents(spark: SparkSession, path: str, endpoint: str | None = None) -> DataFrame:
-    """Saved response files, one JSON document each, named after their endpoint (``live.json``)."""
+    """Saved response files, one JSON document each, named after their endpoint.
+
+    ``live.json`` gives endpoint live; ``scard_40.json`` endpoint scard, subject 40.
+    """
+    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
     df = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("endpoint"),
+        F.substring_index(stem, "_", 1).alias("endpoint"),
+        F.nullif(F.regexp_extract(stem, "^[^_]*_(.*)$", 1), F.lit("")).alias("subject"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"),
         F.lit(None).cast("int").alias("status_code"),
         F.col("value").alias("body"),

@@ -18,7 +18,7 @@ _LOG = ("batch_id", "feed")
 
 
 def _log_schema(name: str) -> StructType:
-    return StructType(SCHEMAS[name].fields).add("feed", StringType()).add("batch_id", LongType())
+    return StructType(list(SCHEMAS[name].fields)).add("feed", StringType()).add("batch_id", LongType())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -64,9 +64,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if rule.keep == "first":
         return first_per_key(log, keys, seq).select(*columns)
     # Whole groups: rows of the batch that wrote the key last. The comparison table has one row per key.
-    mark = F.struct(*seq)
-    newest = log.groupBy(*keys).agg(F.max(mark).alias("_newest"))
-    return log.join(newest, keys).where(mark == F.col("_newest")).select(*columns)
+    marked = log.withColumn("_mark", F.struct(*seq))
+    newest = marked.groupBy(*keys).agg(F.max("_mark").alias("_newest"))
+    return marked.join(newest, keys).where("_mark = _newest").select(*columns)
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
