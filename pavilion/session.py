@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 
 # Runtime settings every plan in this package relies on. Skewed join sides are
 # split by AQE even where that costs one more shuffle of the (smaller) result.
+# Generated methods beyond 8000 bytes are never compiled by the JVM, so wide
+# projections (scorecards) are better run as several smaller ones.
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
