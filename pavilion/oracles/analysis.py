@@ -2,7 +2,7 @@ from pavilion.oracles.views import AS_OF, big, half_up, mean, rate, sql, stamp
 
 _B = "v_batting b JOIN v_matches m ON b.match_id = m.match_id"
 _STANDS = """stands AS (
-  SELECT a.innings_id, a.player_id AS player1_id, b.player_id AS player2_id, a.runs AS runs1, b.runs AS runs2,
+  SELECT a.innings_id, a.batting_position AS first_position, a.player_id AS player1_id, b.player_id AS player2_id, a.runs AS runs1, b.runs AS runs2,
     a.runs + b.runs AS partnership_runs
   FROM v_batting a JOIN v_batting b ON a.innings_id = b.innings_id AND a.batting_position + 1 = b.batting_position)"""
 

@@ -198,7 +198,8 @@ def stands(t: Star) -> DataFrame:
         F.col("player_id").alias("player2_id"), F.col("runs").alias("runs2"), F.col("n").alias("n2"),
     )
     return first.join(second, ["innings_id", "next_position"]).select(
-        "innings_id", "player1_id", "player2_id", "runs1", "runs2",
+        "innings_id", (F.col("next_position") - 1).alias("first_position"),
+        "player1_id", "player2_id", "runs1", "runs2",
         (F.col("runs1") + F.col("runs2")).alias("partnership_runs"),
         (F.col("n1") * F.col("n2")).alias("times"),
     )
@@ -207,7 +208,7 @@ def stands(t: Star) -> DataFrame:
 @query("S13_century_stands", "Adjacent batters with a hundred runs or more together in one innings")
 def century_stands(t: Star, *, runs: int = 100) -> DataFrame:
     return stands(t).where(F.col("partnership_runs") >= runs).orderBy(
-        desc("partnership_runs"), "innings_id", "player1_id", "player2_id", "runs1"
+        desc("partnership_runs"), "innings_id", "first_position", "player1_id", "player2_id", "runs1"
     )
 
 

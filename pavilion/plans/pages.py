@@ -22,9 +22,9 @@ BATTING_ORDERS = {
     "innings": "innings_played",
 }
 BOWLING_ORDERS = {
-    "wickets": desc("total_wickets"),
-    "economy": F.asc_nulls_first("avg_economy"),
-    "matches": desc("matches"),
+    "wickets": ("total_wickets", F.desc),
+    "economy": ("avg_economy", F.asc_nulls_first),
+    "matches": ("matches", F.desc),
 }
 
 
@@ -95,7 +95,8 @@ def batting_leaderboard(
 def bowling_leaderboard(
     t: Star, *, order: str = "wickets", limit: int = 20, search: str = "", search_first: bool = False
 ) -> DataFrame:
-    by = [BOWLING_ORDERS[order], F.asc("player_name")]
+    column, direction = BOWLING_ORDERS[order]
+    by = [direction(column), F.asc("player_name")]
     return leaderboard(bowling_totals(t), by, limit=limit, search=search, search_first=search_first)
 
 

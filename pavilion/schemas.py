@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
+)
 
-_DDL = {
+_COLUMNS = {
     "series": """external_series_id STRING, series_name STRING, series_type STRING, start_date TIMESTAMP_NTZ,
         end_date TIMESTAMP_NTZ, country STRING, total_matches INT""",
     "teams": "external_team_id STRING, team_name STRING, country STRING, meta STRING",
@@ -28,9 +30,20 @@ _DDL = {
         runs BIGINT, wickets BIGINT, overs DOUBLE, extras STRING, meta STRING""",
 }
 
+_TYPES = {
+    "STRING": StringType(), "BIGINT": LongType(), "INT": IntegerType(), "DOUBLE": DoubleType(),
+    "DATE": DateType(), "TIMESTAMP_NTZ": TimestampNTZType(),
+}
+
+
+def _schema(columns: str) -> StructType:
+    pairs = (column.split() for column in columns.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 # Every table also carries its surrogate id and the time its row was seen.
 SCHEMAS: dict[str, StructType] = {
-    name: StructType.fromDDL(f"id BIGINT, {ddl}, created_at TIMESTAMP_NTZ") for name, ddl in _DDL.items()
+    name: _schema(f"id BIGINT, {columns}, created_at TIMESTAMP_NTZ") for name, columns in _COLUMNS.items()
 }
 
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 # ``endpoint`` is the kind of feed (live, upcoming, recent, scard, squad);
 # ``subject`` the match or team a scorecard or squad belongs to.
-LANDED = StructType.fromDDL(
-    "subject STRING, fetched_at TIMESTAMP_NTZ, status_code INT, body STRING, endpoint STRING, ingest_date DATE"
-)
+LANDED = "subject STRING, fetched_at TIMESTAMP_NTZ, status_code INT, body STRING, endpoint STRING, ingest_date DATE"
 
 
 def is_json(body: Column) -> Column:
@@ -53,7 +50,7 @@ def read_documents(spark: SparkSession, path: str, endpoint: str | None = None)
     ``live.json`` gives endpoint live; ``scard_40.json`` endpoint scard, subject 40.
     """
     stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    df = spark.read.option("wholetext", True).text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.substring_index(stem, "_", 1).alias("endpoint"),
         F.nullif(F.regexp_extract(stem, "^[^_]*_(.*)$", 1), F.lit("")).alias("subject"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"),
