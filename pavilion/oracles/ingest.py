@@ -104,7 +104,8 @@ SQL = {
       UNION ALL SELECT 'matches', count(*) FROM v_matches
       UNION ALL SELECT 'teams', count(*) FROM nation
       UNION ALL SELECT 'batting_stats', count(*) FROM v_batting
-      UNION ALL SELECT 'bowling_stats', count(*) FROM v_bowling"""),
+      UNION ALL SELECT 'bowling_stats', count(*) FROM v_bowling
+      UNION ALL SELECT 'innings', count(*) FROM v_innings"""),
     "IO4_export_csv": sql("""
       SELECT series_name, count(*) AS total_matches, count(DISTINCT team1) AS unique_teams FROM v_matches
       WHERE series_name IS NOT NULL GROUP BY series_name ORDER BY total_matches DESC, series_name LIMIT 40"""),

@@ -198,9 +198,8 @@ def land_bad_bodies(t: Star) -> DataFrame:
     )
 
 
-@query("IO3_tables", "Create the canonical tables, load them from the star, count their rows")
-def load_tables(t: Star) -> DataFrame:
-    root = work_dir(t.spark, "tables")
+def store(t: Star, root: str) -> tuple[str, ...]:
+    """Write a star into canonical tables; gives back their names."""
     tables.ensure_tables(t.spark, root)
     text = lambda c: F.col(c).cast("string")
     parts = {
@@ -210,10 +209,17 @@ def load_tables(t: Star) -> DataFrame:
         "teams": t.teams().withColumn("external_team_id", text("team_id")),
         "batting_stats": t.with_name(t.batting()).withColumn("external_match_id", text("match_id")),
         "bowling_stats": t.with_name(t.bowling()).withColumn("external_match_id", text("match_id")),
+        "innings": t.innings().withColumn("external_match_id", text("match_id")),
     }
     for name, df in parts.items():
         tables.append_batch(df, root, name, "star", 1)
-    return union_counts([(name, tables.read_table(t.spark, root, name)) for name in parts])
+    return tuple(parts)
+
+
+@query("IO3_tables", "Create the canonical tables, load them from the star, count their rows")
+def load_tables(t: Star) -> DataFrame:
+    root = work_dir(t.spark, "tables")
+    return union_counts([(name, tables.read_table(t.spark, root, name)) for name in store(t, root)])
 
 
 @query("IO4_export_csv", "Export a result as CSV with header and read it back")

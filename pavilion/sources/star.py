@@ -14,7 +14,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pavilion.functions.measures import Measure
+from pavilion.functions.measures import Measure, flag, mean
+from pavilion.functions.values import filled
 
 Pick = Callable[[DataFrame], DataFrame]
 
@@ -71,12 +72,16 @@ class Star:
 
 
 class CatalogStar(Star):
-    """Canonical tables under ``root`` (see ``pavilion.schemas``)."""
+    """Canonical tables under ``root`` (see ``pavilion.schemas``).
+
+    Scorecards name players without an id, so here the name is the identity:
+    ``player_id`` is the player's name in facts and players alike. The id of the
+    feed stays in ``external_player_id``.
+    """
 
     name_key = "player_name"
 
     _RENAMES = {
-        "players": {"external_player_id": "player_id"},
         "venues": {"external_venue_id": "venue_id"},
         "teams": {"external_team_id": "team_id"},
         "matches": {"external_match_id": "match_id", "victory_type": "margin_type"},
@@ -91,18 +96,35 @@ class CatalogStar(Star):
     def _table(self, name: str, cols: Sequence[str]) -> DataFrame:
         from pavilion.sources.tables import read_table
 
-        df = read_table(self.spark, self.root, name).withColumnsRenamed(self._RENAMES[name])
+        df = read_table(self.spark, self.root, name).withColumnsRenamed(self._RENAMES.get(name, {}))
+        if "player_name" in df.columns:
+            df = df.withColumn("player_id", F.col("player_name"))
         return df.select(*cols) if cols else df
 
+    def named(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("player_name", F.col("player_id"))
+
     def players(self, *cols: str) -> DataFrame:
+        """Player rows; career figures are summed from the facts when asked for."""
         df = self._table("players", ())
-        df = df.withColumns(
-            {
-                style: F.coalesce(F.col(style), F.get_json_object("meta", f"$.{style}"))
-                for style in ("batting_style", "bowling_style")
-            }
-        )
-        return df.select(*cols) if cols else df
+        styles = ("batting_style", "bowling_style")
+        df = df.withColumns({c: F.coalesce(filled(F.col(c)), F.get_json_object("meta", f"$.{c}")) for c in styles})
+        wanted = cols or (*df.columns, *CAREER)
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        if {"total_runs", "batting_average"}.intersection(wanted):
+            out = F.col("dismissal").isNotNull() & (F.lower("dismissal") != "not out")
+            bat = self.batting("runs", "dismissal").groupBy("player_id").agg(
+                F.sum("runs").alias("r"), F.sum(flag(out)).alias("o")
+            )
+            bat = bat.select("player_id", F.col("r").alias("_runs"), mean(F.col("r"), F.col("o")).alias("batting_average"))
+            df = df.join(bat, "player_id", "left").withColumn("total_runs", zero(F.col("_runs")))
+        if {"total_wickets", "bowling_average"}.intersection(wanted):
+            bowl = self.bowling("wickets", "runs_conceded").groupBy("player_id").agg(
+                F.sum("wickets").alias("w"), F.sum("runs_conceded").alias("c")
+            )
+            bowl = bowl.select("player_id", F.col("w").alias("_wickets"), mean(F.col("c"), F.col("w")).alias("bowling_average"))
+            df = df.join(bowl, "player_id", "left").withColumn("total_wickets", zero(F.col("_wickets")))
+        return df.select(*wanted)
 
     def venues(self, *cols: str) -> DataFrame:
         return self._table("venues", cols)
@@ -117,15 +139,18 @@ class CatalogStar(Star):
         return df.select(*cols) if cols else df
 
     def batting(self, *cols: str) -> DataFrame:
-        return self._table("batting_stats", _with_key(cols, self.name_key))
+        return self._table("batting_stats", _with_key(_with_key(cols, "player_id"), self.name_key))
 
     def bowling(self, *cols: str) -> DataFrame:
-        return self._table("bowling_stats", _with_key(cols, self.name_key))
+        return self._table("bowling_stats", _with_key(_with_key(cols, "player_id"), self.name_key))
 
     def innings(self, *cols: str) -> DataFrame:
         return self._table("innings", cols)
 
 
+CAREER = ("total_runs", "total_wickets", "batting_average", "bowling_average")
+
+
 def _with_key(cols: Sequence[str], key: str) -> Sequence[str]:
     if not cols or key in cols:
         return cols
