@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pavilion.functions.values import filled  # noqa: F401
+
+# Rows up to which the result of a LIMIT is sent to every task of a join.
+BROADCAST_ROWS = 10_000
+
+
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """Broadcast side of a join when its LIMIT is small; a larger one is left to the adaptive planner."""
+    return F.broadcast(df) if limit <= BROADCAST_ROWS else df
 
 
 def ranked(df: DataFrame, order: list[Column | str], limit: int) -> DataFrame:

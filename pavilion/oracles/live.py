@@ -1,4 +1,4 @@
-from pavilion.oracles.views import big, day, half_up, mean2, rate2, sql, stamp, total_of_rate
+from pavilion.oracles.views import big, day, mean2, rate2, sql, stamp, total_of_rate
 
 _PLAYER = f"""player_id, external_player_id, player_name, {day('date_of_birth')} AS date_of_birth, country, role,
   batting_style, bowling_style, total_runs, total_wickets, batting_average, bowling_average, meta,

@@ -12,8 +12,8 @@ from pavilion.functions.measures import (
     FIXED_SCALE, fixed_mean, flag, mean, mean_of, percent, rate_of, rows, total,
 )
 from pavilion.functions.values import safe_int
-from pavilion.operators.ranking import ranked
-from pavilion.plans.statistics import AS_OF, as_of_date
+from pavilion.operators.ranking import few, ranked
+from pavilion.plans.statistics import AS_OF
 from pavilion.registry import query
 from pavilion.sources.star import Star
 
@@ -64,12 +64,12 @@ def career_runs_and_centuries(t: Star, *, limit: int = 10) -> DataFrame:
     hundreds = (
         t.batting("player_id", "runs")
         .where("runs >= 100")
-        .join(F.broadcast(top.select("player_id")), "player_id", "left_semi")
+        .join(few(top.select("player_id"), limit), "player_id", "left_semi")
         .groupBy("player_id")
         .agg(F.count(F.lit(1)).alias("centuries"))
     )
     return (
-        F.broadcast(top).join(hundreds, "player_id", "left").na.fill(0, ["centuries"])
+        few(top, limit).join(hundreds, "player_id", "left").na.fill(0, ["centuries"])
         .orderBy(*order)
         .select("player_name", "total_runs", "batting_average", "centuries")
     )
@@ -140,7 +140,7 @@ def last_finished(t: Star, *, limit: int = 20) -> DataFrame:
         "match_id", "match_desc", "team1", "team2", "winning_team", "victory_margin", "margin_type",
         "venue_id", "start_date",
     ).where("winning_team IS NOT NULL").orderBy(*order).limit(limit)
-    return F.broadcast(m).join(t.venues("venue_id", "venue_name"), "venue_id", "left").orderBy(*order).drop("venue_id")
+    return few(m, limit).join(t.venues("venue_id", "venue_name"), "venue_id", "left").orderBy(*order).drop("venue_id")
 
 
 @query("S11_runs_across_formats", "Players of two formats or more, with runs per format")

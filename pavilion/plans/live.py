@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pavilion.functions.measures import (
     fixed_mean2, fixed_value, largest, mean2, mean_of, rate_of, rows, total,
 )
+from pavilion.operators.ranking import few
 from pavilion.registry import query
 from pavilion.sources.star import Star
 
@@ -23,7 +24,7 @@ def recent_matches(t: Star, *, limit: int = 20) -> DataFrame:
     order = (desc("start_date"), "match_id")
     return t.matches(
         "match_id", "series_name", "team1", "team2", "match_format", "status", "venue", "start_date",
-        pick=lambda m: F.broadcast(m.orderBy(*order).limit(limit)),
+        pick=lambda m: few(m.orderBy(*order).limit(limit), limit),
     ).orderBy(*order)
 
 
@@ -134,7 +135,7 @@ def century_makers(t: Star, *, limit: int = 30, runs: int = 100) -> DataFrame:
         .orderBy(desc("runs"), "match_id", "innings_id", "batting_position", t.name_key, "balls")
         .limit(limit)
     )
-    return with_match(t, t.with_name(F.broadcast(top)), "team1", "team2", "match_format", "start_date").select(
+    return with_match(t, t.with_name(few(top, limit)), limit, "team1", "team2", "match_format", "start_date").select(
         "player_name", "runs", "balls", F.col("strike_rate").cast("decimal(10,2)").alias("strike_rate"),
         "team1", "team2", "match_format", "start_date",
     ).orderBy(desc("runs"), "player_name", "start_date")
@@ -152,7 +153,7 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
         )
         .limit(limit)
     )
-    return with_match(t, t.with_name(F.broadcast(top)), "team1", "team2", "match_format").select(
+    return with_match(t, t.with_name(few(top, limit)), limit, "team1", "team2", "match_format").select(
         "player_name", "wickets", "runs_conceded",
         F.col("overs").cast("decimal(10,1)").alias("overs"),
         F.col("economy").cast("decimal(10,2)").alias("economy"),
@@ -160,11 +161,9 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
     ).orderBy(desc("wickets"), F.asc_nulls_first("economy"), "player_name")
 
 
-def with_match(t: Star, top: DataFrame, *cols: str) -> DataFrame:
-    """Match columns for the rows of a LIMIT. Those rows are the broadcast side: the limit bounds them."""
-    return t.matches(
-        *top.columns, *cols, pick=lambda m: F.broadcast(m.join(F.broadcast(top), "match_id"))
-    )
+def with_match(t: Star, top: DataFrame, limit: int, *cols: str) -> DataFrame:
+    """Match columns for the rows of a LIMIT, which are the small side of both look-ups."""
+    return t.matches(*top.columns, *cols, pick=lambda m: few(m.join(few(top, limit), "match_id"), limit))
 
 
 @query("L10_table_counts", "Row counts of the five main tables")
