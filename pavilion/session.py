@@ -56,8 +56,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
         "spark.checkpoint.dir", None
     )
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
-        root = _local_root.setdefault(app, tempfile.mkdtemp(prefix="pavilion-"))
+        if app not in _local_root:
+            _local_root[app] = tempfile.mkdtemp(prefix="pavilion-")
+        root = _local_root[app]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
