@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Query name -> module that holds the operator and the query.
 _MODULES = {
     "op4_cube_mix": "source_mix",
+    "op5_language_id": "language",
     "op6_secret_scan": "secrets",
     "op8_byte_bpe": "byte_bpe",
     "op10_block_names": "block_names",
