@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Query name -> module that holds the operator and the query.
 _MODULES = {
+    "op2_simhash_near_dups": "simhash",
     "op4_cube_mix": "source_mix",
     "op5_language_id": "language",
     "op6_secret_scan": "secrets",
