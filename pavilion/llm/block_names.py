@@ -127,10 +127,11 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    named = name_documents(docs, block_bytes)
+    named = staged(name_documents(docs, block_bytes), "named")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     groups = named.groupBy("n_blocks", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    return named.join(groups, ["n_blocks", "name"]).select(
+    # Written first, so that both join sides are plain shuffles and a large group's side can be split.
+    return named.join(staged(groups, "groups"), ["n_blocks", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
 
