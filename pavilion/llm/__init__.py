@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 # Query name -> module that holds the operator and the query.
 _MODULES = {
     "op2_simhash_near_dups": "simhash",
+    "op3_fm_substrings": "fm_index",
     "op4_cube_mix": "source_mix",
     "op5_language_id": "language",
     "op6_secret_scan": "secrets",
+    "op7_radix_windows": "radix_windows",
     "op8_byte_bpe": "byte_bpe",
     "op10_block_names": "block_names",
 }

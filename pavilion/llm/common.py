@@ -93,6 +93,17 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def single_spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space behind each, their starts and ends there, and each row's first word (plus one)."""
+    starts, ends, first = words(data, off)
+    size = ends - starts
+    begin = np.cumsum(size + 1) - size - 1
+    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    letters = data[~_SPACE[data]]
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    return out, begin, begin + size, first
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, in place on a fresh array."""
     x ^= x >> np.uint64(33)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import _SPACE, by_slice, documents, shards, staged, text_bytes, words
+from pavilion.llm.common import by_slice, documents, shards, single_spaced, staged, text_bytes
 from pavilion.llm.components import components
 
 SHINGLE = 3
@@ -43,14 +43,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 def shingle_hashes(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every k-word shingle of every row (lower-case ASCII, one space between words), and each row's number."""
-    starts, ends, first = words(data, off)
-    # One space after each word, nothing else between words.
-    keep = ~_SPACE[data]
-    after = ends[np.isin(ends, off[1:], invert=True)]
-    keep[after] = True
-    norm = np.where(_SPACE[data], np.uint8(32), _LOWER[data])[keep]
-    place = np.cumsum(keep) - 1
-    ns, ne = place[starts], place[ends - 1] + 1
+    norm, ns, ne, first = single_spaced(_LOWER[data], off)
     n_words = np.diff(first)
     n = np.where(n_words == 0, 0, np.maximum(n_words - k + 1, 1))
     begin = np.concatenate([[0], np.cumsum(n)])[:-1]
