@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Query name -> module that holds the operator and the query.
 _MODULES = {
+    "op1_token_counts": "token_counts",
     "op2_simhash_near_dups": "simhash",
     "op3_fm_substrings": "fm_index",
     "op4_cube_mix": "source_mix",
@@ -16,6 +17,7 @@ _MODULES = {
     "op6_secret_scan": "secrets",
     "op7_radix_windows": "radix_windows",
     "op8_byte_bpe": "byte_bpe",
+    "op9_minhash": "minhash",
     "op10_block_names": "block_names",
 }
 
