@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import documents, shards, slices, staged
+from pavilion.llm.common import documents, packed, shards, slices, staged, unpacked
 
 BLOCK_BYTES = 8192
 
@@ -138,12 +138,11 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def keep_first(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input's rows and columns without later copies."""
-    kept = dedup(docs, block_bytes).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mine = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).withColumn("_id", F.col("doc_id"))
-    rows = mine.join(kept.distinct(), mine["_id"].eqNullSafe(kept["_id"]) & (mine["_sha"] == kept["_sha"]), "left_semi")
-    one = Window.partitionBy("_sha", "_id").orderBy("_id")
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    kept = dedup(docs, block_bytes).filter("kept").select("doc_id", "text_sha256").distinct()
+    rows = packed(docs, id=F.col("doc_id"), sha=F.sha2(normalised(F.col("text")), 256))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
+    one = Window.partitionBy("sha", "id").orderBy("id")
+    return unpacked(rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1"))
 
 
 def op10_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:

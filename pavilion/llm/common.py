@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pavilion.session import work_dir
 
@@ -151,5 +151,10 @@ def utf8_starts(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
-def in_order(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.col(n) for n in names])
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each whole row as one column ``row``, beside the keys: no name of the input can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")

@@ -215,13 +215,38 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str
 
 def predict(docs: DataFrame, langs: list[str], theta: np.ndarray, path: str = VOCABULARY) -> DataFrame:
     """doc_id, lang_pred, score (posterior of the predicted language) for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(theta)
+    return docs.select("doc_id", "text").mapInArrow(_scorer(docs.sparkSession, langs, theta, path), PREDICTED)
+
+
+def keep_identified(docs: DataFrame, least: float, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> DataFrame:
+    """The input's rows and columns without those of no identified language: ``und``, or a score below ``least``.
+
+    Rows pass through the scoring as they are, so nothing is joined or shuffled. If no row can be learned from, only rows
+    without a letter go.
+    """
+    langs, theta = fit(docs, most, rounds, path)
+    score = _scorer(docs.sparkSession, langs, theta, path, whole=True)
+
+    def run(batches):
+        for rows, found in score(batches):
+            if langs:
+                keep = (np.array(found["lang_pred"]) != UNKNOWN) & (np.array(found["score"]) >= least)
+            else:
+                keep = np.array([bool(t) and bool(words_of(t)) for t in rows.column("text").to_pylist()])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(spark: SparkSession, langs: list[str], theta: np.ndarray, path: str, whole: bool = False):
+    """A function over Arrow batches: predictions by doc_id, or (``whole``) pairs of rows and their predictions."""
+    shared = spark.sparkContext.broadcast(theta)
 
     def run(batches):
         place: dict[bytes, int] = {}
         scores = np.zeros((0, len(langs)))
 
-        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        def one(part: pa.RecordBatch):
             nonlocal scores
             texts = [words_of(t) if t else [] for t in part.column("text").to_pylist()]
             if len(place) > CACHE_WORDS:
@@ -241,13 +266,15 @@ def predict(docs: DataFrame, langs: list[str], theta: np.ndarray, path: str = VO
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
+            if whole:
+                return part, {"lang_pred": pred, "score": score}
             return pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
 
         yield from by_slice(one)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+    return run
 
 
 def identify(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import by_slice, documents, shards, single_spaced, staged, text_bytes
+from pavilion.llm.common import by_slice, documents, packed, shards, single_spaced, staged, text_bytes, unpacked
 from pavilion.llm.components import components
 
 SHINGLE = 3
@@ -201,11 +201,12 @@ def near_dups(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFr
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The input's rows and columns with one document of each class, the one with the smallest doc_id."""
-    stay = near_dups(docs, k, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    found = near_dups(docs, k, radius)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = packed(docs, id=F.col("doc_id"))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    one = Window.partitionBy("id").orderBy("id")
+    return unpacked(rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1"))
 
 
 def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import by_slice, documents, staged, text_bytes, words
+from pavilion.llm.common import by_slice, documents, packed, staged, text_bytes, unpacked, words
 
 WEIGHTS = (5, 2, 1)  # by the source's place, repeating
 MOST = 3
@@ -180,11 +180,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The input's rows, each as often as the mix takes it."""
-    taken = mix(docs, weights, most).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    # Rows with one doc_id share their copies, the largest count first where rows repeat.
-    once = taken.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    rows = docs.join(once, docs["doc_id"].eqNullSafe(once["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = mix(docs, weights, most).filter("copies > 0")
+    # Rows with one doc_id share their copies, the largest count where they differ.
+    copies = taken.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = packed(docs, id=F.col("doc_id"))
+    rows = rows.join(copies, rows["id"].eqNullSafe(copies["doc_id"]))
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))))
 
 
 def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
