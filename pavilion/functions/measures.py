@@ -2,8 +2,9 @@
 
 Float sums depend on task order, so a re-run after a lost executor could give
 another last digit (and another row at a LIMIT tie). Rates are therefore summed
-as fixed-point longs with four decimals (the feeds carry two), and means are
-one division of two exact integers.
+as whole units of eight decimals, wide enough that no sum overflows, and means
+are one division of two exact integers. A rate that is no finite number counts
+as missing.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-FIXED_SCALE = 10_000
+FIXED_SCALE = 100_000_000
+_LARGEST = 10.0**10  # rates beyond are no rates
 
 
 def fixed(value: Column) -> Column:
-    """Rate as a long in units of 1/10000."""
-    return F.floor(value * FIXED_SCALE + F.lit(0.5))
+    """Rate in whole units of 1 / FIXED_SCALE, as a decimal; NULL when not finite."""
+    units = F.floor(value.cast("double") * FIXED_SCALE + F.lit(0.5))
+    return F.when(F.abs(value.cast("double")) < _LARGEST, units).cast("decimal(20,0)")
 
 
 def fixed_value(total: Column) -> Column:
@@ -33,9 +36,10 @@ def fixed_mean(total: Column, n: Column) -> Column:
 
 
 def half_up(num: Column, den: Column, digits: int = 2) -> Column:
-    """num / den (longs, not negative) rounded half up, by integer arithmetic; NULL when den is 0."""
+    """num / den (whole, not negative) rounded half up, by integer arithmetic; NULL when den is 0."""
     shift = 10**digits
-    units = F.call_function("div", num * F.lit(2 * shift) + den, den * F.lit(2))
+    num, den = num.cast("decimal(28,0)"), den.cast("decimal(28,0)")
+    units = F.call_function("div", num * F.lit(2 * shift) + den, F.nullif(den, F.lit(0)) * F.lit(2))
     return F.when(den != 0, (units.cast("double") / F.lit(shift)).cast(f"decimal(10,{digits})"))
 
 

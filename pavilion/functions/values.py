@@ -25,7 +25,9 @@ def safe_int(c: Column) -> Column:
 
 
 def safe_float(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    """Double, NULL for blank, bad or non-finite text."""
+    value = F.trim(c.cast("string")).try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def overs_value(c: Column) -> Column:
@@ -54,7 +56,12 @@ def epoch_ms(c: Column) -> Column:
     return F.coalesce(_from_millis(millis), text.try_cast("timestamp_ntz"))
 
 
+# First and last millisecond of the years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def _from_millis(ms: Column) -> Column:
+    ms = F.when(ms.between(FIRST_MS, LAST_MS), ms)
     days = F.floor(ms / F.lit(86_400_000))
     rest = (ms - days * F.lit(86_400_000)).cast("double") / F.lit(1000)
     start = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("timestamp_ntz")
@@ -81,36 +88,44 @@ def _first_key(fields: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[filled(fields[k]) for k in keys])
 
 
-def _object_name(fields: Column) -> Column:
-    inner = [_first_key(object_map(fields[k]), TEAM_NAME_KEYS) for k in TEAM_NESTED_KEYS]
-    return F.coalesce(_first_key(fields, TEAM_NAME_KEYS), *inner)
+TEAM_DEPTH = 4  # levels of objects and lists below which a name is looked for
+
+
+def _items(text: Column) -> Column:
+    return F.from_json(F.when(text.startswith("["), text), "array<string>")
+
+
+def _name_below(text: Column, depth: int) -> Column:
+    """Name in the text of a value: of an object, of the first item of a list that has one, or the text itself."""
+    fields = object_map(text)
+    if depth == 0:
+        return F.coalesce(_first_key(fields, TEAM_NAME_KEYS), F.when(~text.rlike(r"^[\[{]"), text))
+    # What lies below, in order: the nested objects, or the items of a list.
+    nested = F.array(*[F.when(filled(fields[k]).startswith("{"), filled(fields[k])) for k in TEAM_NESTED_KEYS])
+    below = F.coalesce(F.when(fields.isNotNull(), nested), F.transform(_items(text), filled))
+    names = F.transform(below, lambda x: _name_below(x, depth - 1))
+    found = F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
+    is_json = fields.isNotNull() | _items(text).isNotNull()
+    return F.when(is_json, F.coalesce(_first_key(fields, TEAM_NAME_KEYS), found)).otherwise(text)
 
 
 def team_name(c: Column, fields: Column | None = None) -> Column:
-    """Team name from plain text, or from the JSON text of an object or a list of objects.
+    """Team name from plain text, or from the JSON text of objects and lists, nested up to ``TEAM_DEPTH`` levels.
 
     Text that only looks like JSON is returned as it is. ``fields`` may hold
     ``object_map(c)`` when the caller already has it.
     """
     text = filled(c)
-    fields = object_map(text) if fields is None else fields
-    items = F.from_json(F.when(text.startswith("["), text), "array<string>")
-    names = F.transform(
-        F.transform(items, lambda e: F.struct(e.alias("text"), object_map(e).alias("fields"))),
-        lambda i: F.when(i["fields"].isNotNull(), _object_name(i["fields"])).otherwise(filled(i["text"])),
-    )
-    return (
-        F.when(fields.isNotNull(), _object_name(fields))
-        .when(items.isNotNull(), F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0)))
-        .otherwise(text)
-    )
+    direct = _first_key(object_map(text) if fields is None else fields, TEAM_NAME_KEYS)
+    plain = F.when(~text.rlike(r"^[\[{]"), text)
+    return F.coalesce(plain, direct, _name_below(text, TEAM_DEPTH))
 
 
 def team_id(c: Column, fields: Column | None = None) -> Column:
-    """Team id from the JSON text of an object, else the scalar as text."""
+    """Team id from the JSON text of an object; a scalar, a list or an object without an id as its text."""
     text = filled(c)
     fields = object_map(text) if fields is None else fields
-    return F.when(fields.isNotNull(), _first_key(fields, TEAM_ID_KEYS)).otherwise(text)
+    return F.coalesce(F.coalesce(*[fields[k] for k in TEAM_ID_KEYS]), text)
 
 
 def split_venue(c: Column) -> Column:

@@ -185,6 +185,8 @@ def team_dim(matches: DataFrame) -> DataFrame:
 
 
 NO_SCORE = "Score not available"
+# Months as shown.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def match_card(flat: DataFrame) -> DataFrame:
@@ -197,8 +199,10 @@ def match_card(flat: DataFrame) -> DataFrame:
         ).otherwise(NO_SCORE)
 
     text = F.col("startDate")
-    # The stamp has no zone; formatting it through the session zone and back is the identity.
-    day = F.when(text.rlike(r"^\d+$"), F.date_format(epoch_ms(text), "dd MMM yyyy, HH:mm")).otherwise(text)
+    stamp = epoch_ms(text).cast("string")  # yyyy-MM-dd HH:mm:ss without a zone; formatting parts of it involves none
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.substring(stamp, 6, 2).try_cast("int"))
+    shown = F.concat(F.substring(stamp, 9, 2), F.lit(" "), month, F.lit(" "), F.substring(stamp, 1, 4), F.lit(", "), F.substring(stamp, 12, 5))
+    day = F.when(text.rlike(r"^\d+$"), F.coalesce(shown, text)).otherwise(text)
     return flat.select(
         F.col("matchId").alias("match_id"),
         F.concat(or_na(F.col("team1_name")), F.lit(" vs "), or_na(F.col("team2_name"))).alias("title"),

@@ -102,6 +102,11 @@ def profile(df: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def row_text(columns: list[str]) -> Column:
+    """All values of a row as one text, NULL as such."""
+    return F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
+
+
 def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
     """First rows by all columns."""
     return df.orderBy(*df.columns).limit(n)

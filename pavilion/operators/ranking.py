@@ -1,19 +1,10 @@
-"""Leaderboards: order, over-fetch, search, cut, rank."""
+"""Leaderboards: order, search, cut, rank."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-# Rows up to which the result of a LIMIT is sent to every task of a join.
-BROADCAST_ROWS = 10_000
-
-
-def few(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast side of a join when its LIMIT is small; a larger one is left to the adaptive planner."""
-    return F.broadcast(df) if limit <= BROADCAST_ROWS else df
-
-
 def ranked(df: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
     """First ``limit`` rows with a 1..n rank. The window sees ``limit`` rows only."""
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -25,17 +16,16 @@ def leaderboard(
     *,
     limit: int = 20,
     search: str = "",
-    search_first: bool = False,
+    search_top: bool = False,
     name: str = "player_name",
 ) -> DataFrame:
     """Top rows by ``order``, optionally only names containing ``search`` (letter case ignored).
 
-    By default the search looks at the top ``2 * limit`` rows only;
-    ``search_first`` looks at all rows.
+    The search looks at all rows; ``search_top`` is the pages' over-fetch form,
+    which looks at the top ``2 * limit`` rows only.
     """
-    hit = F.lower(F.col(name)).contains(search.lower())
-    if search and search_first:
-        df = df.where(hit)
-    elif search:
-        df = df.orderBy(*order).limit(2 * limit).where(hit)
+    if search:
+        if search_top:
+            df = df.orderBy(*order).limit(2 * limit)
+        df = df.where(F.lower(F.col(name)).contains(search.lower()))
     return ranked(df, order, limit)

@@ -80,7 +80,7 @@ SQL = {
       SELECT winning_team, country, count(*) AS wins FROM v_matches m LEFT JOIN v_venues v ON m.venue_id = v.venue_id
       WHERE winning_team IS NOT NULL GROUP BY winning_team, country"""),
     "S13_century_stands": sql(f"""
-      WITH {_STANDS} SELECT *, count(*) AS times FROM stands WHERE partnership_runs >= 100 GROUP BY ALL"""),
+      WITH {_STANDS} SELECT * FROM stands WHERE partnership_runs >= 100"""),
     "S14_bowlers_at_venues": sql(f"""
       SELECT b.player_id, venue_name, count(DISTINCT m.match_id) AS matches_at_venue, {rate('economy')} AS avg_economy,
         {big('sum(b.wickets)')} AS total_wickets
@@ -188,7 +188,7 @@ SQL = {
           CAST(0 AS DOUBLE) AS fielding_points
         FROM bat FULL JOIN bowl USING (match_format, player_name))
       SELECT *, batting_points + bowling_points + fielding_points AS total_points,
-        row_number() OVER (PARTITION BY match_format ORDER BY batting_points + bowling_points + fielding_points DESC, player_name) AS rank
+        rank() OVER (PARTITION BY match_format ORDER BY batting_points + bowling_points + fielding_points DESC) AS rank
       FROM points QUALIFY rank <= 10"""),
     "X6_head_to_head_unordered": _pairs(
         "(SELECT least(team1, team2) AS team1, greatest(team1, team2) AS team2, winning_team, start_date FROM v_matches)"),

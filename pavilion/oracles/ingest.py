@@ -34,10 +34,12 @@ SQL = {
     "NZ1_flat_matches": sql(f"WITH {_FLAT} SELECT * FROM flat"),
     "NZ2_canonical_from_flat": sql(_CANON),
     "NZ2_canonical_from_raw": sql(_CANON),
-    "NZ3_team_names": sql("SELECT match_id, CASE WHEN match_id % 5 < 4 THEN team1 END AS team_name FROM v_matches"),
+    "NZ3_team_names": sql("SELECT match_id, CASE WHEN match_id % 5 < 4 OR match_id % 10 = 9 THEN team1 END AS team_name FROM v_matches"),
     "NZ4_team_ids": sql(f"""
-      SELECT match_id, CASE match_id % 5 WHEN 0 THEN {_text('team1_id')} WHEN 1 THEN {_text('team1_id')} WHEN 3 THEN team1 END AS team_id
-      FROM v_matches WHERE match_id % 5 <> 2"""),
+      SELECT match_id, CASE match_id % 5 WHEN 0 THEN {_text('team1_id')} WHEN 1 THEN {_text('team1_id')}
+        WHEN 2 THEN '[{{}},{{"teamName":"' || team1 || '"}}]' WHEN 3 THEN team1
+        WHEN 4 THEN CASE WHEN match_id % 10 = 9 THEN '[[{{"team":{{"teamId":' || team1_id || ',"teamName":"' || team1 || '"}}}}]]' END END AS team_id
+      FROM v_matches"""),
     "NZ5_timestamps": sql(f"""
       SELECT match_id, CASE WHEN match_id % 4 < 2 THEN {stamp('start_date')} END AS start_date FROM v_matches"""),
     "NZ6_scorecard_batting": sql("""
@@ -97,7 +99,7 @@ SQL = {
         "seriesName", status, team1_name, venue, feed_time FROM flat"""),
     "IO2_land_bad_bodies": sql("""
       SELECT 'scard' AS endpoint, CAST(match_id AS VARCHAR) AS subject, CAST(429 AS BIGINT) AS status_code,
-        '<p>' || status || '</p> ' || match_id AS text FROM v_matches WHERE status IS NOT NULL"""),
+        '<p>' || coalesce(status, '') || '</p> ' || match_id AS text FROM v_matches"""),
     "IO3_tables": sql("""
       SELECT 'players' AS table_name, count(*) AS record_count FROM v_players
       UNION ALL SELECT 'venues', count(*) FROM v_venues
@@ -108,7 +110,7 @@ SQL = {
       UNION ALL SELECT 'innings', count(*) FROM v_innings"""),
     "IO4_export_csv": sql("""
       SELECT series_name, count(*) AS total_matches, count(DISTINCT team1) AS unique_teams FROM v_matches
-      WHERE series_name IS NOT NULL GROUP BY series_name ORDER BY total_matches DESC, series_name LIMIT 40"""),
+      WHERE series_name IS NOT NULL GROUP BY series_name"""),
     "IO5_parametrized_sql": sql("""
       SELECT match_format, count(*) AS wins FROM v_matches WHERE winning_team = 'NATION_7' AND margin <= 40
       GROUP BY match_format"""),

@@ -13,9 +13,9 @@ _BOWL = f"""bowl AS (
   FROM v_bowling WHERE wickets > 0 GROUP BY player_name)"""
 
 
-def _board(cte: str, name: str, order: str, search: str = "", first: bool = False) -> str:
+def _board(cte: str, name: str, order: str, search: str = "", top: bool = False) -> str:
     hit = f"WHERE contains(lower(player_name), '{search.lower()}')" if search else ""
-    if first or not search:
+    if not top:
         src = f"SELECT * FROM {name} {hit} ORDER BY {order}, player_name LIMIT 20"
     else:
         src = f"SELECT * FROM (SELECT * FROM {name} ORDER BY {order}, player_name LIMIT 40) {hit} ORDER BY {order}, player_name LIMIT 20"
@@ -57,7 +57,7 @@ SQL = {
     "P2_batting_board_by_strike_rate": _board(_BAT, "bat", "avg_strike_rate DESC"),
     "P2_batting_board_by_innings": _board(_BAT, "bat", "innings_played DESC"),
     "P2_batting_board_search": _board(_BAT, "bat", "total_runs DESC", "R#00000001"),
-    "P2_batting_board_search_all": _board(_BAT, "bat", "total_runs DESC", "R#00000001", True),
+    "P2_batting_board_search_top": _board(_BAT, "bat", "total_runs DESC", "R#00000001", True),
     "P3_bowling_board": _board(_BOWL, "bowl", "total_wickets DESC"),
     "P3_bowling_board_by_economy": _board(_BOWL, "bowl", "avg_economy NULLS FIRST", "CUSTOMER#00000005"),
     "P3_bowling_board_by_matches": _board(_BOWL, "bowl", "matches DESC"),

@@ -3,6 +3,31 @@ from pavilion.oracles.views import big, day, sql, stamp
 _PEOPLE = "external_player_id, player_name, country, role, batting_style, bowling_style"
 _ROW = "match_id, innings_id, player_id, batting_position, runs, dismissal"
 
+# Tables by name: the view that holds them, and the columns with their types.
+_TABLES = {
+    "players": ("v_players", "player_id bigint, external_player_id string, player_name string, date_of_birth date, country string, "
+                "role string, batting_style string, bowling_style string, total_runs bigint, total_wickets bigint, "
+                "batting_average double, bowling_average double, meta string, created_at timestamp_ntz"),
+    "venues": ("v_venues", "venue_id bigint, venue_name string, city string, country string, capacity bigint"),
+    "teams": ("(SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_name, r_name AS country "
+              "FROM nation JOIN region ON n_regionkey = r_regionkey)", "team_id bigint, team_name string, country string"),
+    "matches": ("v_matches", "match_id bigint, series_id bigint, series_name string, match_type string, match_desc string, "
+                "match_format string, start_date timestamp_ntz, end_date timestamp_ntz, state string, venue_id bigint, venue string, "
+                "margin bigint, margin_type string, victory_margin string, toss_decision string, status string, team1 string, "
+                "team1_id bigint, team2 string, team2_id bigint, toss_winner string, winning_team string"),
+    "batting_stats": ("v_batting", "match_id bigint, innings_id string, player_id bigint, batting_position bigint, runs bigint, "
+                      "balls bigint, fours bigint, sixes bigint, strike_rate double, dismissal string"),
+    "bowling_stats": ("v_bowling", "match_id bigint, innings_id string, player_id bigint, overs double, maidens bigint, "
+                      "runs_conceded bigint, wickets bigint, economy double"),
+    "innings": ("v_innings", "match_id bigint, innings_id string, batting_team string, bowling_team string, runs bigint, "
+                "wickets bigint, overs double"),
+}
+
+
+def _row_text(cols: str) -> str:
+    return "concat_ws(' | ', " + ", ".join(f"coalesce(CAST({x.split()[0]} AS VARCHAR), 'NULL')" for x in cols.split(", ")) + ")"
+
+
 SQL = {
     "UP1_match_upsert": sql(f"""
       SELECT match_id, status, match_format,
@@ -36,7 +61,9 @@ SQL = {
       SELECT external_player_id, player_name, '' AS country, '' AS role, batting_style, bowling_style FROM v_players"""),
     "UP7_patch": sql("""
       SELECT player_id, player_name, country, coalesce(role, 'Batsman') AS role,
-        CASE WHEN total_wickets > 50 THEN total_wickets WHEN role IS NULL THEN 7 ELSE total_runs END AS total_runs, total_wickets
+        CASE WHEN total_wickets > 50 THEN total_wickets WHEN role IS NULL THEN 7 ELSE total_runs END AS total_runs, total_wickets,
+        CASE WHEN total_wickets > 50 THEN CAST(51.25 AS DOUBLE) ELSE batting_average END AS batting_average,
+        CASE WHEN total_wickets > 50 THEN CAST(19.5 AS DOUBLE) ELSE bowling_average END AS bowling_average
       FROM v_players"""),
     "UP8_insert_rows": sql("""
       SELECT count(*) AS n, count(*) AS ids,
@@ -78,12 +105,12 @@ SQL = {
       SELECT count(*) AS total_matches, count(DISTINCT series_name) AS series_count, {stamp('max(start_date)')} AS latest_match
       FROM v_matches"""),
     "DQ5_column_profile": sql(" UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{kind}' AS data_type, count({c}) AS non_null FROM v_matches"
-        for c, kind in (("match_id", "bigint"), ("series_name", "string"), ("start_date", "timestamp_ntz"),
-                        ("status", "string"), ("venue", "string"), ("winning_team", "string"), ("margin", "bigint")))),
-    "DQ6_sample_rows": sql("""
-      SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_name, r_name AS country
-      FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY team_id LIMIT 3"""),
+        f"SELECT '{name}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, count({c}) AS non_null FROM {view}"
+        for name, (view, cols) in _TABLES.items() for c, kind in (x.split() for x in cols.split(", ")))),
+    "DQ6_sample_rows": sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, row FROM (SELECT {_row_text(cols)} AS row FROM {view} "
+        f"ORDER BY {', '.join(x.split()[0] + ' NULLS FIRST' for x in cols.split(', '))} LIMIT 3)"
+        for name, (view, cols) in _TABLES.items())),
     "ST2_sync_tables": sql(f"""
       SELECT 'matches ' || match_format AS part, count(*) AS n, count(DISTINCT team1) AS names, {stamp('max(start_date)')} AS latest
       FROM v_matches GROUP BY match_format

@@ -97,17 +97,17 @@ def mean(col: str, cond: str = "") -> str:
 
 
 def fixed(col: str) -> str:
-    return f"CAST(floor({col} * 10000 + 0.5) AS BIGINT)"
+    return f"CAST(floor({col} * 100000000 + 0.5) AS BIGINT)"
 
 
 def rate(col: str, cond: str = "") -> str:
-    """Mean of a rate by exact sums in units of 1/10000."""
+    """Mean of a rate by exact sums in whole units of eight decimals."""
     keep = f" FILTER ({cond})" if cond else ""
-    return f"(CAST(sum({fixed(col)}){keep} AS DOUBLE) / CAST(count({col}){keep} * 10000 AS DOUBLE))"
+    return f"(CAST(sum({fixed(col)}){keep} AS DOUBLE) / CAST(count({col}){keep} * 100000000 AS DOUBLE))"
 
 
 def rate2(col: str) -> str:
-    return half_up(f"sum({fixed(col)})", f"count({col}) * 10000")
+    return half_up(f"sum({fixed(col)})", f"count({col}) * 100000000")
 
 
 def mean2(col: str) -> str:
@@ -115,7 +115,7 @@ def mean2(col: str) -> str:
 
 
 def total_of_rate(col: str) -> str:
-    return f"(CAST(sum({fixed(col)}) AS DOUBLE) / 10000)"
+    return f"(CAST(sum({fixed(col)}) AS DOUBLE) / 100000000)"
 
 
 def stamp(col: str) -> str:

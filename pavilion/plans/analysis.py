@@ -12,7 +12,7 @@ from pavilion.functions.measures import (
     FIXED_SCALE, fixed_mean, flag, mean, mean_of, percent, rate_of, rows, total,
 )
 from pavilion.functions.values import safe_int
-from pavilion.operators.ranking import few, ranked
+from pavilion.operators.ranking import ranked
 from pavilion.plans.statistics import AS_OF
 from pavilion.registry import query
 from pavilion.sources.star import Star
@@ -64,12 +64,12 @@ def career_runs_and_centuries(t: Star, *, limit: int = 10) -> DataFrame:
     hundreds = (
         t.batting("player_id", "runs")
         .where("runs >= 100")
-        .join(few(top.select("player_id"), limit), "player_id", "left_semi")
+        .join(top.select("player_id"), "player_id", "left_semi")
         .groupBy("player_id")
         .agg(F.count(F.lit(1)).alias("centuries"))
     )
     return (
-        few(top, limit).join(hundreds, "player_id", "left").na.fill(0, ["centuries"])
+        top.join(hundreds, "player_id", "left").na.fill(0, ["centuries"])
         .orderBy(*order)
         .select("player_name", "total_runs", "batting_average", "centuries")
     )
@@ -140,7 +140,7 @@ def last_finished(t: Star, *, limit: int = 20) -> DataFrame:
         "match_id", "match_desc", "team1", "team2", "winning_team", "victory_margin", "margin_type",
         "venue_id", "start_date",
     ).where("winning_team IS NOT NULL").orderBy(*order).limit(limit)
-    return few(m, limit).join(t.venues("venue_id", "venue_name"), "venue_id", "left").orderBy(*order).drop("venue_id")
+    return m.join(t.venues("venue_id", "venue_name"), "venue_id", "left").orderBy(*order).drop("venue_id")
 
 
 @query("S11_runs_across_formats", "Players of two formats or more, with runs per format")
@@ -182,10 +182,10 @@ def wins_by_country(t: Star) -> DataFrame:
 
 
 def stands(t: Star) -> DataFrame:
-    """Adjacent batting positions of one innings, as distinct (batter, score) pairs.
+    """Adjacent batting positions of one innings, one row per pair of scorecard rows.
 
     Equal rows are counted before the join, so a repeated scorecard row costs
-    one row on each side; ``times`` says how often the pair occurs.
+    one row on each side; what is left after a filter is repeated by ``times``.
     """
     keys = ["innings_id", "batting_position", "player_id", "runs"]
     rows_ = t.batting(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -207,7 +207,9 @@ def stands(t: Star) -> DataFrame:
 
 @query("S13_century_stands", "Adjacent batters with a hundred runs or more together in one innings")
 def century_stands(t: Star, *, runs: int = 100) -> DataFrame:
-    return stands(t).where(F.col("partnership_runs") >= runs).orderBy(
+    found = stands(t).where(F.col("partnership_runs") >= runs)
+    every = found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_n", "times")
+    return every.orderBy(
         desc("partnership_runs"), "innings_id", "first_position", "player1_id", "player2_id", "runs1"
     )
 

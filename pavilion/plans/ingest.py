@@ -40,14 +40,14 @@ def canonical_from_raw(t: Star) -> DataFrame:
 
 
 def _team_shapes(t: Star) -> DataFrame:
-    """First team of each match in one of five shapes."""
+    """First team of each match in one of six shapes."""
     m = t.matches("match_id", "team1", "team1_id")
     key, name, number = F.col("match_id"), F.col("team1"), F.col("team1_id")
     plain = F.struct(number.alias("teamId"), name.alias("teamName"))
     nested = F.struct(number.alias("id"), F.struct(F.lit("").alias("name"), name.alias("shortName")).alias("teamInfo"))
     listed = F.array(F.struct(F.lit(None).cast("string").alias("teamName")), F.struct(name.alias("teamName")))
     value = (
-        F.when(key % 5 == 0, F.to_json(plain)).when(key % 5 == 1, F.to_json(nested))
+        F.when(key % 10 == 9, F.to_json(F.array(F.array(F.struct(plain.alias("team")))))).when(key % 5 == 0, F.to_json(plain)).when(key % 5 == 1, F.to_json(nested))
         .when(key % 5 == 2, F.to_json(listed)).when(key % 5 == 3, F.concat(F.lit("  "), name, F.lit(" ")))
     )
     return m.select("match_id", value.alias("team"))
@@ -60,8 +60,7 @@ def team_names(t: Star) -> DataFrame:
 
 @query("NZ4_team_ids", "Team id from an object, else the scalar as text")
 def team_ids(t: Star) -> DataFrame:
-    shapes = _team_shapes(t).where("team IS NULL OR NOT startswith(team, '[')")
-    return shapes.select("match_id", team_id(F.col("team")).alias("team_id"))
+    return _team_shapes(t).select("match_id", team_id(F.col("team")).alias("team_id"))
 
 
 @query("NZ5_timestamps", "Epoch milliseconds, date text and bad text to timestamps")
@@ -71,7 +70,7 @@ def timestamps(t: Star) -> DataFrame:
     text = (
         F.when(key % 4 == 0, to_epoch_ms(stamp).cast("string"))
         .when(key % 4 == 1, F.substring(stamp.cast("string"), 1, 19))
-        .when(key % 4 == 2, "not a date").otherwise("")
+        .when(key % 8 == 2, "not a date").when(key % 8 == 6, "9000000000000000000").otherwise("")
     )
     return m.select("match_id", epoch_ms(text).alias("start_date"))
 
@@ -124,7 +123,7 @@ def lenient_numbers(t: Star) -> DataFrame:
     b = t.batting("match_id", "innings_id", "player_id", "batting_position", "runs", "strike_rate")
     pos = F.col("batting_position")
     whole = F.when(pos == 1, "").when(pos == 2, "n/a").when(pos == 3, F.concat(F.lit(" "), "runs", F.lit(".0"))).otherwise(F.col("runs").cast("string"))
-    real = F.when(pos == 1, " ").when(pos == 2, "1,5").otherwise(F.col("strike_rate").cast("string"))
+    real = F.when(pos == 1, "Infinity").when(pos == 2, "NaN").otherwise(F.col("strike_rate").cast("string"))
     return b.select(
         "match_id", "innings_id", "player_id", "batting_position", safe_int(whole).alias("runs"),
         safe_float(real).alias("strike_rate"),
@@ -181,13 +180,13 @@ def land_and_read(t: Star) -> DataFrame:
 @query("IO2_land_bad_bodies", "Landing keeps bodies that are not JSON as status and text")
 def land_bad_bodies(t: Star) -> DataFrame:
     path = work_dir(t.spark, "snapshots")
-    m = t.matches("match_id", "start_date", "status").where("status IS NOT NULL")
+    m = t.matches("match_id", "start_date", "status")
     snapshots.land_snapshots(
         m.select(
             F.lit("scard").alias("endpoint"), F.col("match_id").cast("string").alias("subject"),
             F.date_trunc("year", "start_date").cast("timestamp_ntz").alias("fetched_at"),
             F.lit(429).alias("status_code"),
-            F.concat(F.lit("<p>"), "status", F.lit("</p> "), "match_id").alias("body"),
+            F.concat(F.lit("<p>"), F.coalesce("status", F.lit("")), F.lit("</p> "), "match_id").alias("body"),
         ),
         path,
     )
@@ -224,7 +223,7 @@ def load_tables(t: Star) -> DataFrame:
 
 @query("IO4_export_csv", "Export a result as CSV with header and read it back")
 def export(t: Star) -> DataFrame:
-    path = snapshots.export_csv(series_statistics(t, limit=40), work_dir(t.spark, "export"), "Series Statistics")
+    path = snapshots.export_csv(series_statistics(t, limit=None), work_dir(t.spark, "export"), "Series Statistics")
     return t.spark.read.option("header", True).csv(path).select(
         "series_name", F.col("total_matches").cast("bigint").alias("total_matches"),
         F.col("unique_teams").cast("bigint").alias("unique_teams"),

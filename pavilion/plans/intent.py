@@ -125,7 +125,7 @@ def format_ranking(t: Star, *, top: int = 10) -> DataFrame:
         .groupBy("match_format", "player_name").agg(F.count(F.lit(1)).alias("caught"))
     )
     keys = ["match_format", "player_name"]
-    both = bat.join(bowl, keys, "full_outer").join(field, keys, "left")
+    both = bat.join(bowl, keys, "full_outer").join(field, keys, "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     batting = (
         zero(F.col("runs_sum").cast("double")) * F.lit(RUN_POINTS)
@@ -139,11 +139,11 @@ def format_ranking(t: Star, *, top: int = 10) -> DataFrame:
         *keys, batting.alias("batting_points"), bowling.alias("bowling_points"),
         (F.coalesce("caught", F.lit(0)) * F.lit(float(FIELDING_POINTS))).alias("fielding_points"),
     ).withColumn("total_points", F.col("batting_points") + F.col("bowling_points") + F.col("fielding_points"))
-    # The rank filter keeps `top` rows per format and map task before the shuffle.
-    best = Window.partitionBy("match_format").orderBy(desc("total_points"), "player_name")
+    # The rank filter keeps the best of each format and map task before the shuffle; players tied at the cut all stay.
+    best = Window.partitionBy("match_format").orderBy(desc("total_points"))
     return (
-        scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        .orderBy("match_format", "rank")
+        scored.withColumn("rank", F.rank().over(best).cast("long")).where(F.col("rank") <= top)
+        .orderBy("match_format", "rank", "player_name")
     )
 
 

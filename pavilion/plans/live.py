@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from pavilion.functions.measures import (
     fixed_mean2, fixed_value, largest, mean2, mean_of, rate_of, rows, total,
 )
-from pavilion.operators.ranking import few
 from pavilion.registry import query
 from pavilion.sources.star import Star
 
@@ -24,7 +23,7 @@ def recent_matches(t: Star, *, limit: int = 20) -> DataFrame:
     order = (desc("start_date"), "match_id")
     return t.matches(
         "match_id", "series_name", "team1", "team2", "match_format", "status", "venue", "start_date",
-        pick=lambda m: few(m.orderBy(*order).limit(limit), limit),
+        pick=lambda m: m.orderBy(*order).limit(limit),
     ).orderBy(*order)
 
 
@@ -79,8 +78,9 @@ def matches_by_format(t: Star) -> DataFrame:
 
 
 @query("L6_series_statistics", "Matches, teams and date span per series")
-def series_statistics(t: Star, *, limit: int = 25) -> DataFrame:
-    return (
+def series_statistics(t: Star, *, limit: int | None = 25) -> DataFrame:
+    """``limit=None`` gives every series."""
+    out = (
         t.matches("series_name", "team1", "start_date")
         .where("series_name IS NOT NULL")
         .groupBy("series_name")
@@ -91,8 +91,8 @@ def series_statistics(t: Star, *, limit: int = 25) -> DataFrame:
             F.max("start_date").alias("last_match"),
         )
         .orderBy(desc("total_matches"), "series_name")
-        .limit(limit)
     )
+    return out if limit is None else out.limit(limit)
 
 
 @query("L7_batting_by_format", "Batting level per match format")
@@ -135,7 +135,7 @@ def century_makers(t: Star, *, limit: int = 30, runs: int = 100) -> DataFrame:
         .orderBy(desc("runs"), "match_id", "innings_id", "batting_position", t.name_key, "balls")
         .limit(limit)
     )
-    return with_match(t, t.with_name(few(top, limit)), limit, "team1", "team2", "match_format", "start_date").select(
+    return with_match(t, t.with_name(top), limit, "team1", "team2", "match_format", "start_date").select(
         "player_name", "runs", "balls", F.col("strike_rate").cast("decimal(10,2)").alias("strike_rate"),
         "team1", "team2", "match_format", "start_date",
     ).orderBy(desc("runs"), "player_name", "start_date")
@@ -153,7 +153,7 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
         )
         .limit(limit)
     )
-    return with_match(t, t.with_name(few(top, limit)), limit, "team1", "team2", "match_format").select(
+    return with_match(t, t.with_name(top), limit, "team1", "team2", "match_format").select(
         "player_name", "wickets", "runs_conceded",
         F.col("overs").cast("decimal(10,1)").alias("overs"),
         F.col("economy").cast("decimal(10,2)").alias("economy"),
@@ -163,7 +163,7 @@ def five_wicket_hauls(t: Star, *, limit: int = 25, wickets: int = 5) -> DataFram
 
 def with_match(t: Star, top: DataFrame, limit: int, *cols: str) -> DataFrame:
     """Match columns for the rows of a LIMIT, which are the small side of both look-ups."""
-    return t.matches(*top.columns, *cols, pick=lambda m: few(m.join(few(top, limit), "match_id"), limit))
+    return t.matches(*top.columns, *cols, pick=lambda m: m.join(top, "match_id"))
 
 
 @query("L10_table_counts", "Row counts of the five main tables")

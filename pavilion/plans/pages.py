@@ -86,18 +86,18 @@ def bowling_totals(t: Star) -> DataFrame:
 
 
 def batting_leaderboard(
-    t: Star, *, order: str = "runs", limit: int = 20, search: str = "", search_first: bool = False
+    t: Star, *, order: str = "runs", limit: int = 20, search: str = "", search_top: bool = False
 ) -> DataFrame:
     by = [desc(BATTING_ORDERS[order]), F.asc("player_name")]
-    return leaderboard(batting_totals(t), by, limit=limit, search=search, search_first=search_first)
+    return leaderboard(batting_totals(t), by, limit=limit, search=search, search_top=search_top)
 
 
 def bowling_leaderboard(
-    t: Star, *, order: str = "wickets", limit: int = 20, search: str = "", search_first: bool = False
+    t: Star, *, order: str = "wickets", limit: int = 20, search: str = "", search_top: bool = False
 ) -> DataFrame:
     column, direction = BOWLING_ORDERS[order]
     by = [direction(column), F.asc("player_name")]
-    return leaderboard(bowling_totals(t), by, limit=limit, search=search, search_first=search_first)
+    return leaderboard(bowling_totals(t), by, limit=limit, search=search, search_top=search_top)
 
 
 @query("P2_batting_board", "Batting leaderboard by total runs")
@@ -120,14 +120,14 @@ def batting_board_innings(t: Star, *, limit: int = 20) -> DataFrame:
     return batting_leaderboard(t, order="innings", limit=limit)
 
 
-@query("P2_batting_board_search", "Name search inside the top 2N of the batting leaderboard")
+@query("P2_batting_board_search", "Name search over all players, then the top N")
 def batting_board_search(t: Star, *, search: str = "R#00000001", limit: int = 20) -> DataFrame:
     return batting_leaderboard(t, search=search, limit=limit)
 
 
-@query("P2_batting_board_search_all", "Name search over all players, then the top N")
-def batting_board_search_all(t: Star, *, search: str = "R#00000001", limit: int = 20) -> DataFrame:
-    return batting_leaderboard(t, search=search, limit=limit, search_first=True)
+@query("P2_batting_board_search_top", "Name search inside the top 2N of the batting leaderboard, as the pages over-fetch")
+def batting_board_search_top(t: Star, *, search: str = "R#00000001", limit: int = 20) -> DataFrame:
+    return batting_leaderboard(t, search=search, limit=limit, search_top=True)
 
 
 @query("P3_bowling_board", "Bowling leaderboard by wickets")
@@ -135,7 +135,7 @@ def bowling_board(t: Star, **options) -> DataFrame:
     return bowling_leaderboard(t, **options)
 
 
-@query("P3_bowling_board_by_economy", "Bowling leaderboard by lowest economy, with a name search in the top 2N")
+@query("P3_bowling_board_by_economy", "Bowling leaderboard by lowest economy, with a name search")
 def bowling_board_economy(t: Star, *, search: str = "CUSTOMER#00000005", limit: int = 20) -> DataFrame:
     return bowling_leaderboard(t, order="economy", search=search, limit=limit)
 

@@ -114,19 +114,30 @@ def squad_by_name(t: Star) -> DataFrame:
     return keep_up.upsert(_players_before(t), batch, ["player_name"], keep=["external_player_id"])
 
 
+# The player columns a patch may set.
+PATCHABLE = (
+    "player_name", "country", "role", "batting_style", "bowling_style", "total_runs", "total_wickets", "batting_average",
+    "bowling_average",
+)
+
+
 @query("UP7_patch", "Players after keyed patches of allowed columns")
 def patch_players(t: Star) -> DataFrame:
-    p = t.players("player_id", "player_name", "country", "role", "total_runs", "total_wickets")
+    p = t.players(
+        "player_id", "player_name", "country", "role", "total_runs", "total_wickets", "batting_average", "bowling_average"
+    )
     no_role = p.where("role IS NULL")
     one = no_role.select(
         "player_id", F.lit(1).alias("seq"),
         F.create_map(F.lit("role"), F.lit("Batsman"), F.lit("total_runs"), F.lit("7"), F.lit("no_such"), F.lit("x")).alias("changes"),
     )
     two = p.where("total_wickets > 50").select(
-        "player_id", F.lit(2).alias("seq"), F.create_map(F.lit("total_runs"), F.col("total_wickets").cast("string")).alias("changes")
+        "player_id", F.lit(2).alias("seq"), F.create_map(
+            F.lit("total_runs"), F.col("total_wickets").cast("string"), F.lit("batting_average"), F.lit("51.25"),
+            F.lit("bowling_average"), F.lit("19.5"),
+        ).alias("changes")
     )
-    allowed = ("player_name", "country", "role", "batting_style", "bowling_style", "total_runs", "total_wickets")
-    return keep_up.patch(p, one.unionByName(two), "player_id", allowed, ["seq"])
+    return keep_up.patch(p, one.unionByName(two), "player_id", PATCHABLE, ["seq"])
 
 
 @query("UP8_insert_rows", "Rows added with fresh dense keys after the highest one")
@@ -206,13 +217,26 @@ def match_coverage(t: Star) -> DataFrame:
     )
 
 
-@query("DQ5_column_profile", "Name, type and non-null count of every match column")
-def column_profile(t: Star) -> DataFrame:
-    return quality.profile(
-        t.matches("match_id", "series_name", "start_date", "status", "venue", "winning_team", "margin")
-    )
+def _tables(t: Star) -> dict[str, DataFrame]:
+    return {
+        "players": t.players(), "venues": t.venues(), "teams": t.teams(), "matches": t.matches(),
+        "batting_stats": t.batting(), "bowling_stats": t.bowling(), "innings": t.innings(),
+    }
 
 
-@query("DQ6_sample_rows", "Three rows of the team table")
-def sample_teams(t: Star, *, limit: int = 3) -> DataFrame:
-    return quality.sample_rows(t.teams("team_id", "team_name", "country"), limit)
+@query("DQ5_column_profile", "Name, type and non-null count of every column of every table")
+def column_profile(t: Star) -> DataFrame:
+    out = None
+    for name, df in _tables(t).items():
+        one = quality.profile(df).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("DQ6_sample_rows", "Three rows of every table, each as text")
+def sample_tables(t: Star, *, limit: int = 3) -> DataFrame:
+    out = None
+    for name, df in _tables(t).items():
+        rows = quality.sample_rows(df, limit).select(F.lit(name).alias("table_name"), quality.row_text(df.columns).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

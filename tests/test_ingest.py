@@ -31,9 +31,19 @@ def test_team_name_shapes(spark):
     ]
 
 
+def test_team_name_below_lists_and_objects(spark):
+    values = ['{"team":{"teamInfo":{"name":"Deep"}}}', '[["x"]]', '[[], [{"team": {"teamName": "In"}}]]', '{"teamInfo": {"x": 1}}', "[]"]
+    assert column(spark, values, team_name) == ["Deep", "x", "In", None, None]
+
+
+def test_values_no_job_may_stop_at(spark):
+    assert column(spark, ["9000000000000000000", "-9000000000000000000", "1e300", "NaN"], epoch_ms) == [None] * 4
+    assert column(spark, ["Infinity", "-Infinity", "NaN", "1.5"], safe_float) == [None, None, None, 1.5]
+
+
 def test_team_id_shapes(spark):
     values = ['{"teamId": 7}', '{"id": "a"}', '{"external_team_id": 3}', " 12 ", '{"x": 1}', "", None]
-    assert column(spark, values, team_id) == ["7", "a", "3", "12", None, None, None]
+    assert column(spark, values, team_id) == ["7", "a", "3", "12", '{"x": 1}', None, None]
 
 
 def test_numbers_and_overs(spark):

@@ -5,8 +5,11 @@ import pytest
 import __spark_entry__ as entry
 from oracle_compare import compare, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from pavilion import registry
+from pavilion.oracles import load as oracles
+
+QUERIES = {name: entry.queries()[name] for name in registry.catalogue()}
+ORACLES = oracles.statements()
 
 
 def test_every_query_has_a_counterpart():
