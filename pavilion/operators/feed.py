@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from pavilion.functions.values import NA, epoch_ms, filled, object_map, or_na, safe_float, team_id, team_name
+from pavilion.operators.maintenance import last_per_key
 
 # Scalars are read as text: feeds switch between numbers and strings. Teams and
 # venues are read as text too, since they come as objects, lists or plain names.
@@ -159,29 +160,30 @@ def canonical_match(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def written(matches: DataFrame) -> list[str]:
+    """The columns that tell when a row was written, those that are there."""
+    return [c for c in ("fetched_at", "feed_time") if c in matches.columns]
+
+
 def series_dim(matches: DataFrame) -> DataFrame:
-    """Series of canonical match rows; ids that are missing or not numeric are dropped."""
-    key = F.col("series_id").try_cast("bigint")
-    return (
-        matches.select(key.alias("series_id"), "series_name").where("series_id IS NOT NULL")
-        .groupBy("series_id").agg(F.max("series_name").alias("series_name"))
-    )
+    """Series of canonical match rows, the last written name of each; ids that are missing or not numeric are dropped."""
+    key, seq = F.col("series_id").try_cast("bigint"), written(matches)
+    return last_per_key(matches.select(key.alias("series_id"), "series_name", *seq), ["series_id"], seq).drop(*seq)
 
 
 def team_dim(matches: DataFrame) -> DataFrame:
-    """Teams of canonical match rows, both sides; ids that are missing or not numeric are dropped."""
+    """Teams of canonical match rows, both sides, the last written name; ids that are missing or not numeric are dropped."""
+    seq = written(matches)
     sides = matches.select(
-        F.explode(
+        *seq, F.explode(
             F.array(
                 F.struct(F.col("team1_id").alias("id"), F.col("team1").alias("team_name")),
                 F.struct(F.col("team2_id").alias("id"), F.col("team2").alias("team_name")),
             )
         ).alias("s")
     )
-    return (
-        sides.select(F.col("s.id").try_cast("bigint").alias("team_id"), "s.team_name").where("team_id IS NOT NULL")
-        .groupBy("team_id").agg(F.max("team_name").alias("team_name"))
-    )
+    named = sides.select(F.col("s.id").try_cast("bigint").alias("team_id"), "s.team_name", *seq)
+    return last_per_key(named, ["team_id"], seq).drop(*seq)
 
 
 NO_SCORE = "Score not available"

@@ -17,19 +17,20 @@ def _has_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
-def _one_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str], pick) -> DataFrame:
+def _one_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str], order) -> DataFrame:
     others = [c for c in df.columns if c not in keys and c not in seq]
-    # Ordering by the whole row after `seq` makes ties come out the same on every run.
-    row = pick(F.struct(*seq, *others)).alias("_row")
-    return _has_keys(df, keys).groupBy(*keys).agg(row).select(*keys, "_row.*")
+    # Ordering by the other columns after `seq` makes ties come out the same on every run. Map tasks keep one row per
+    # key before the shuffle (a rank limit), so a key that is written very often does not pile up.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[order(c) for c in (*seq, *others)]))
+    return _has_keys(df, keys).withColumn("_place", place).where("_place = 1").select(*keys, *seq, *others)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str] = ()) -> DataFrame:
-    return _one_per_key(df, keys, seq, F.max)
+    return _one_per_key(df, keys, seq, F.desc_nulls_last)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str] = ()) -> DataFrame:
-    return _one_per_key(df, keys, seq, F.min)
+    return _one_per_key(df, keys, seq, F.asc_nulls_first)
 
 
 def upsert(

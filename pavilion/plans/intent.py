@@ -69,7 +69,8 @@ def home_and_away(t: Star) -> DataFrame:
             )
         ).alias("s"),
     ).select("venue_id", "winning_team", "n", "s.team", "s.other")
-    lands = t.teams("team_name", "country")
+    # Matches name their teams, so two team ids of one name are one team here.
+    lands = t.teams("team_name", "country").groupBy("team_name").agg(F.min("country").alias("country"))
     land_of = lambda team, land: lands.select(F.col("team_name").alias(team), F.col("country").alias(land))
     sides = (
         sides.join(t.venues("venue_id", "country"), "venue_id", "left")

@@ -7,23 +7,22 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings every plan in this package relies on. Skewed join sides are
-# split by AQE even where that costs one more shuffle of the (smaller) result.
-# Generated methods beyond 8000 bytes are never compiled by the JVM, so wide
-# projections (scorecards) are better run as several smaller ones.
+# Settings every plan in this package relies on. Skewed join sides are split by
+# AQE even where that costs one more shuffle of the (smaller) result.
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Turn on the adaptive settings for this session."""
+    """The session with the adaptive settings on; what its owner has set stays as it is."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in _RUNTIME.items():
-        spark.conf.set(key, value)
+        if key not in given and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

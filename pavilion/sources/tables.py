@@ -1,24 +1,29 @@
-"""Canonical tables as parquet change logs.
+"""Canonical tables as parquet change logs with a resolved snapshot.
 
 ``root/<table>/feed=<name>/batch_id=<n>`` holds the rows one feed wrote in one
 batch. Writing a batch again replaces exactly that folder, so a batch replayed
 after a failure leaves no trace, and no table is rewritten to change some rows.
-Reading resolves the log to current rows by the rule of the table.
+``compact`` writes the current rows as the snapshot of a new root. A table of
+which only a snapshot exists is read plainly; otherwise only the keys that newer
+batches touch are resolved, by the rule of the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructType, TimestampNTZType
 
 from pavilion.operators.maintenance import first_per_key, last_per_key
 from pavilion.schemas import RULES, SCHEMAS
 
-_LOG = ("batch_id", "feed")
+SNAPSHOT = "compacted"
+# In snapshots: when a row was written last, while created_at is when it was first seen.
+_WRITTEN = "_written"
 
 
 def _log_schema(name: str) -> StructType:
-    return StructType(list(SCHEMAS[name].fields)).add("feed", StringType()).add("batch_id", LongType())
+    return StructType(list(SCHEMAS[name].fields)).add(_WRITTEN, TimestampNTZType()).add("feed", StringType()).add(
+        "batch_id", LongType())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,11 +56,12 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_log_schema(name)).parquet(f"{root}/{name}")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current rows of a table."""
-    rule, log = RULES[name], read_log(spark, root, name)
-    seq, keys = ["created_at", "batch_id", "feed"], list(rule.keys)
-    columns = SCHEMAS[name].fieldNames()
+def _resolved(log: DataFrame, name: str) -> DataFrame:
+    """Current rows of log rows, with the time of their last write."""
+    rule = RULES[name]
+    seq, keys = [_WRITTEN, "batch_id", "feed"], list(rule.keys)
+    columns = [*SCHEMAS[name].fieldNames(), _WRITTEN]
+    log = log.withColumn(_WRITTEN, F.coalesce(_WRITTEN, "created_at"))
     if rule.keep == "last":
         # The row changes, the time it was first seen does not.
         born = F.min("created_at").alias("_born")
@@ -69,7 +75,29 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return marked.join(newest, keys).where("_mark = _newest").select(*columns)
 
 
+def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    log = read_log(spark, root, name)
+    files = log.inputFiles()
+    in_snapshot = [f"/feed={SNAPSHOT}/" in f for f in files]
+    if not any(in_snapshot):
+        return _resolved(log, name)
+    columns = [*SCHEMAS[name].fieldNames(), _WRITTEN]
+    snapshot = log.where(F.col("feed") == SNAPSHOT)
+    if all(in_snapshot):
+        return snapshot.select(*columns)
+    newer, keys = log.where(F.col("feed") != SNAPSHOT), list(RULES[name].keys)
+    touched = newer.select(*keys).distinct()
+    changed = newer.unionByName(snapshot.join(touched, keys, "left_semi").select(*newer.columns))
+    return snapshot.join(touched, keys, "left_anti").select(*columns).unionByName(_resolved(changed, name))
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Current rows of a table."""
+    return _current(spark, root, name).drop(_WRITTEN)
+
+
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the current rows of every table as the only batch of a new root; then point readers there."""
+    """Write the current rows of every table as the snapshot of a new root; then point readers and writers there."""
     for name in SCHEMAS:
-        append_batch(read_table(spark, root, name), new_root, name, "compacted", 0)
+        rows = _current(spark, root, name)
+        rows.write.mode("overwrite").parquet(f"{new_root}/{name}/feed={SNAPSHOT}/batch_id=0")
