@@ -186,6 +186,24 @@ def team_dim(matches: DataFrame) -> DataFrame:
     return last_per_key(named, ["team_id"], seq).drop(*seq)
 
 
+def outcome(status: Column, team1: Column, team2: Column) -> Column:
+    """Winner and margin as a status such as "X won by 23 runs" tells them; NULLs for any other status.
+
+    The winner is the team the status starts with (letter case ignored, the longer name first), else the text before "won".
+    """
+    said = F.nullif(F.trim(F.regexp_extract(status, r"(?i)^(.+?)\s+won\b", 1)), F.lit(""))
+    starts = lambda t: F.startswith(F.lower(status), F.lower(t))
+    first = starts(team1) & ~(starts(team2) & (F.length(team2) > F.length(team1)))
+    winner = F.when(said.isNotNull(), F.when(first, team1).when(starts(team2), team2).otherwise(said))
+    amount = F.nullif(F.regexp_extract(status, r"(?i)\bwon\s+by\s+.*?(\d+)\s+(?:run|wicket|wkt)", 1), F.lit(""))
+    kind = F.when(status.rlike(r"(?i)\d+\s+run"), "runs").when(status.rlike(r"(?i)\d+\s+(?:wicket|wkt)"), "wickets")
+    return F.struct(
+        winner.alias("winning_team"),
+        F.concat(amount, F.lit(" "), kind).alias("victory_margin"),
+        F.when(amount.isNotNull(), kind).alias("victory_type"),
+    )
+
+
 NO_SCORE = "Score not available"
 # Months as shown.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")

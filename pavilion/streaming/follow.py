@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pavilion.operators.feed import canonical_match, normalize_matches
-from pavilion.operators.maintenance import last_per_key
-from pavilion.operators.scorecard import scorecard_batting, scorecard_bowling, squad_players
+from pavilion.operators.feed import canonical_match, normalize_matches, outcome
+from pavilion.operators.maintenance import first_per_key, last_per_key
+from pavilion.operators.scorecard import scorecard_batting, scorecard_bowling, scorecard_innings, squad_players
 from pavilion.sources.snapshots import LANDED
 from pavilion.sources.tables import append_batch, ensure_tables
 
@@ -38,9 +38,10 @@ def sync_stream(
 ) -> StreamingQuery:
     """Apply each micro-batch of landed snapshots to the canonical tables.
 
-    Match feeds write series, teams and matches; squads write players;
-    scorecards (optional) write batting and bowling rows. Every write goes to
-    the folder of its batch, so a replayed batch overwrites itself.
+    Match feeds write series, teams, venues and matches (with winner and margin
+    as the status tells them); squads write players; scorecards (optional) write
+    batting, bowling and innings rows. Every write goes to the folder of its
+    batch, so a replayed batch overwrites itself.
     """
     spark = snapshots.sparkSession
     ensure_tables(spark, root)
@@ -50,7 +51,8 @@ def sync_stream(
         try:
             kind = F.col("endpoint")
             flat = normalize_matches(batch.where(kind.isin(*MATCH_FEEDS)), keep=("fetched_at",))
-            matches = canonical_match(flat, keep=("fetched_at", "feed_time")).withColumn("created_at", F.col("fetched_at"))
+            keep = ("fetched_at", "feed_time", "city", "country")
+            matches = canonical_match(flat, keep=keep).withColumn("created_at", F.col("fetched_at"))
             matches = matches.persist()
             for name, rows in _dimension_rows(matches).items():
                 append_batch(rows, root, name, feed, batch_id)
@@ -67,6 +69,7 @@ def sync_stream(
                 keep = ("external_match_id", "created_at")
                 append_batch(scorecard_batting(cards, keep=keep), root, "batting_stats", feed, batch_id)
                 append_batch(scorecard_bowling(cards, keep=keep), root, "bowling_stats", feed, batch_id)
+                append_batch(scorecard_innings(cards, keep=keep), root, "innings", feed, batch_id)
             matches.unpersist()
         finally:
             batch.unpersist()
@@ -89,8 +92,17 @@ def _dimension_rows(matches: DataFrame) -> dict[str, DataFrame]:
             )
         ).alias("s"),
     ).select("created_at", *seq, "s.*")
-    games = matches.withColumnRenamed("match_id", "external_match_id")
+    # The feed numbers no venue in its flat form, so a venue is known by its name.
+    placed = matches.where("venue IS NOT NULL AND venue <> 'N/A'")
+    venues = placed.select(
+        F.col("venue").alias("venue_name"), F.col("venue").alias("external_venue_id"), "city", "country", "created_at")
+    played = outcome(F.col("status"), F.col("team1"), F.col("team2"))
+    games = matches.withColumnRenamed("match_id", "external_match_id").withColumns(
+        {"venue_id": F.when(F.col("venue") != "N/A", F.col("venue")), "_o": played})
+    games = games.withColumns({c: F.col(f"_o.{c}") for c in ("winning_team", "victory_margin", "victory_type")})
+    games = games.drop("_o", "city", "country")
     return {
+        "venues": first_per_key(venues, ["venue_name"], ["created_at"]),
         "series": last_per_key(series, ["external_series_id"], seq),
         "teams": last_per_key(sides, ["external_team_id"], seq),
         "matches": last_per_key(games, ["external_match_id"], seq),

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pavilion.registry import run
+from pavilion.registry import catalogue, run
 from pavilion.sources import snapshots, tables
 from pavilion.sources.star import CatalogStar
 from pavilion.streaming import follow
@@ -69,6 +69,44 @@ def test_sync_restart_and_catalogue(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "compacted"), "matches").count() == 2
 
 
+def test_sync_fills_venues_innings_and_outcomes(spark, tmp_path):
+    landed, root, cp = (str(tmp_path / x) for x in ("landed", "tables", "checkpoint"))
+    rows = []
+    for i, status in enumerate(["X won by 2 runs", "y won by an innings and 20 runs", "X won by 3 wickets", "Match tied"], 1):
+        body = match(i, status)
+        info = body["typeMatches"][0]["seriesMatches"][0]["seriesAdWrapper"]["matches"][0]["matchInfo"]
+        info["venueInfo"] = {"ground": "Oval", "city": "London", "country": "England"}
+        whole = card(60) | {"scoreCard": [{"inningsId": 1, "batTeamDetails": {"batTeamName": "X"}, "bowlTeamDetails": {"bowlTeamName": "Y"},
+                                           "scoreDetails": {"runs": 200, "wickets": 4, "overs": 20}}]}
+        rows += [("recent", None, "2024-01-01 10:00:00", body), ("scard", str(i), "2024-01-01 10:00:00", whole)]
+    land(spark, landed, rows)
+    follow.sync_stream(follow.stream_snapshots(spark, landed), root, cp).awaitTermination()
+    games = {r.external_match_id: (r.winning_team, r.victory_margin, r.victory_type, r.venue_id)
+             for r in tables.read_table(spark, root, "matches").collect()}
+    assert games == {"1": ("X", "2 runs", "runs", "Oval"), "2": ("Y", "20 runs", "runs", "Oval"),
+                     "3": ("X", "3 wickets", "wickets", "Oval"), "4": (None, None, None, "Oval")}
+    assert [(r.venue_name, r.city, r.country) for r in tables.read_table(spark, root, "venues").collect()] == [("Oval", "London", "England")]
+    assert tables.read_table(spark, root, "innings").count() == 4
+    star = CatalogStar(spark, root)
+    empty = [n for n in catalogue() if n.startswith(("S5_", "S10_", "S12_", "S15_", "X4_", "C2_")) and not run(star, n).count()]
+    assert not empty
+
+
+def test_compacted_tables_are_read_plainly(spark, tmp_path):
+    landed, root, new, cp = (str(tmp_path / x) for x in ("landed", "tables", "new", "checkpoint"))
+    land(spark, landed, [("live", None, "2024-01-01 10:00:00", match(i, "Preview")) for i in (1, 2)] + [
+        ("scard", str(i), "2024-01-01 10:00:00", card(10 * i)) for i in (1, 2)])
+    follow.sync_stream(follow.stream_snapshots(spark, landed), root, cp).awaitTermination()
+    tables.compact(spark, root, new)
+    plan = run(CatalogStar(spark, new), "L3_top_run_scorers")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Aggregate") == 2
+    late = spark.createDataFrame([("1", "1", "P", 99, "2024-01-02 00:00:00"), ("3", "1", "P", 5, "2024-01-02 00:00:00")],
+                                 "external_match_id string, innings_id string, player_name string, runs long, created_at string")
+    tables.append_batch(late, new, "batting_stats", "live", 7)
+    assert sorted((r.external_match_id, r.runs) for r in tables.read_table(spark, new, "batting_stats").collect()) == [
+        ("1", 99), ("2", 20), ("3", 5)]
+
+
 def test_live_counts_drop_repeats_and_late_rows(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
 
