@@ -160,6 +160,13 @@ def derive_role(meta: Column) -> Column:
     )
 
 
+def from_year(ts: Column, first: int, last: int | None = None) -> Column:
+    """The time lies in the years from first (to last), as a range a scan can skip files by."""
+    start = lambda year: F.lit(f"{year:04d}-01-01").cast("timestamp_ntz")
+    since = ts >= start(first)
+    return since if last is None else since & (ts < start(last + 1))
+
+
 def or_na(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NA))
 

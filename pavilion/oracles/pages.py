@@ -91,7 +91,7 @@ SQL = {
       SELECT * EXCLUDE (player_id) FROM ({_bat_career(', match_format, year', _BAT_FY)})"""),
     "P9_bowling_format_year": sql(f"""
       SELECT * EXCLUDE (player_id) FROM ({_bowl_career(', match_format, year', _BOWL_FY)})"""),
-    "P9_batting_in_format": sql(f"""
+        "P9_batting_in_format": sql(f"""
       WITH c AS ({_bat_career(', match_format, year', _BAT_FY)}), top AS (
         SELECT * FROM c WHERE match_format = '1-URGENT' AND year = 2000
         ORDER BY runs_scored DESC, player_name, player_id LIMIT 30)
@@ -125,3 +125,5 @@ SQL = {
     "C5_players_by_runs": sql(f"SELECT {PLAYER} FROM v_players"),
     "C5_matches_by_start": sql(f"SELECT {_MATCH} FROM v_matches"),
 }
+
+SQL["P9_stored_batting_in_format"] = SQL["P9_batting_in_format"]

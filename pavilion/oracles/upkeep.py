@@ -119,9 +119,8 @@ SQL = {
         FROM (SELECT team1_id FROM v_matches UNION SELECT team2_id FROM v_matches)
       UNION ALL SELECT 'players', count(*), count(DISTINCT player_name), NULL FROM v_players"""),
     "ST2_sync_scorecards": sql(f"""
-      WITH cards AS (SELECT DISTINCT match_id, innings_id, player_name, batting_position, runs, balls, dismissal, strike_rate FROM v_batting)
       SELECT player_name, count(*) AS rows_loaded, {big('sum(runs)')} AS runs, max(strike_rate) AS best_rate
-      FROM cards GROUP BY player_name"""),
+      FROM v_batting GROUP BY player_name"""),
     "ST3_latest_state": """
       SELECT user_id, event_id, event_type, value FROM events
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pavilion.functions.measures import (
     FIXED_SCALE, fixed_mean, flag, mean, mean_of, percent, rate_of, rows, total,
 )
-from pavilion.functions.values import safe_int
+from pavilion.functions.values import from_year, safe_int
 from pavilion.operators.ranking import ranked
 from pavilion.plans.statistics import AS_OF
 from pavilion.registry import query
@@ -114,7 +114,7 @@ def highest_score_by_format(t: Star) -> DataFrame:
 def matches_of_year(t: Star, *, year: int = 1996) -> DataFrame:
     return (
         t.matches("match_desc", "team1", "team2", "start_date")
-        .where(F.year("start_date") == year)
+        .where(from_year(F.col("start_date"), year, year))
         .groupBy("match_desc")
         .agg(
             F.min("team1").alias("team1"), F.min("team2").alias("team2"),
@@ -250,7 +250,7 @@ def in_close_matches(t: Star, close: Column) -> DataFrame:
         facts.join(m, "match_id")
         .groupBy(*keys, "player_id", "winning_team")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("runs_sum"), F.count("runs").alias("runs_n"))
-        .join(t.innings(*keys, "batting_team"), keys)
+        .join(t.innings(*keys, "batting_team", within=m.select("match_id")), keys)
         .withColumn("won", F.col("n") * flag(F.col("winning_team") == F.col("batting_team")))
     )
     sums = [F.sum(c).alias(c) for c in ("runs_sum", "runs_n", "won")]
@@ -273,7 +273,7 @@ def close_match_players(t: Star, *, margin: int = 50) -> DataFrame:
 @query("S16_yearly_form", "Average runs and strike rate per player and year, five innings or more")
 def yearly_form(t: Star, *, since: int = 1996, min_innings: int = 5) -> DataFrame:
     facts = t.at_match(t.batting("match_id", "player_id", "runs", "strike_rate"), "start_date")
-    facts = facts.withColumn("year", F.year("start_date")).where(F.col("year") >= since)
+    facts = facts.where(from_year(F.col("start_date"), since)).withColumn("year", F.year("start_date"))
     df = t.by_player(facts, [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "year")
     return (
         df.where(F.col("matches") >= min_innings)
@@ -328,7 +328,7 @@ def consistency_since(t: Star, *, since: int = 1999, min_balls: int = 10) -> Dat
     career = facts.groupBy("player_id").agg(F.sum("runs").alias("_all"), F.count("runs").alias("_all_n"))
     recent = (
         t.at_match(facts.where(F.col("balls") >= min_balls), "start_date")
-        .where(F.year("start_date") >= since)
+        .where(from_year(F.col("start_date"), since))
         .groupBy("player_id")
         .agg(F.count(F.lit(1)).alias("innings"), F.sum(runs).alias("s"), F.count(runs).alias("n"),
              F.sum(runs * runs).alias("ss"))

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from pavilion.functions.measures import (
     fixed_mean2, fixed_value, flag, half_up, largest, mean, mean2, mean_of, percent, rate_of, rows, total,
 )
-from pavilion.functions.values import or_na, playing_style
+from pavilion.functions.values import from_year, or_na, playing_style
 from pavilion.operators.ranking import leaderboard, ranked
 from pavilion.plans.live import top_run_scorers, top_wicket_takers, union_counts
 from pavilion.registry import query
+from pavilion.session import work_dir
 from pavilion.sources.star import Star
 
 desc = F.desc
@@ -241,20 +242,25 @@ def bowling_career_board(t: Star, *, order: str = "bowling_average", limit: int
     ).drop("player_id")
 
 
-def _format_year(t: Star, facts: DataFrame) -> DataFrame:
+def _format_year(t: Star, facts: DataFrame, match_format: str | None = None, year: int | None = None) -> DataFrame:
+    """Facts with format and year of their match; only matches of the given ones are read and joined."""
     m = t.matches("match_id", "match_format", "start_date")
+    if match_format is not None:
+        m = m.where(F.col("match_format") == match_format)
+    if year is not None:
+        m = m.where(from_year(F.col("start_date"), year, year))
     return facts.join(m.select("match_id", "match_format", F.year("start_date").alias("year")), "match_id")
 
 
-def batting_format_year(t: Star) -> DataFrame:
-    """Batting aggregate per player, format and year (to be stored partitioned by format and year)."""
+def batting_format_year(t: Star, match_format: str | None = None, year: int | None = None) -> DataFrame:
+    """Batting aggregate per player, format and year (see ``store_format_year``)."""
     per_match = t.batting("match_id", "player_id", "runs", "balls", "dismissal")
-    return batting_career(t, "match_format", "year", facts=_format_year(t, per_match))
+    return batting_career(t, "match_format", "year", facts=_format_year(t, per_match, match_format, year))
 
 
-def bowling_format_year(t: Star) -> DataFrame:
+def bowling_format_year(t: Star, match_format: str | None = None, year: int | None = None) -> DataFrame:
     facts = t.bowling("match_id", "player_id", "wickets", "runs_conceded", "economy")
-    return bowling_career(t, "match_format", "year", facts=_format_year(t, facts))
+    return bowling_career(t, "match_format", "year", facts=_format_year(t, facts, match_format, year))
 
 
 @query("P9_batting_format_year", "Batting aggregate per player, format and year")
@@ -269,16 +275,32 @@ def bowling_format_year_table(t: Star) -> DataFrame:
 
 @query("P9_batting_in_format", "Top run scorers of one format and year")
 def batting_in_format(t: Star, *, match_format: str = "1-URGENT", year: int = 2000, limit: int = 30) -> DataFrame:
-    df = batting_format_year(t).where((F.col("match_format") == match_format) & (F.col("year") == year))
+    df = batting_format_year(t, match_format, year)
     return ranked(df, [desc("runs_scored"), F.asc("player_name"), F.asc("player_id")], limit).drop("player_id", "year")
 
 
 @query("P9_bowling_in_format", "Top wicket takers of one format and year")
 def bowling_in_format(t: Star, *, match_format: str = "1-URGENT", year: int = 2000, limit: int = 30) -> DataFrame:
-    df = bowling_format_year(t).where((F.col("match_format") == match_format) & (F.col("year") == year))
+    df = bowling_format_year(t, match_format, year)
     return ranked(df, [desc("wickets_taken"), F.asc("player_name"), F.asc("player_id")], limit).drop("player_id", "year")
 
 
+def store_format_year(t: Star, root: str) -> None:
+    """Write the career tables per format and year, one folder for each, so that a page reads the folders it shows."""
+    for name, df in (("batting", batting_format_year(t)), ("bowling", bowling_format_year(t))):
+        folders = ["match_format", "year"]
+        df.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/{name}_format_year")
+
+
+@query("P9_stored_batting_in_format", "Career tables written by format and year; the top run scorers of one folder")
+def stored_batting_in_format(t: Star, *, match_format: str = "1-URGENT", year: int = 2000, limit: int = 30) -> DataFrame:
+    root = work_dir(t.spark, "careers")
+    store_format_year(t, root)
+    df = t.spark.read.parquet(f"{root}/batting_format_year")
+    df = df.where((F.col("match_format") == match_format) & (F.col("year") == year))
+    return ranked(df, [desc("runs_scored"), F.asc("player_name"), F.asc("player_id")], limit).drop("player_id", "year")
+
+
 @query("P11_most_innings", "Players by innings played, with average runs")
 def most_innings(t: Star, *, limit: int = 20) -> DataFrame:
     df = t.by_name(t.batting("runs"), [rows("innings_played"), *mean_of("runs")])

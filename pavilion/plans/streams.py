@@ -8,7 +8,7 @@ from pavilion.plans.ingest import _landed
 from pavilion.registry import query
 from pavilion.session import work_dir
 from pavilion.sources import snapshots, tables
-from pavilion.sources.documents import scorecard_documents, squad_documents
+from pavilion.sources.documents import match_scorecards, squad_documents
 from pavilion.sources.star import Star
 from pavilion.streaming import follow
 
@@ -62,11 +62,8 @@ def sync_tables(t: Star) -> DataFrame:
 @query("ST2_sync_scorecards", "Scorecards streamed into the batting and bowling tables")
 def sync_scorecards(t: Star) -> DataFrame:
     base = work_dir(t.spark, "sync")
-    cards = scorecard_documents(t)
-    landed = cards.select(
-        F.lit("scard").alias("endpoint"),
-        # One card per scorecard row here, so the row itself names its match.
-        F.sha2("body", 256).alias("subject"),
+    landed = match_scorecards(t).select(
+        F.lit("scard").alias("endpoint"), F.col("match_id").cast("string").alias("subject"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("fetched_at"), F.lit(200).alias("status_code"), "body",
     )
     snapshots.land_snapshots(landed, f"{base}/landed")

@@ -81,6 +81,23 @@ def feed_documents(t: Star) -> DataFrame:
 
 def scorecard_documents(t: Star) -> DataFrame:
     """One scorecard per batting row, beside a nameless entry, in two sets of aliases; extras with some."""
+    b, plain, inn = _entries(t)
+    body = _document(_maybe(plain, F.array(inn)).alias("scorecard"), _maybe(~plain, F.array(inn)).alias("inningsData"))
+    return b.select("match_id", body.alias("body"))
+
+
+def match_scorecards(t: Star) -> DataFrame:
+    """One scorecard per match with all its entries; a match has as many rows as were played."""
+    b, _, inn = _entries(t)
+    whole = b.select("match_id", inn.alias("inn")).groupBy("match_id").agg(F.collect_list("inn").alias("innings"))
+    first = F.col("match_id") % 2 == 0
+    body = F.to_json(F.struct(
+        _maybe(first, F.col("innings")).alias("scorecard"), _maybe(~first, F.col("innings")).alias("inningsData")))
+    return whole.select("match_id", body.alias("body"))
+
+
+def _entries(t: Star) -> tuple[DataFrame, Column, Column]:
+    """Batting rows, whether one has the first set of aliases, and its scorecard entry."""
     b = t.with_name(t.batting())
     pos = F.col("batting_position")
     plain, never = pos % 2 == 1, F.lit(False)
@@ -115,8 +132,7 @@ def scorecard_documents(t: Star) -> DataFrame:
         F.array(bowler).alias("bowler"),
         _maybe(plain, extras).alias("extras"),
     )
-    body = _document(_maybe(plain, F.array(inn)).alias("scorecard"), _maybe(~plain, F.array(inn)).alias("inningsData"))
-    return b.select("match_id", body.alias("body"))
+    return b, plain, inn
 
 
 def innings_documents(t: Star) -> DataFrame:

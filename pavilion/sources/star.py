@@ -39,7 +39,8 @@ class Star:
     def bowling(self, *cols: str) -> DataFrame:
         raise NotImplementedError
 
-    def innings(self, *cols: str) -> DataFrame:
+    def innings(self, *cols: str, within: DataFrame | None = None) -> DataFrame:
+        """Innings rows, of the matches in ``within(match_id)`` only where given."""
         raise NotImplementedError
 
     def named(self, df: DataFrame) -> DataFrame:
@@ -144,8 +145,11 @@ class CatalogStar(Star):
     def bowling(self, *cols: str) -> DataFrame:
         return self._table("bowling_stats", _with_key(_with_key(cols, "player_id"), self.name_key))
 
-    def innings(self, *cols: str) -> DataFrame:
-        return self._table("innings", cols)
+    def innings(self, *cols: str, within: DataFrame | None = None) -> DataFrame:
+        df = self._table("innings", ())
+        if within is not None:
+            df = df.join(within, "match_id", "left_semi")
+        return df.select(*cols) if cols else df
 
 
 CAREER = ("total_runs", "total_wickets", "batting_average", "bowling_average")
@@ -343,8 +347,10 @@ class OrdersStar(Star):
         wanted = _with_key(cols or tuple(columns), "player_id")
         return self._scorecard_rows().select(*[columns[c].alias(c) for c in wanted])
 
-    def innings(self, *cols: str) -> DataFrame:
+    def innings(self, *cols: str, within: DataFrame | None = None) -> DataFrame:
         scored = self.batting("match_id", "innings_id", "runs", "balls", "dismissal", "side")
+        if within is not None:
+            scored = scored.join(within, "match_id", "left_semi")
         balls = F.col("_balls")
         df = scored.groupBy("match_id", "innings_id").agg(
             F.sum("runs").alias("runs"),
