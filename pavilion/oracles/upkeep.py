@@ -59,6 +59,8 @@ SQL = {
       UNION ALL SELECT name, min(city), name, NULL FROM texts WHERE name NOT IN (SELECT venue_name FROM v_venues) GROUP BY name"""),
     "UP6_squad_by_name": sql("""
       SELECT external_player_id, player_name, '' AS country, '' AS role, batting_style, bowling_style FROM v_players"""),
+    "UP6_match_squads": sql("""
+      SELECT player_id % 25 AS team_id, external_player_id, player_name, batting_style, bowling_style FROM v_players"""),
     "UP7_patch": sql("""
       SELECT player_id, player_name, country, coalesce(role, 'Batsman') AS role,
         CASE WHEN total_wickets > 50 THEN total_wickets WHEN role IS NULL THEN 7 ELSE total_runs END AS total_runs, total_wickets,

@@ -121,6 +121,25 @@ PATCHABLE = (
 )
 
 
+@query("UP6_match_squads", "Players nested in match documents, under one team, a list, or both")
+def nested_squads(t: Star) -> DataFrame:
+    p = t.players("player_id", "player_name", "batting_style", "bowling_style")
+    player = F.struct(
+        F.col("player_id").cast("string").alias("id"), F.col("player_name").alias("name"),
+        F.col("batting_style").alias("battingStyle"), F.col("bowling_style").alias("bowlingStyle"))
+    header = F.struct(F.lit("BATSMEN").alias("name"))
+    team = F.struct((F.col("player_id") % 25).alias("id"), F.array(player).alias("player"))
+    empty = F.struct(F.lit(99).alias("id"), F.array(header).alias("player"))
+    shape = F.col("player_id") % 3
+    body = (
+        F.when(shape == 0, F.to_json(F.struct(team.alias("team1"), empty.alias("team2"))))
+        .when(shape == 1, F.to_json(F.struct(F.lit("Kent").alias("team1"), F.array(team).alias("team2"))))
+        .otherwise(F.concat(F.lit('{"teams": [1, {"id": 98}, '), F.to_json(team), F.lit("]}")))
+    )
+    rows = scorecard.match_squads(p.select(F.col("player_id").alias("match_id"), body.alias("body")))
+    return rows.select(F.col("team_id").cast("bigint").alias("team_id"), "external_player_id", "player_name", "batting_style", "bowling_style")
+
+
 @query("UP7_patch", "Players after keyed patches of allowed columns")
 def patch_players(t: Star) -> DataFrame:
     p = t.players(

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pavilion.operators.feed import canonical_match, normalize_matches, outcome
 from pavilion.operators.maintenance import first_per_key, last_per_key
-from pavilion.operators.scorecard import scorecard_batting, scorecard_bowling, scorecard_innings, squad_players
+from pavilion.operators.scorecard import (
+    match_squads, scorecard_batting, scorecard_bowling, scorecard_innings, squad_players,
+)
 from pavilion.sources.snapshots import LANDED
 from pavilion.sources.tables import append_batch, ensure_tables
 
@@ -57,7 +59,10 @@ def sync_stream(
             for name, rows in _dimension_rows(matches).items():
                 append_batch(rows, root, name, feed, batch_id)
             squads = batch.where(kind == "squad").withColumnsRenamed({"subject": "team_id", "fetched_at": "created_at"})
-            append_batch(squad_players(squads, keep=("team_id", "created_at")), root, "players", feed, batch_id)
+            listed = match_squads(
+                batch.where(kind == "match").withColumnRenamed("fetched_at", "created_at"), keep=("created_at",))
+            players = squad_players(squads, keep=("team_id", "created_at")).unionByName(listed)
+            append_batch(players, root, "players", feed, batch_id)
             if scorecards:
                 cards = batch.where(kind == "scard").withColumnsRenamed(
                     {"subject": "external_match_id", "fetched_at": "created_at"}
