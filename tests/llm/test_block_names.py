@@ -59,3 +59,9 @@ def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = block_names.op10_block_names(spark, sf_dir).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == brute(rows)
+
+
+def test_like_sql(spark, sf_dir):
+    from oracle_compare import compare, duck
+
+    assert compare(block_names.op10_block_names(spark, sf_dir), duck(sf_dir), block_names.ORACLE_SQL) == ""
