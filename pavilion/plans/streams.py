@@ -75,26 +75,27 @@ def sync_scorecards(t: Star) -> DataFrame:
     )
 
 
-def _events(t: Star) -> DataFrame:
-    path = f"{t.sf_dir}/events.parquet"
-    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).option(
-        "pathGlobFilter", "events.parquet"
-    ).parquet(t.sf_dir)
+def _events(t: Star, folder: str | None) -> DataFrame:
+    """Event files of a folder as a stream; by default the events beside an orders star."""
+    if folder:
+        return t.spark.readStream.schema(t.spark.read.parquet(folder).schema).parquet(folder)
+    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
 @query("ST3_latest_state", "Latest event of each user, kept by a stream")
-def latest_state(t: Star) -> DataFrame:
+def latest_state(t: Star, *, folder: str | None = None) -> DataFrame:
     base = work_dir(t.spark, "latest")
-    events = _events(t).select("user_id", "ts", "event_id", "event_type", "value")
+    events = _events(t, folder).select("user_id", "ts", "event_id", "event_type", "value")
     state = follow.latest_state(events, ["user_id"], ["ts", "event_id"])
     _finish(follow.write_updates(state, f"{base}/state", f"{base}/checkpoint"))
     return follow.current(t.spark, f"{base}/state", ["user_id"]).select("user_id", "event_id", "event_type", "value")
 
 
 @query("ST4_live_counts", "Events per type and hour, repeated events counted once, kept by a stream")
-def live_counts(t: Star) -> DataFrame:
+def live_counts(t: Star, *, folder: str | None = None) -> DataFrame:
     base = work_dir(t.spark, "counts")
-    events = _events(t).withColumn("ts", follow.as_time("ts"))
+    events = _events(t, folder).withColumn("ts", follow.as_time("ts"))
     twice = events.unionByName(events)
     counts = follow.live_counts(twice, "event_id", "ts", "event_type")
     _finish(follow.write_updates(counts, f"{base}/counts", f"{base}/checkpoint"))
