@@ -51,12 +51,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(a, b - a)
 
 
-def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text"):
+def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
     """A mapInArrow function which applies ``fn`` to bounded slices."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 out = fn(part)
                 if out is not None:
                     yield out

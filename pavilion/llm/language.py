@@ -36,113 +36,133 @@ TRAIN_DOCS = 2000  # rows per language the fit may read
 ROUNDS = 3
 PRIOR = 0.05  # pseudo-count of each piece
 CHUNK = 24  # letters
-CACHE_WORDS = 300_000
+CACHE_TOKENS = 300_000  # after which a task forgets the scores it remembers
+SCORED_BYTES = 1 << 22  # text bytes scored at once
 UNKNOWN = "und"
 _SCALE = 64.0  # per byte, so that products of small probabilities stay in range
+_SLOTS = np.uint64((1 << 22) - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 PREDICTED = "doc_id long, lang_pred string, score double"
 
 
+def tokens_of(text: str) -> list[str]:
+    return _LETTERS.findall(text.lower())
+
+
+def words_of_token(token: str) -> list[bytes]:
+    """The words of a run of word characters: letters only, with a leading space, long runs in chunks."""
+    if token.isalpha() and len(token) <= CHUNK:
+        return [(" " + token).encode()]
+    runs = "".join(c if c.isalpha() else " " for c in token).split(" ")  # some digits count as word characters
+    return [(" " + run[i : i + CHUNK]).encode() for run in runs for i in range(0, len(run), CHUNK)]
+
+
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased runs of letters with a leading space, long runs in chunks."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        if not w.isalpha():  # digits beyond the decimal ones count as word characters, but are no letters
-            for run in re.split(r"[^\w]", "".join(c if c.isalpha() else " " for c in w)):
-                out += [(" " + run[i : i + CHUNK]).encode() for i in range(0, len(run), CHUNK)]
-        elif len(w) > CHUNK:
-            out += [(" " + w[i : i + CHUNK]).encode() for i in range(0, len(w), CHUNK)]
-        else:
-            out.append((" " + w).encode())
-    return out
+    return [w for t in tokens_of(text) for w in words_of_token(t)]
+
+
+class Vocabulary:
+    """Piece ids by the hash of their bytes: a table by some bits of it, and a second one for pieces that share these."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            pieces = [base64.b64decode(line.split()[0]) for line in f]
+        size = np.array([len(p) for p in pieces])
+        ends = np.cumsum(size)
+        self.n, self.hash = len(pieces), span_hash(prefix(np.frombuffer(b"".join(pieces), np.uint8)), ends - size, ends)
+        self.tables = []
+        rest = np.arange(self.n)
+        for shift in (0, 22, 42):
+            slot = (self.hash[rest] >> np.uint64(shift)) & _SLOTS
+            taken, first = np.unique(slot, return_index=True)
+            table = np.full(int(_SLOTS) + 1, -1, np.int32)
+            table[taken] = rest[first]
+            self.tables.append((np.uint64(shift), table))
+            rest = np.delete(rest, first)
+            if not len(rest):
+                break
+        self.longest = max(len(p) for p in pieces if p.decode("utf-8", "replace").strip(" \ufffd").isalpha())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece ids, -1 where no piece has the hash."""
+        shift, table = self.tables[0]
+        out = table[h & _SLOTS]
+        for shift, table in self.tables[1:]:
+            miss = np.flatnonzero((out >= 0) & (self.hash[out] != h))
+            if len(miss):
+                out[miss] = table[(h[miss] >> shift) & _SLOTS]
+        out[(out >= 0) & (self.hash[out] != h)] = -1
+        return out
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Sorted hashes of the pieces, their ids, a filter by hash, the longest length, the number of pieces."""
-    with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f]
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
-    starts = ends - np.array([len(p) for p in pieces])
-    h = span_hash(prefix(flat), starts, ends)
-    order = np.argsort(h)
-    mask = np.zeros(1 << 22, bool)
-    mask[h & np.uint64((1 << 22) - 1)] = True
-    letters = [len(p) for p in pieces if not p.strip(b" ").isdigit()]
-    return h[order], order.astype(np.int32), mask, min(max(letters), 4 * CHUNK + 1), len(pieces)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 class Lattice:
-    """All pieces at all places of a list of words: an edge leads from one byte border to a later one."""
+    """All pieces at all places of a list of words: an edge leads from one byte border to a later one.
+
+    Words stand in order of falling size, so those with a given byte are the first ones, and values are kept by depth.
+    Edges come in blocks of one end and one length, in which every word occurs once; blocks are in order of their ends.
+    """
 
     def __init__(self, words: list[bytes], path: str):
-        known, ids, mask, longest, self.n_pieces = vocabulary(path)
+        known = vocabulary(path)
+        self.n_pieces = known.n
         size = np.array([len(w) for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), np.uint8)
+        self.order = np.argsort(-size, kind="stable")
+        self.size = size[self.order]
+        flat = np.frombuffer(b"".join([words[i] for i in self.order]), np.uint8)
         sums = prefix(flat)
-        ends = np.cumsum(size)
-        left = np.repeat(ends, size) - np.arange(len(flat))  # bytes to the word's end
-        border = np.arange(len(flat)) + np.repeat(np.arange(len(words)), size)  # a word of n bytes has n + 1 borders
-        depth = np.arange(len(flat)) - np.repeat(ends - size, size)
-        at = np.arange(len(flat))
-        src, dst, piece, end_depth = [], [], [], []
-        for n in range(1, longest + 1):
-            at = at[left[at] >= n]
-            if not len(at):
-                break
-            h = span_hash(sums, at, at + n)
-            hit = mask[h & np.uint64((1 << 22) - 1)]
-            a, h = at[hit], h[hit]
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            ok = known[place] == h
-            a = a[ok]
-            src.append(border[a])
-            dst.append(border[a] + n)
-            piece.append(ids[place[ok]])
-            end_depth.append(depth[a] + n)
-        src, dst, piece, end_depth = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, piece, end_depth))
-        order = np.lexsort((dst, end_depth))
-        self.src, self.dst, self.piece = src[order], dst[order], piece[order]
-        self.length = self.dst - self.src
-        self.steps = np.concatenate([[0], np.flatnonzero(np.diff(end_depth[order])) + 1, [len(order)]]) if len(order) else np.array([0])
-        self.first = np.cumsum(size + 1) - size - 1
-        self.last = self.first + size
-        self.size = size
-        self.borders = int(size.sum()) + len(words)
-
-    def _weights(self, theta: np.ndarray) -> np.ndarray:
-        return theta[self.piece] * (_SCALE ** self.length)[:, None]
-
-    def forward(self, theta: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations up to each border, one column per language of ``theta`` (pieces x languages)."""
-        alpha = np.zeros((self.borders, theta.shape[1]))
-        alpha[self.first] = 1.0
-        for a, b in zip(self.steps, self.steps[1:]):
-            dst = self.dst[a:b]
-            part = alpha[self.src[a:b]] * (theta[self.piece[a:b]] * (_SCALE ** self.length[a:b])[:, None])
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(dst)) + 1])
-            alpha[dst[heads]] = np.add.reduceat(part, heads, axis=0)
+        begin = np.cumsum(self.size) - self.size
+        self.blocks = []
+        longest = int(self.size[0]) if len(words) else 0
+        self.having = np.searchsorted(-self.size, -np.arange(longest + 2), side="right")  # words of at least so many bytes
+        for end in range(1, longest + 1):
+            stop = begin[: self.having[end]] + end
+            for n in range(1, min(end, known.longest) + 1):
+                piece = known.find(span_hash(sums, stop - n, stop))
+                word = np.flatnonzero(piece >= 0)
+                if len(word):
+                    self.blocks.append((end, n, word, piece[word]))
+
+    def _at_ends(self, by_depth: list[np.ndarray]) -> np.ndarray:
+        """For each word the value at its last border."""
+        out = np.empty((len(self.size), *by_depth[0].shape[1:]))
+        for depth, x in enumerate(by_depth):
+            out[self.having[depth + 1] : self.having[depth]] = x[self.having[depth + 1] : self.having[depth]]
+        return out
+
+    def forward(self, theta: np.ndarray) -> list[np.ndarray]:
+        """By depth in bytes, for each word that has it: the sums over all segmentations up to there, one column per
+        language of ``theta`` (pieces x languages)."""
+        alpha = [np.zeros((k, theta.shape[1])) for k in self.having[:-1]]
+        alpha[0][:] = 1.0
+        for end, n, word, piece in self.blocks:
+            alpha[end][word] += alpha[end - n][word] * (theta[piece] * _SCALE**n)
         return alpha
 
     def log_scores(self, theta: np.ndarray) -> np.ndarray:
-        alpha = self.forward(theta)[self.last]
-        return np.log(np.maximum(alpha, 1e-300)) - (self.size * np.log(_SCALE))[:, None]
+        total = self._at_ends(self.forward(theta))
+        out = np.empty_like(total)
+        out[self.order] = np.log(np.maximum(total, 1e-300)) - (self.size * np.log(_SCALE))[:, None]
+        return out
 
     def expected(self, theta: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over words that occur ``count`` times, for one language."""
-        alpha = self.forward(theta[:, None])[:, 0]
-        weight = theta[self.piece] * _SCALE**self.length
-        beta = np.zeros(self.borders)
-        beta[self.last] = 1.0
-        # Borders of one depth from the words' start, the deepest first: each edge is final once its end is.
-        for a, b in zip(self.steps[-2::-1], self.steps[:0:-1]):
-            np.add.at(beta, self.src[a:b], weight[a:b] * beta[self.dst[a:b]])
-        word = np.searchsorted(self.first, self.src, side="right") - 1
-        share = count / np.maximum(alpha[self.last], 1e-300)
-        uses = alpha[self.src] * weight * beta[self.dst] * share[word]
-        return np.bincount(self.piece, uses, self.n_pieces)
+        alpha = self.forward(theta[:, None])
+        share = count[self.order] / np.maximum(self._at_ends(alpha)[:, 0], 1e-300)
+        beta = [np.zeros(k) for k in self.having[:-1]]
+        for depth, x in enumerate(beta):
+            x[self.having[depth + 1] :] = 1.0  # the words that end here
+        uses = np.zeros(self.n_pieces)
+        for end, n, word, piece in reversed(self.blocks):
+            weight = theta[piece] * _SCALE**n * beta[end][word]
+            beta[end - n][word] += weight
+            uses += np.bincount(piece, alpha[end - n][word, 0] * weight * share[word], self.n_pieces)
+        return uses
 
 
 def learnable() -> Column:
@@ -157,16 +177,21 @@ def fold() -> Column:
 def word_counts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(lang, word, n) over the sample of the rows to learn from."""
     rows = docs.select("doc_id", "lang", "text").filter(learnable())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    ids = rows.select("doc_id", "lang")
+    # Of a language with many rows, only hashes in the lowest part are ranked: about twice as many as are wanted.
+    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("rows")))  # a row per language
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    low = ids.withColumn("part", part).join(sizes, "lang").filter(F.col("part") * F.col("rows") < 2.0 * most + 100)
+    order = Window.partitionBy("lang").orderBy("part", "doc_id")
+    chosen = low.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     # At most ``most`` ids for each language: a bounded broadcast.
-    sample = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    sample = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, Counter] = {}
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-            found.setdefault(lang, Counter()).update(words_of(text))
-        rows_ = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            found.setdefault(lang, Counter()).update(tokens_of(text))
+        rows_ = [(lang, w, n) for lang, c in found.items() for t, n in c.items() for w in words_of_token(t)]
         lang, word, n = zip(*rows_) if rows_ else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
@@ -177,7 +202,7 @@ def word_counts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """The languages in order and the piece probabilities (pieces x languages)."""
     spark = docs.sparkSession
-    n_pieces = vocabulary(path)[-1]
+    n_pieces = vocabulary(path).n
     counts = staged(word_counts(docs, most).repartition(shards(spark), "lang", "word"), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     theta = np.full((n_pieces, len(langs)), 1.0 / n_pieces)
@@ -238,31 +263,52 @@ def keep_identified(docs: DataFrame, least: float, most: int = TRAIN_DOCS, round
     return docs.mapInArrow(run, docs.schema)
 
 
+class _Tokens(dict):
+    """Numbers of the tokens met; a new token gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.new.append(token)
+        return number
+
+    def drain(self) -> list[str]:
+        out, self.new = self.new, []
+        return out
+
+
 def _scorer(spark: SparkSession, langs: list[str], theta: np.ndarray, path: str, whole: bool = False):
     """A function over Arrow batches: predictions by doc_id, or (``whole``) pairs of rows and their predictions."""
     shared = spark.sparkContext.broadcast(theta)
 
     def run(batches):
-        place: dict[bytes, int] = {}
-        scores = np.zeros((0, len(langs)))
+        known = _Tokens()
+        scores, n_words = np.zeros((0, len(langs))), np.zeros(0, np.int64)
 
         def one(part: pa.RecordBatch):
-            nonlocal scores
-            texts = [words_of(t) if t else [] for t in part.column("text").to_pylist()]
-            if len(place) > CACHE_WORDS:
-                place.clear()
-                scores = scores[:0]
-            new = list({w: None for t in texts for w in t if w not in place})
-            if new and langs:
-                place.update((w, len(scores) + i) for i, w in enumerate(new))
-                scores = np.concatenate([scores, Lattice(new, path).log_scores(shared.value)])
+            nonlocal known, scores, n_words
+            if len(known) > CACHE_TOKENS:
+                known, scores, n_words = _Tokens(), scores[:0], n_words[:0]
+            texts = [Counter(tokens_of(t)) if t else {} for t in part.column("text").to_pylist()]
+            ids = [np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in texts]
+            new = [words_of_token(t) for t in known.drain()]
+            n = np.array([len(w) for w in new], np.int64)
+            added = np.zeros((len(new), len(langs)))
+            if n.any() and langs:
+                per = Lattice([w for ws in new for w in ws], path).log_scores(shared.value)
+                some = np.flatnonzero(n)
+                added[some] = np.add.reduceat(per, (np.cumsum(n) - n)[some], axis=0)
+            scores, n_words = np.concatenate([scores, added]), np.concatenate([n_words, n])
             pred, score = [], []
-            for t in texts:
-                if not t or not langs:
+            for t, i in zip(texts, ids):
+                if not langs or not n_words[i].any():
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                total = scores[[place[w] for w in t]].sum(axis=0)
+                total = np.fromiter(t.values(), float, len(t)) @ scores[i]
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
@@ -272,7 +318,7 @@ def _scorer(spark: SparkSession, langs: list[str], theta: np.ndarray, path: str,
                 [part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
 
-        yield from by_slice(one)(batches)
+        yield from by_slice(one, limit=SCORED_BYTES)(batches)
 
     return run
 
