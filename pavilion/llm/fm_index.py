@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pavilion.llm.common import documents
-from pavilion.llm.repeats import Judge, LAST, Units, remove_repeats
+from pavilion.llm.repeats import Judge, LAST, Units, remove_repeats, windows_in
 
 WINDOW = 35
 GRAM = 8
@@ -61,17 +61,16 @@ class FMIndex:
     def __init__(self, text: np.ndarray, weight: np.ndarray, depth: int):
         n, self.depth, self.text = len(text), depth, text
         ends = np.flatnonzero(text == 0)
-        to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the segment's end
-        rank, h, ranks = text.astype(np.int64), 1, []
+        to_end = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)  # symbols to the segment's end
+        rank, h, ranks = text.astype(np.int32), 1, []
         order = np.argsort(rank, kind="stable")
         while h < depth:  # sorted by h symbols -> by 2h symbols
             ranks.append((h, rank))
-            second = np.zeros(n, np.int64)
+            key = rank.astype(np.int64) * (n + 2)
             inside = np.flatnonzero(to_end >= h)
-            second[inside] = rank[inside + h] + 1
-            key = rank * (n + 2) + second
+            key[inside] += rank[inside + h] + 1
             order = np.argsort(key)
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
             h *= 2
         self.n = n
@@ -142,14 +141,13 @@ def repeated_windows(units: Units) -> Judge:
 
     def judge(contents: list[bytes], docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         lookup: dict[bytes, int] = {}
-        numbers, size = [], []
-        for content in contents:
-            ws = content.split(b" ")
-            numbers.extend([lookup.setdefault(w, len(lookup) + 1) for w in ws])
-            numbers.append(0)
-            size.append(len(ws))
-        size = np.array(size, np.int64)
-        text = np.array(numbers, np.int64)
+        size = windows_in(contents, units) + units.window - 1
+        text = np.zeros(int((size + 1).sum()), np.int32)
+        at = 0
+        for content, n in zip(contents, size.tolist()):
+            text[at : at + n] = [lookup.setdefault(w, len(lookup) + 1) for w in content.split(b" ")]
+            at += n + 1
+        del lookup
         start = np.cumsum(size + 1) - size - 1
         index = FMIndex(text, np.repeat(counts, size + 1), units.window)
         found = index.matching_statistics(start, start + size)
