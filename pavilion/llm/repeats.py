@@ -28,9 +28,11 @@ from pavilion.llm.common import mix, powers, prefix, shards, single_spaced, slic
 
 MANY = 2000  # places from which a name's segments are cut into single windows
 RUN = 64  # windows per segment at most
+CELLS = 16  # of a shard, judged one after another: a judge needs many times the bytes of its segments
+PART_BYTES = 1 << 18  # text bytes whose windows are named at once; the arrays for it take about a hundred times that
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id, which comes after all others
 
-# contents, smallest doc_id and occurrences of distinct segments -> for each window, in order, the level: the window of a
+# contents, smallest doc_id and occurrences (2 may stand for more) of distinct segments -> for each window, in order, the level: the window of a
 # document is a repeat if the level is below its doc_id.
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
@@ -93,7 +95,8 @@ class Part:
         np.subtract.at(border, self.off[filled] + n_windows[filled], 1)
         valid = np.where(np.cumsum(border[:-1], dtype=np.int8) > 0, least, 0).astype(np.uint64)
         pad = np.zeros(span - 1, np.uint64)
-        self.grams = gram[sliding(np.maximum, np.concatenate([pad, valid, pad]), span) == gram]
+        # Mixed once more (one to one): smallest hashes lie close together, names must fall evenly into shards.
+        self.grams = mix(gram[sliding(np.maximum, np.concatenate([pad, valid, pad]), span) == gram])
         head = np.zeros(len(least) + 1, bool)
         np.not_equal(least[1:], least[:-1], out=head[1:-1])
         head[self.off[filled]] = True
@@ -109,7 +112,7 @@ class Part:
             nth = ragged(np.zeros(len(n), np.int64), pieces)
             start, owner, left = np.repeat(start, pieces) + nth * RUN, np.repeat(owner, pieces), np.repeat(n, pieces) - nth * RUN
             n = np.minimum(left, RUN)
-        self.start, self.n, self.owner, self.name = start, n, owner, least[start]
+        self.start, self.n, self.owner, self.name = start, n, owner, mix(least[start])
 
     def contents(self, start: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The text of each run of ``n`` windows."""
@@ -125,18 +128,19 @@ class Group:
 
     def __init__(self, table: pa.Table, units: Units):
         table = table.select(["doc_id", "text"]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.parts = [Part(s, units) for b in table.to_batches() for s in slices(b)]
+        self.parts = [Part(s, units) for b in table.to_batches() for s in slices(b, limit=PART_BYTES)]
         names = [p.grams for p in self.parts]
         self.names, self.counts = np.unique(np.concatenate(names) if names else np.zeros(0, np.uint64), return_counts=True)
 
     def candidates(self, kinds: np.ndarray, n_shards: int):
         """Distinct candidate contents by shard, and for each part its candidate runs.
 
-        By shard: contents, smallest doc_id, occurrences, in order of first appearance. By part: start and number of
-        windows, owner, shard and place there.
+        By shard: contents, smallest doc_id, occurrences, cell, in order of first appearance. By part: start and number
+        of windows, owner, shard and place there.
         """
         known: dict[bytes, tuple[int, int]] = {}
-        by_shard: dict[int, tuple[list, list, list]] = {}
+        by_shard: dict[int, tuple[list, list, list, list]] = {}
+        n_cells = n_shards * CELLS
         runs = []
         for p in self.parts:
             kind = kinds[np.searchsorted(self.names, p.name)]
@@ -144,18 +148,19 @@ class Group:
             single = ragged(p.start[often], p.n[often])
             start, n = np.concatenate([p.start[some], single]), np.concatenate([p.n[some], np.ones(len(single), np.int64)])
             owner = np.concatenate([p.owner[some], np.repeat(p.owner[often], p.n[often])])
-            shard = shard_of(p.name[some], n_shards).tolist()
+            cell = shard_of(p.name[some], n_cells).tolist()
             place = np.empty((len(start), 2), np.int64)
             docs = p.docs[owner].tolist()
             for i, content in enumerate(p.contents(start, n)):
                 at = known.get(content)
                 if at is None:
-                    s = shard[i] if i < len(shard) else (xxhash.xxh64_intdigest(content) >> 32) * n_shards >> 32
-                    lists = by_shard.setdefault(s, ([], [], []))
+                    s, c = divmod(cell[i] if i < len(cell) else (xxhash.xxh64_intdigest(content) >> 32) * n_cells >> 32, CELLS)
+                    lists = by_shard.setdefault(s, ([], [], [], []))
                     at = known[content] = (s, len(lists[0]))
                     lists[0].append(content)
                     lists[1].append(docs[i])
                     lists[2].append(1)
+                    lists[3].append(c)
                 else:
                     lists = by_shard[at[0]]
                     lists[1][at[1]] = min(lists[1][at[1]], docs[i])
@@ -176,7 +181,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 _NAMES = "shard int, gid int, names binary, counts binary"
 _KINDS = "gid int, shard int, kind string, data binary"
-_SEGMENTS = "shard int, gid int, data binary, size binary, docs binary, counts binary"
+_SEGMENTS = "shard int, gid int, data binary, size binary, docs binary, counts binary, cells binary"
 _KEPT = "doc_id long, n_units long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
 
 
@@ -228,12 +233,15 @@ def _kinds(g: Group, answers: pa.Table) -> np.ndarray:
 def _send_segments(units: Units, n_shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _table(_SEGMENTS, [[]] * 6)
+            return _table(_SEGMENTS, [[]] * 7)
         gid, g = texts.column("gid")[0].as_py(), Group(texts, units)
         by_shard, _ = g.candidates(_kinds(g, answers), n_shards)
         rows = [(s, gid, b"".join(c), np.array([len(x) for x in c], np.int32).tobytes(), np.array(d, np.int64).tobytes(),
-                 np.array(n, np.int64).tobytes()) for s, (c, d, n) in by_shard.items()]
-        return _table(_SEGMENTS, list(zip(*rows)) or [[]] * 6)
+                 np.minimum(n, 2).astype(np.uint8).tobytes(), bytes(cells)) for s, (c, d, n, cells) in by_shard.items()]
+        del g, by_shard
+        out = _table(_SEGMENTS, list(zip(*rows)) or [[]] * 7)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
@@ -246,20 +254,31 @@ def windows_in(contents: list[bytes], units: Units) -> np.ndarray:
 def _answer_segments(units: Units, judge: Judge):
     def run(rows: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
-        sent = []
-        for data, size, docs, counts in zip(*(rows.column(c).to_pylist() for c in ("data", "size", "docs", "counts"))):
+        sent, cell = [], bytearray()
+        for data, size, docs, counts, cells in zip(*(rows.column(c) for c in ("data", "size", "docs", "counts", "cells"))):
+            data, size, docs, counts, cells = (x.as_py() for x in (data, size, docs, counts, cells))
             ends = np.cumsum(np.frombuffer(size, np.int32)).tolist()
-            here = [place.setdefault(data[a:b], len(place)) for a, b in zip([0, *ends], ends)]
-            sent.append((np.array(here, np.int64), np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int64)))
+            here = np.empty(len(ends), np.int64)
+            for i, (a, b) in enumerate(zip([0, *ends], ends)):
+                here[i] = at = place.setdefault(data[a:b], len(cell))
+                if at == len(cell):
+                    cell.append(cells[i])
+            sent.append((here, np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint8)))
         contents = list(place)
+        del place
         least, total = np.full(len(contents), LAST), np.zeros(len(contents), np.int64)
         for here, docs, counts in sent:
             least[here] = np.minimum(least[here], docs)
             total[here] += counts
-        level = judge(contents, least, total)
         n = windows_in(contents, units)
         first = np.cumsum(n) - n
+        level = np.empty(int(n.sum()), np.int64)
+        cell_of = np.frombuffer(bytes(cell), np.uint8)
+        for c in np.unique(cell_of).tolist():
+            mine = np.flatnonzero(cell_of == c)
+            level[ragged(first[mine], n[mine])] = judge([contents[i] for i in mine.tolist()], least[mine], total[mine])
         out = [np.packbits(level[ragged(first[here], n[here])] < np.repeat(docs, n[here])).tobytes() for here, docs, _ in sent]
+        pa.default_memory_pool().release_unused()
         return _table(_KINDS, [rows.column("gid").to_pylist(), rows.column("shard").to_pylist(), ["bits"] * len(out), out])
 
     return run
@@ -275,11 +294,11 @@ def _remove(units: Units, n_shards: int):
         by_shard, runs = g.candidates(_kinds(g, answers), n_shards)
         bits = {s: np.unpackbits(np.frombuffer(d, np.uint8)).view(bool) for s, d in _received(answers, "bits").items()}
         shard_at = {s: i for i, s in enumerate(by_shard)}  # all shards' bits one after another
-        n = [windows_in(c, units) for c, _, _ in by_shard.values()]
+        n = [windows_in(c, units) for c, *_ in by_shard.values()]
         flat = np.concatenate([bits[s][: x.sum()] for s, x in zip(by_shard, n)] or [np.zeros(0, bool)])
         base = np.cumsum([0, *(len(x) for x in n)])
         first = np.cumsum(np.concatenate([[0], *n]))[:-1] if n else np.zeros(0, np.int64)
-        least = np.concatenate([np.array(d, np.int64) for _, d, _ in by_shard.values()] or [np.zeros(0, np.int64)])
+        least = np.concatenate([np.array(d, np.int64) for _, d, *_ in by_shard.values()] or [np.zeros(0, np.int64)])
         out = []
         for p, (start, size, owner, place) in zip(g.parts, runs):
             at = base[[shard_at[s] for s in place[:, 0].tolist()]] + place[:, 1] if len(place) else np.zeros(0, np.int64)
@@ -332,11 +351,12 @@ def _kept(p: Part, windows: np.ndarray) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, units: Units, judge: Judge, many: int = MANY) -> DataFrame:
     """One row per input row: doc_id, n_units, n_removed, kept (bytes left), spans (units removed, as runs)."""
-    n = shards(docs.sparkSession)
-    n_shards = 2 * n
+    # Twice the session's partitions: a task holds one group or shard at a time, and many times its bytes in arrays.
+    n_names = shards(docs.sparkSession)
+    n = n_shards = 2 * n_names
     gid = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")
     texts = docs.select("doc_id", "text", gid.alias("gid"))
-    names = texts.groupBy("gid").applyInArrow(_send_names(units, n_shards), _NAMES)
+    names = texts.groupBy("gid").applyInArrow(_send_names(units, n_names), _NAMES)
     kinds = names.groupBy("shard").applyInArrow(_answer_names(many), _KINDS)
     segments = texts.groupBy("gid").cogroup(kinds.groupBy("gid")).applyInArrow(_send_segments(units, n_shards), _SEGMENTS)
     verdicts = segments.groupBy("shard").applyInArrow(_answer_segments(units, judge), _KINDS)
