@@ -14,7 +14,8 @@ answers with a spanning forest of the links it found, never with all pairs. Comp
 
 Null text is the empty text; a text without words has fingerprint zero, which is linked like any other. Rows with equal
 doc_id are separate rows of one class each. Rows with null doc_id belong to the class of their fingerprint, named by
-another row's doc_id where there is one. Extra columns are not touched; an empty table gives an empty result.
+another row's doc_id where there is one. ``keep_one`` goes by class, not by its name: classes of null doc_ids only, and
+classes that share a doc_id, keep one row each. Extra columns are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,14 +68,20 @@ def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the 64-bit fingerprint as a signed long, for each row."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, sha: bool = False) -> DataFrame:
+    """doc_id and fp, the 64-bit fingerprint as a signed long, for each row; with ``sha`` also the text's digest."""
+    others = ["doc_id", "sha"] if sha else ["doc_id"]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         fp = majority(*shingle_hashes(*text_bytes(part.column("text")), k))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*map(part.column, others), pa.array(fp.view(np.int64))], names=[*others, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slice(run), "doc_id long, fp long")
+    docs = docs.select("doc_id", "text", _sha(F.col("text")).alias("sha")) if sha else docs.select("doc_id", "text")
+    return docs.mapInArrow(by_slice(run), "doc_id long, sha string, fp long" if sha else "doc_id long, fp long")
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 class BKTrees:
@@ -186,13 +193,17 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.select("shard", "fp").mapInArrow(_shard_links(radius), "a long, b long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """The distinct fingerprints with ``root``, equal for fingerprints of one class."""
+    tied = components(near_links(prints.select("fp"), radius))
+    tied = tied.select(F.col("node").alias("fp"), "root")
+    return prints.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_dups(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class)."""
     rows = staged(fingerprints(docs, k), "prints")
-    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    tied = components(near_links(prints.select("fp"), radius))
-    tied = tied.select(F.col("node").alias("fp"), "root")
-    classes = prints.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = _classes(staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct"), radius)
     names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     lookup = staged(classes.select("fp", "root").join(names, "root").select("fp", "component_id"), "classes")
     return rows.join(lookup, "fp").select(
@@ -200,14 +211,21 @@ def near_dups(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The input's rows and columns with one document of each class, the one with the smallest doc_id."""
-    found = near_dups(docs, k, radius)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = packed(docs, id=F.col("doc_id"))
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    one = Window.partitionBy("id").orderBy("id")
+    """The input's rows and columns with one row of each class: the smallest doc_id (null last), then the smallest digest
+    of the text, then one of the rows that have both."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    prints = staged(fingerprints(docs, k, sha=True).groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    stay = _classes(prints, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha")
+    rows = packed(docs, id=F.col("doc_id"), digest=_sha(F.col("text")), tie=_others(docs))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["digest"] == stay["sha"]), "left_semi")
+    one = Window.partitionBy("digest", "id").orderBy("tie")  # rows with one doc_id and text are of one class
     return unpacked(rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1"))
 
 
+def _others(docs: DataFrame) -> Column:
+    """A hash of the columns that can be hashed, so that reruns choose the same of a doc_id's equal texts."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(documents(spark, sf_dir))

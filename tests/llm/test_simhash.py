@@ -113,6 +113,26 @@ def test_prints_like_brute_force(spark, limit, monkeypatch):
     assert simhash.near_dups(docs.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_class(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text(w), w) for w in "abcdefgh"]  # classes of null ids only
+    rows += [(7, text("p"), "p"), (7, text("q"), "q")]  # two unlike texts of one doc_id
+    rows += [(None, text("p"), "copy"), (None, text("z"), "copy"), (9, text("z"), "z")]  # copies of numbered documents
+    rows += [(7, text("y"), "copy"), (5, text("y"), "y")]  # the name of another class
+    rows += [(None, text("a").upper(), "a"), (None, text("h"), "h")]
+    prints = {brute_print(t) for _, t, _ in rows}
+    assert all((a ^ b).bit_count() > 3 for a in prints for b in prints if a != b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").selectExpr("*", "map('k', 1) AS id")
+    got = simhash.keep_one(docs.repartition(5))
+    assert got.columns == docs.columns
+    found = sorted((r.digest, r.doc_id, brute_print(r.text)) for r in got.collect())
+    want = {"p": 7, "q": 7, "z": 9, "y": 5} | dict.fromkeys("abcdefgh")
+    assert [(d, i) for d, i, _ in found] == sorted(want.items())
+    assert {p for *_, p in found} == prints
+    order = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert order(got) == order(simhash.keep_one(docs.repartition(2, "text")))
+
+
 def test_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {d: brute_print(t) for d, t in sorted(texts.items())}
