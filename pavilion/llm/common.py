@@ -156,5 +156,10 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
 
 
+def hashed(docs: DataFrame) -> Column:
+    """A hash of each row's columns that can be hashed, so that reruns choose the same among rows with one key."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import by_slice, documents, packed, shards, single_spaced, staged, text_bytes, unpacked
+from pavilion.llm.common import by_slice, documents, hashed, packed, shards, single_spaced, staged, text_bytes, unpacked
 from pavilion.llm.components import components
 
 SHINGLE = 3
@@ -216,16 +216,11 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFra
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
     prints = staged(fingerprints(docs, k, sha=True).groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     stay = _classes(prints, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha")
-    rows = packed(docs, id=F.col("doc_id"), digest=_sha(F.col("text")), tie=_others(docs))
+    rows = packed(docs, id=F.col("doc_id"), digest=_sha(F.col("text")), tie=hashed(docs))
     rows = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["digest"] == stay["sha"]), "left_semi")
     one = Window.partitionBy("digest", "id").orderBy("tie")  # rows with one doc_id and text are of one class
     return unpacked(rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1"))
 
 
-def _others(docs: DataFrame) -> Column:
-    """A hash of the columns that can be hashed, so that reruns choose the same of a doc_id's equal texts."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-
-
 def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(documents(spark, sf_dir))

@@ -13,16 +13,17 @@ closest to the word total. Texts are read once; only ids and sizes are shuffled.
 source and block, so reruns agree whatever the partitioning.
 
 Null text has size 0; documents of size 0 are never taken. A null source is a source of its own, last in order. Rows with
-equal doc_id are separate rows. Extra columns are not touched; an empty table gives an empty result.
+equal doc_id, null too, are separate rows, told apart by source and a hash of the text; rows that are equal in all three
+are interchangeable for the draw, and ``mixed`` numbers them to give each its own number of copies. Extra columns are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import by_slice, documents, packed, staged, text_bytes, unpacked, words
+from pavilion.llm.common import by_slice, documents, hashed, packed, staged, text_bytes, unpacked, words
 
 WEIGHTS = (5, 2, 1)  # by the source's place, repeating
 MOST = 3
@@ -30,19 +31,20 @@ BLOCK = 4096
 LANDING = 12  # documents of the last block that the landing may decide
 _NEAR = 1e-9
 
-_UNITS = "doc_id long, source string, size long"
-_FLOWN = "doc_id long, place long, size long, p double"
+_UNITS = "doc_id long, source string, size long, tie long"
+_FLOWN = "doc_id long, place long, size long, tie long, p double"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words ``[^\\x20\\x09-\\x0D]+`` of each row."""
+    """doc_id, source, size (the number of words ``[^\\x20\\x09-\\x0D]+``) and tie (a hash of the text) of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         _, _, first = words(*text_bytes(part.column("text")))
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("source"), pa.array(np.diff(first))], names=["doc_id", "source", "size"])
+            [part.column("doc_id"), part.column("source"), pa.array(np.diff(first)), part.column("tie")],
+            names=["doc_id", "source", "size", "tie"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(by_slice(run), _UNITS)
+    return docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie")).mapInArrow(by_slice(run), _UNITS)
 
 
 def _places(totals: DataFrame) -> DataFrame:
@@ -127,26 +129,26 @@ def landing(p: np.ndarray, x: np.ndarray, start: np.ndarray, free: int = LANDING
 
 
 def _fly(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+    table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("tie", "ascending")])
     p, x = table.column("p").to_numpy(), table.column("size").to_numpy()
     place, block, blocks, turn = (table.column(c)[0].as_py() for c in ("place", "block", "blocks", "turn"))
     start = p
     p = flight(start, x, np.random.default_rng([place, block, turn]))
     if blocks == 1:
         p = landing(p, x, start)
-    return pa.table([table.column("doc_id"), table.column("place"), table.column("size"), pa.array(p)],
-                    names=["doc_id", "place", "size", "p"])
+    return pa.table([*map(table.column, ("doc_id", "place", "size", "tie")), pa.array(p)],
+                    names=["doc_id", "place", "size", "tie", "p"])
 
 
 def balanced_sample(units: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, place, size, p with p 0 or 1. ``units``: the same columns, 0 < p < 1; ``counts``: place, n of each source."""
+    """doc_id, place, size, tie, p with p 0 or 1. ``units``: the same columns, 0 < p < 1; ``counts``: place, n of each source."""
     done, turn = [], 0
     rest, n = units, counts.select("place", "n").filter("n > 0")
     while True:
         n = staged(n.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")), "blocks")
         most = n.agg(F.max("blocks")).first()[0] or 0
         dealt = rest.join(n.select("place", "blocks"), "place").withColumn(
-            "block", F.pmod(F.xxhash64("doc_id", "size", F.lit(turn)), F.col("blocks"))).withColumn("turn", F.lit(turn))
+            "block", F.pmod(F.xxhash64("doc_id", "size", "tie", F.lit(turn)), F.col("blocks"))).withColumn("turn", F.lit(turn))
         flown = staged(dealt.groupBy("place", "block").applyInArrow(_fly, _FLOWN), "flight")
         decided = F.col("p").isin(0.0, 1.0)
         done.append(flown.filter(decided))
@@ -161,30 +163,39 @@ def balanced_sample(units: DataFrame, counts: DataFrame, block: int = BLOCK) ->
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken, tie."""
     units = staged(sizes(docs), "sizes")
     goal = staged(targets(units, weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(ratio + F.lit(_NEAR))
     plan = goal.withColumn("base", base).withColumn("p", F.greatest(F.lit(0.0), ratio - base))
     rows = units.join(plan, units["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", "place", "size", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"))
+        "doc_id", "place", "size", "tie", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"))
     fractional = F.col("p") > _NEAR
     drawn = balanced_sample(rows.filter(fractional), plan.filter(fractional), block)
     picked = drawn.unionByName(rows.filter(~fractional).withColumn("p", F.lit(0.0)))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("pick").cast("long")).otherwise(F.lit(0).cast("long"))
     return picked.withColumnRenamed("p", "pick").join(plan, "place").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+        (F.col("size") * copies).alias("taken"), "tie")
+
+
+def _row_keys(tie: Column) -> dict[str, Column]:
+    """doc_id, source and text hash without nulls, so that the join and the numbering share one shuffle."""
+    return {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+            "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_tie": tie}
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The input's rows, each as often as the mix takes it."""
-    taken = mix(docs, weights, most).filter("copies > 0")
-    # Rows with one doc_id share their copies, the largest count where they differ.
-    copies = taken.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    rows = packed(docs, id=F.col("doc_id"))
-    rows = rows.join(copies, rows["id"].eqNullSafe(copies["doc_id"]))
+    taken = mix(docs, weights, most).select("copies", *[c.alias(n) for n, c in _row_keys(F.col("tie")).items()])
+    keys = ["_id", "_source", "_tie"]
+    # Counts of one key differ by one at most: the sum and the number of its rows give them back.
+    copies = taken.groupBy(*keys).agg(F.sum("copies").alias("all"), F.count("*").alias("n")).filter(F.col("all") > 0)
+    rows = packed(docs, **_row_keys(F.xxhash64("text")), other=hashed(docs)).join(copies, keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("other"))
+    own = F.floor(F.col("all") / F.col("n")) + (nth <= F.col("all") % F.col("n")).cast("long")
+    rows = rows.withColumn("copies", own.cast("int")).filter("copies > 0")
     return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))))
 
 

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,6 +72,35 @@ def test_mix_meets_targets(spark, block):
     assert out.columns == docs.columns and out.count() > 0
 
 
+def test_mixed_gives_each_row_its_own_copies(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        source = ["a", "b", "c", None][int(rng.integers(0, 4))]
+        doc_id = [None, 7, i][i % 3]
+        text = " ".join([f"w{i}"] * int(rng.integers(0, 30)))
+        rows += [(doc_id, text, source, "x", i)] * (1 + i % 5 // 4)  # every fifth row twice
+    rows += [(None, None, "a", "y", 0), (None, "", "b", "y", 0), (7, "same", "a", "y", 1), (7, "same", "b", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, n long")
+    docs = docs.selectExpr("*", "map('k', n) AS other")
+    words_of = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    plan = mix(docs).collect()
+    got = mixed(docs).collect()
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, words_of(r.text)) for r in got) == +want
+    taken, goal = Counter(), {r.source: r.target for r in plan}
+    for r in got:
+        taken[r.source] += words_of(r.text)
+    assert all(abs(taken[s] - goal[s]) <= 30 for s in goal), (taken, goal)
+    assert {r.copies for r in plan} >= {0, 1, 2}
+    again = mixed(docs.repartition(7))
+    assert again.columns == docs.columns
+    key = lambda r: (str(r.doc_id), str(r.source), r.text, r.n)
+    assert Counter(map(key, again.collect())) == Counter(map(key, got))
+
+
 def test_empty_and_wordless(spark):
     schema = "doc_id long, text string, source string"
     assert mix(spark.createDataFrame([], schema)).count() == 0
