@@ -2,7 +2,7 @@
 
 Three base patterns are reported as they match (assignments, access key ids, long lower-case hex). Further candidates
 (runs of base64 or hex characters, signed tokens, armoured keys) are reported only when decoding them confirms a
-structure: a DER sequence whose nested lengths add up and which begins like a key, a length-prefixed key blob, or a
+structure (an armoured key with DEK-Info: whole cipher blocks; a KEY BLOCK: packets): a DER sequence whose nested lengths add up and which begins like a key, a length-prefixed key blob, or a
 signed token whose header and payload are JSON objects and whose header names an algorithm.
 
 Texts are whole; a null text counts as empty and has no spans. Spans count code points, end exclusive. Rows are
@@ -31,7 +31,12 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "signed_token", "armoured_key", "base64_key", "hex_key")
 
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+# Line ends may be written out (\\n in JSON or .env text); header lines stand before the body and hold no other mark.
+_ARMOUR = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----(?:\s|\\[rn])*+"
+    r"((?:[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\r\n\\])*+(?:\s|\\[rn])++)*+)((?:[A-Za-z0-9+/=\s]|\\[rn])*+)-----END \1-----")
+_ENDS = re.compile(r"\s|\\[rn]")
+_ENCRYPTED = re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXES = re.compile(r"[0-9a-fA-F]{48,}")
 _KEY_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
@@ -115,6 +120,36 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_key_blob(data))
 
 
+def is_pgp_key(data: bytes) -> bool:
+    """Packets of known length that fill the data, the first a public or secret key of a known version."""
+    at, first = 0, True
+    while at + 2 <= len(data):
+        head, a = data[at], data[at + 1]
+        if not head & 0x80:
+            return False
+        if head & 0x40:
+            tag, n = head & 0x3F, 1 if a < 192 else 2 if a < 224 else 5 if a == 255 else 0
+            size = a if n == 1 else (a - 192 << 8) + 192 + int.from_bytes(data[at + 2 : at + 3]) if n == 2 else int.from_bytes(data[at + 2 : at + 6])
+        else:
+            tag, n = head >> 2 & 0x0F, (1, 2, 4, 0)[head & 3]
+            size = int.from_bytes(data[at + 1 : at + 1 + n])
+        at += 1 + n
+        if not n or at + size > len(data) or first and not (tag in (5, 6) and size > 6 and 2 <= data[at] <= 6):
+            return False
+        at, first = at + size, False
+    return not first and at == len(data)
+
+
+def is_armoured_key(label: str, headers: str, body: str) -> bool:
+    core = _ENDS.sub("", body)
+    if label.endswith("BLOCK"):  # the checksum is a line of its own behind the body
+        return is_pgp_key(from_base64(re.sub(r"=[A-Za-z0-9+/]{4}$", "", core)) or b"")
+    data = from_base64(core)
+    if encrypted := _ENCRYPTED.search(headers):  # whole cipher blocks, as long as the initial vector
+        return bool(data) and len(data) % (len(encrypted[1]) // 2) == 0
+    return is_key(data)
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -139,7 +174,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m.group())]
     if "-----BEGIN" in text:
         out += [(m.start(), 4, m.end()) for m in _ARMOUR.finditer(text)
-                if is_key(from_base64("".join(m.group(2).split())))]
+                if is_armoured_key(*m.groups())]
     for m in _BASE64.finditer(text):
         if is_key(from_base64(m.group())):
             out.append((m.start(), 5, m.end()))

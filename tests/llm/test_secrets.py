@@ -67,3 +67,29 @@ def test_whole_table(spark, sf_dir):
     assert len(got) == len(texts)
     for r in got:
         assert r.base_sha256 == hashlib.sha256(",".join(brute(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_armour_with_headers_written_line_ends_and_blocks():
+    import base64
+    import time
+
+    from pavilion.llm.secrets import confirmed_spans
+
+    def armour(label, data, headers="", end="\n", tail=""):
+        b = base64.b64encode(data).decode()
+        lines = [f"-----BEGIN {label}-----", *headers.splitlines(), *(b[i : i + 64] for i in range(0, len(b), 64)), *tail.split(), f"-----END {label}-----"]
+        return end.join(lines)
+
+    rsa = b"\x30\x82\x01\x09" + b"\x02\x82\x01\x00" + bytes(range(1, 256)) + b"\x07" + b"\x02\x03\x01\x00\x01"
+    pgp = b"\x99\x01\x00" + b"\x04" + bytes(255) + b"\xb4\x05" + b"a <b>"
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    good = [armour("RSA PUBLIC KEY", rsa), armour("RSA PUBLIC KEY", rsa, end="\\n"), armour("RSA PUBLIC KEY", rsa, end="\\r\\n"),
+            armour("RSA PUBLIC KEY", rsa, "Comment: a key\n\n"), armour("RSA PRIVATE KEY", bytes(range(256)), dek),
+            armour("RSA PRIVATE KEY", bytes(range(256)), dek, "\\n"), armour("PGP PUBLIC KEY BLOCK", pgp, "Version: 1\n\n", tail="=aB3d")]
+    for text in good:
+        assert (4, 4, 4 + len(text)) in [(a, k, e) for a, k, e in confirmed_spans("key:" + text + "\\n")], text
+    bad = [armour("RSA PRIVATE KEY", bytes(250), dek), armour("PGP PUBLIC KEY BLOCK", pgp[:-1]), armour("RSA PUBLIC KEY", rsa[:-1], "A: b\n")]
+    assert not any(k == 4 for text in bad for _, k, _ in confirmed_spans(text))
+    began = time.time()
+    confirmed_spans("-----BEGIN KEY-----\nA: b\n" * 20_000)
+    assert time.time() - began < 10
