@@ -19,6 +19,7 @@ _MODULES = {
     "op8_byte_bpe": "byte_bpe",
     "op9_minhash": "minhash",
     "op10_block_names": "block_names",
+    "op11_p_stable": "p_stable",
     "op13_token_alignment": "token_alignment",
 }
 
