@@ -20,6 +20,7 @@ _MODULES = {
     "op9_minhash": "minhash",
     "op10_block_names": "block_names",
     "op11_p_stable": "p_stable",
+    "op12_hard_negatives": "hard_negatives",
     "op13_token_alignment": "token_alignment",
 }
 

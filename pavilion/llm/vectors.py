@@ -36,7 +36,7 @@ def raw(column: pa.Array, kind: str) -> list[bytes | None]:
 
 def matrix(vectors: list[bytes], kind: str) -> np.ndarray:
     """Vectors of one length as rows of doubles."""
-    return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), len(vectors[0]) // np.dtype(kind).itemsize).astype(np.float64)
 
 
 def by_length(vectors: list[bytes]) -> list[np.ndarray]:
