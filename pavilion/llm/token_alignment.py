@@ -21,24 +21,29 @@ table gives an empty result; extra columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from pavilion.llm.common import documents, slices, staged
+from pavilion.llm.repeats import ragged
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-CHUNK_BYTES = 1 << 21  # text bytes of a chunk
+CHUNK_BYTES = 1 << 20  # text bytes of a chunk
 CACHE_WORDS = 200_000  # after which a task forgets the words it remembers
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -55,18 +60,31 @@ def _byte_of_character() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens.
+
+    A's vocabulary and merges also make a tiktoken encoding, if every merge has the number of its turn; it encodes words of
+    printable ASCII, where no two libraries differ about letters and spaces, several times faster. All others go to
+    the tokenizers library.
+    """
 
     def __init__(self, byte_level: str, pieces: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         of = _byte_of_character()
         entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
-        self.a_bytes = [bytes(of[c] for c in e) if all(c in of for c in e) else e.encode() for e in entries]
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.bytes = ([bytes(of[c] for c in e) if all(c in of for c in e) else e.encode() for e in entries],
+                      [self._piece(i) for i in range(self.b.get_piece_size())])
+        self.size = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
+        self.flat = [np.frombuffer(b"".join(t), np.uint8) for t in self.bytes]
         self.inside = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        with open(byte_level) as f:
+            model = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranks = {self.bytes[0][i]: i for i in model["vocab"].values() if i < 256 + len(merges)}
+        in_turn = len(ranks) == 256 + len(merges) and all(model["vocab"]["".join(m)] == 256 + i for i, m in enumerate(merges))
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_turn else None
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -76,15 +94,35 @@ class Pair:
         """The text cut into words that both sides can encode alone; each but the first has lost the space before it."""
         return [text] if self.inside else _CUT.split(text)
 
-    def encode(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids on both sides of each word with a space before it; None where the bytes do not come back."""
-        a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        out = []
-        for word, x, y in zip(words, a, self.b.encode(words, num_threads=1)):
-            whole = (" " + word).encode()
-            same = b"".join([self.a_bytes[i] for i in x.ids]) == whole == b"".join([self.b_bytes[i] for i in y])
-            out.append((x.ids, y) if same else None)
-        return out
+    def _ids_a(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that begin with a space."""
+        plain = [self.plain is not None and w.isascii() and w.isprintable() and len(w) < 1 << 16 for w in words]
+        rest = iter(self.a.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
+        encode = self.plain.encode_ordinary if self.plain else None
+        return [encode(w) if p else next(rest).ids for w, p in zip(words, plain)]
+
+    def encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For A and B the ids of all words, each with a space before it, and how many each word has; and which words have
+        no tokens, as their bytes do not come back on both sides."""
+        whole = [" " + w for w in words]
+        data = [w.encode() for w in whole]
+        length = np.fromiter(map(len, data), np.int64, len(data))
+        bad, ids, count = np.zeros(len(words), bool), [], []
+        for side, found in enumerate((self._ids_a(whole), self.b.encode(words, num_threads=1))):
+            n = np.fromiter(map(len, found), np.int64, len(words))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
+            size = self.size[side][flat]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+            bad |= np.diff(ends) != length
+            given = self.flat[side][ragged((np.cumsum(self.size[side]) - self.size[side])[flat], size)].tobytes()
+            if bad.any() or given != b"".join(data):  # word by word, where some word differs
+                bad |= [given[a:b] != w for a, b, w in zip(ends.tolist(), ends[1:].tolist(), data)]
+            ids.append(flat)
+            count.append(n)
+        for side in (0, 1):
+            ids[side] = ids[side][np.repeat(~bad, count[side])]
+            count[side] = np.where(bad, 0, count[side])
+        return ids, count, bad
 
 
 @lru_cache(maxsize=2)
@@ -109,19 +147,16 @@ class _Words(dict):
 
     def learn(self) -> None:
         """Encode the words met since the last call."""
-        found = self.tokenizers.encode(self.new)
-        self.bad = np.concatenate([self.bad, [f is None for f in found]]).astype(bool)
-        for side in (0, 1):
-            ids = [f[side] if f else [] for f in found]
-            self.size[side] = np.concatenate([self.size[side], np.array([len(x) for x in ids], np.int64)])
-            self.ids[side] = np.concatenate([self.ids[side], np.array([i for x in ids for i in x], np.int32)])
+        ids, count, bad = self.tokenizers.encode(self.new)
+        self.bad = np.concatenate([self.bad, bad])
+        self.ids = [np.concatenate([x, y]) for x, y in zip(self.ids, ids)]
+        self.size = [np.concatenate([x, y]) for x, y in zip(self.size, count)]
         self.new = []
 
     def tokens(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and how many each word has."""
         size = self.size[side]
-        begin, n = (np.cumsum(size) - size)[numbers], size[numbers]
-        return self.ids[side][np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        return self.ids[side][ragged((np.cumsum(size) - size)[numbers], size[numbers])], size[numbers]
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +164,11 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     a, b = a.assign(at_a=np.arange(len(a))), b.assign(at_b=np.arange(len(b)))
     # Each start finds the other side's token that covers it; a start that both sides share is found once.
     one = pd.merge_asof(a, b, on="start", by="doc")
-    two = pd.merge_asof(b[~np.isin(b["start"].to_numpy(), a["start"].to_numpy())], a, on="start", by="doc")
+    starts = a["start"].to_numpy()
+    at = np.searchsorted(starts, b["start"].to_numpy())
+    own = at == len(starts)
+    own[~own] = starts[at[~own]] != b["start"].to_numpy()[~own]
+    two = pd.merge_asof(b[own], a, on="start", by="doc")
     return tuple(np.concatenate([one[c].to_numpy(np.int64), two[c].to_numpy(np.int64)]) for c in ("at_a", "at_b"))
 
 
@@ -141,28 +180,29 @@ def _labels(n: int, behind: str) -> np.ndarray:
 def _group_texts(ids: tuple[np.ndarray, np.ndarray], group: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int],
                  docs: tuple[np.ndarray, np.ndarray], n_docs: int) -> list[str]:
     """For each document ``a1,a2|b1;a3|b2,b3``: the ids of each group, side by side."""
-    text = []
-    for i, g, n, end in zip(ids, group, sizes, "|;"):
+    n_groups = int(max((g[-1] + 1 for g in group if len(g)), default=0))
+    before = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n_groups))]) for g in group]
+    flat = np.empty(len(ids[0]) + len(ids[1]), object)
+    for side, end in enumerate("|;"):
+        i, g = ids[side], group[side]
         last = np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
-        text.append(np.where(last, _labels(n, end)[i], _labels(n, ",")[i]))
-    doc = np.concatenate(docs)
-    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
-    flat = np.concatenate(text)[order].tolist()
-    ends = np.cumsum(np.bincount(doc, minlength=n_docs)).tolist()
-    return ["".join(flat[a:b])[:-1] for a, b in zip([0, *ends], ends)]
+        others = before[1][g] if side == 0 else before[0][g + 1]  # a group's A ids stand before its B ids
+        flat[np.arange(len(i)) + others] = np.where(last, _labels(sizes[side], end)[i], _labels(sizes[side], ",")[i])
+    ends = np.cumsum(sum(np.bincount(d, minlength=n_docs) for d in docs)).tolist()
+    return ["".join(flat[a:b].tolist())[:-1] for a, b in zip([0, *ends], ends)]
 
 
 def align(words: _Words, texts: list[str | None]) -> dict[str, object]:
     """Tokens, groups and links of a list of texts; ``links`` are places in the distinct pairs (a, b), by document."""
     cut = [words.tokenizers.words(t) if t else [] for t in texts]
-    numbers = np.fromiter((words[w] for c in cut for w in c), np.int64, sum(map(len, cut)))
+    numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
     words.learn()
     doc_of_word = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
     lost = np.zeros(len(texts), bool)
     lost[doc_of_word[words.bad[numbers]]] = True
     keep = ~lost[doc_of_word]
     numbers, doc_of_word = numbers[keep], doc_of_word[keep]
-    sizes = words.tokenizers.a_size, words.tokenizers.b_size
+    sizes = words.tokenizers.size
     ids, docs, starts, ends = [], [], [], []
     for side in (0, 1):
         i, n = words.tokens(side, numbers)
@@ -176,7 +216,7 @@ def align(words: _Words, texts: list[str | None]) -> dict[str, object]:
     n_docs = len(texts)
     code, place = np.unique(ids[0][at_a].astype(np.int64) << 32 | ids[1][at_b].astype(np.int64), return_inverse=True)
     doc_of_link = docs[0][at_a]
-    order = np.argsort(doc_of_link, kind="stable")
+    order = np.argsort(doc_of_link.astype(np.uint16) if n_docs < 1 << 16 else doc_of_link, kind="stable")
     group_doc = docs[0][np.searchsorted(ends[0], borders)]
     strings = _group_texts(tuple(ids), group, (len(sizes[0]), len(sizes[1])), tuple(docs), n_docs)
     return {

@@ -1,5 +1,7 @@
 import hashlib
+import random
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 
@@ -16,10 +18,10 @@ def tokens(text):
         return None
     ids = p.a.encode(" " + text, add_special_tokens=False).ids, p.b.encode(text)
     whole = (" " + text).encode()
-    data = [[table[i] for i in side] for table, side in zip((p.a_bytes, p.b_bytes), ids)]
+    data = [[table[i] for i in side] for table, side in zip(p.bytes, ids)]
     if any(b"".join(d) != whole for d in data):
         return None
-    ends = [[sum(map(len, d[: i + 1])) for i in range(len(d))] for d in data]
+    ends = [list(accumulate(map(len, d))) for d in data]
     return ids, ends
 
 
@@ -73,14 +75,21 @@ def test_like_brute_force(spark, chunk_bytes):
     assert result(aligned(docs, chunk_bytes=chunk_bytes)) == brute(ROWS)
 
 
+ODD = [" ", "  ", "\n", "\t", "a", "b", "the", "é", "日本", "🙂", "\x1c", "\xa0", "\u3000", "'s", "'", "1", "23", ".", "<s>", "<|endoftext|>", "▁",
+       "\u0301", "\x00", "\x85", "\u200b", "ﬁ", "Å", "<0x41>", "\u180e", "x", "?!", "'LL", "_"]
+
+
 def test_words_alone_are_the_whole(spark, sf_dir):
-    p = pair(BYTE_LEVEL, PIECES)
+    """Ids by words are those of the two libraries over whole texts."""
+    p, rng = pair(BYTE_LEVEL, PIECES), random.Random(4)
     texts = [t for t in (r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()) if t]
-    for text in [*texts[:60], "a　b c\x1cd e f", "x ́y", "end  ", "\n a \n b"]:
-        whole, parts = p.encode([text])[0], p.encode(p.words(text))
-        assert (whole is None) == any(x is None for x in parts)
+    texts += ["".join(rng.choices(ODD, k=rng.randint(1, 14))) for _ in range(4000)]
+    for text in texts:
+        ids, _, bad = p.encode(p.words(text))
+        whole = tokens(text)
+        assert (whole is None) == bad.any()
         if whole:
-            assert list(whole[0]) == [i for x in parts for i in x[0]] and list(whole[1]) == [i for x in parts for i in x[1]]
+            assert ids[0].tolist() == whole[0][0] and ids[1].tolist() == list(whole[0][1])
 
 
 def test_query_adds_up(spark, sf_dir):
