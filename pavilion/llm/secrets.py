@@ -2,8 +2,9 @@
 
 Three base patterns are reported as they match (assignments, access key ids, long lower-case hex). Further candidates
 (runs of base64 or hex characters, signed tokens, armoured keys) are reported only when decoding them confirms a
-structure (an armoured key with DEK-Info: whole cipher blocks; a KEY BLOCK: packets): a DER sequence whose nested lengths add up and which begins like a key, a length-prefixed key blob, or a
-signed token whose header and payload are JSON objects and whose header names an algorithm.
+structure (an armoured key with DEK-Info: whole cipher blocks; a KEY BLOCK: packets): a DER sequence whose nested lengths
+add up and which begins like a key, a length-prefixed key blob, or a signed token whose header and payload are JSON
+objects and whose header names an algorithm. Candidates are found in time linear in the text.
 
 Texts are whole; a null text counts as empty and has no spans. Spans count code points, end exclusive. Rows are
 independent: repeated rows repeat their result, an empty table gives an empty one, extra columns are not touched.
@@ -30,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the pattern is a maximal run, so the least
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "signed_token", "armoured_key", "base64_key", "hex_key")
 
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
 # Line ends may be written out (\\n in JSON or .env text); header lines stand before the body and hold no other mark.
 _ARMOUR = re.compile(
     r"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----(?:\s|\\[rn])*+"
@@ -150,6 +151,22 @@ def is_armoured_key(label: str, headers: str, body: str) -> bool:
     return is_key(data)
 
 
+def token_spans(text: str):
+    """Start and end of three dotted runs, the first from an ``eyJ`` on, leftmost first and non-overlapping.
+
+    Each run is found once: if what follows it does not fit, it fits no later ``eyJ`` in it either.
+    """
+    at = text.find("eyJ")
+    while at >= 0:
+        end = _RUN.match(text, at).end()
+        body = _RUN.match(text, end + 1) if text[end : end + 1] == "." else None
+        if body and text[body.end() : body.end() + 1] == ".":
+            last = _RUN.match(text, body.end() + 1)
+            end = last.end() if last else body.end() + 1
+            yield at, end
+        at = text.find("eyJ", end)
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -171,7 +188,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates whose structure holds."""
     out = []
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m.group())]
+        out += [(a, 3, b) for a, b in token_spans(text) if is_signed_token(text[a:b])]
     if "-----BEGIN" in text:
         out += [(m.start(), 4, m.end()) for m in _ARMOUR.finditer(text)
                 if is_armoured_key(*m.groups())]

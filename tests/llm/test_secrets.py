@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 
 from pavilion.llm import secrets
 
@@ -93,3 +95,19 @@ def test_armour_with_headers_written_line_ends_and_blocks():
     began = time.time()
     confirmed_spans("-----BEGIN KEY-----\nA: b\n" * 20_000)
     assert time.time() - began < 10
+
+
+def test_token_spans_like_the_pattern():
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choices(["eyJ", ".", "a", "-", " ", "é"], [4, 5, 3, 1, 1, 1], k=rng.randint(0, 25)))
+        assert list(secrets.token_spans(text)) == [m.span() for m in pattern.finditer(text)]
+
+
+def test_long_token_runs_take_linear_time():
+    start = time.perf_counter()
+    for text in ("eyJ" * 400_000, "eyJa." * 250_000, "eyJ..eyJ." * 120_000, ("-----BEGIN KEY-----" + "A" * 50) * 15_000, "password " * 120_000):
+        secrets.confirmed_spans(text)
+        secrets.base_spans(text)
+    assert time.perf_counter() - start < 30
