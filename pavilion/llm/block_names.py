@@ -3,7 +3,7 @@
 A normalised text (each run of white space becomes one space) is cut into blocks of a fixed number of bytes. Sorting the
 blocks gives equal ones, and only equal ones, the same integer name. Then adjacent names of a text are paired, the pairs
 sorted and named in turn, until each text has a single name. The name and the number of blocks are a collision-free
-identity: no digest decides about equality.
+identity: no digest decides about equality. ``keep_first`` finds the kept rows again by doc_id and SHA-256 of the text.
 
 How it scales. Inside each Arrow batch equal blocks are replaced by one representative before anything is shuffled, so a
 block that a third of all rows share reaches its sorting task once per batch. Block contents are shuffled once; all later
@@ -11,7 +11,8 @@ rounds move integers only, and only for texts of more than one block. The block
 row ids and representatives are the same for every later reader and after a lost executor.
 
 Null text counts as the empty text (one empty block). Rows with equal doc_id are separate rows; among equal texts with
-the same smallest doc_id, one row is kept. A null doc_id sorts after all others. Extra columns are not touched; an empty
+the same smallest doc_id, one row is kept (``keep_first``: the one whose columns have the smallest hash, so reruns agree).
+A null doc_id sorts after all others. Extra columns are not touched; an empty
 table gives an empty result.
 """
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pavilion.llm.common import documents, packed, shards, slices, staged, unpacked
+from pavilion.llm.common import documents, hashed, packed, shards, slices, staged, unpacked
 
 BLOCK_BYTES = 8192
 
@@ -139,9 +140,9 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def keep_first(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input's rows and columns without later copies."""
     kept = dedup(docs, block_bytes).filter("kept").select("doc_id", "text_sha256").distinct()
-    rows = packed(docs, id=F.col("doc_id"), sha=F.sha2(normalised(F.col("text")), 256))
+    rows = packed(docs, id=F.col("doc_id"), sha=F.sha2(normalised(F.col("text")), 256), tie=hashed(docs))
     rows = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
-    one = Window.partitionBy("sha", "id").orderBy("id")
+    one = Window.partitionBy("sha", "id").orderBy("tie")
     return unpacked(rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1"))
 
 

@@ -65,3 +65,12 @@ def test_like_sql(spark, sf_dir):
     from oracle_compare import compare, duck
 
     assert compare(block_names.op10_block_names(spark, sf_dir), duck(sf_dir), block_names.ORACLE_SQL) == ""
+
+
+def test_one_of_equal_rows_stays_whatever_the_layout(spark):
+    rows = [(1, "a  b", s) for s in "xyz"] + [(1, "a b", "w"), (2, "a b", "v")]
+    kept = set()
+    for seed, n in enumerate((1, 2, 3, 5)):
+        docs = spark.createDataFrame(rows[seed:] + rows[:seed], "doc_id long, text string, source string").repartition(n)
+        kept.add(tuple(map(tuple, keep_first(docs).collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 1
