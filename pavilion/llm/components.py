@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of every node at its smallest neighbour, then the smaller ones; the number of
     rounds grows with the logarithm of the longest chain. A round is written to the shared folder. Only the number of
-    links and a check sum come back to the driver. A hub's neighbours are a plain join side, which Spark can split.
+    links and a check sum come back to the driver. The smallest neighbours are written before they are joined, so both join
+    sides are plain shuffles and Spark can split a hub's.
     """
     edges = staged(_down(links), "links")
     before = None
@@ -34,14 +35,14 @@ def _down(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    low = staged(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lowest")
     up = edges.select(F.col("b").alias("a"), F.col("a").alias("other"))
     return up.join(low, "a").select(F.col("other").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, linked to the smallest of them."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    low = staged(edges.groupBy("a").agg(F.min("b").alias("low")), "lowest")
     moved = edges.join(low, "a")
     return _down(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
         low.select("a", F.col("low").alias("b"))))

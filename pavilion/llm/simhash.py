@@ -162,14 +162,17 @@ def _shard_links(radius: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
         for batch in batches:  # rows come sorted by shard
-            held.append((batch.column("shard").to_numpy(), batch.column("fp").to_numpy()))
-            rows += batch.num_rows
-            if rows >= RUN_ROWS:
-                shard, fp = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
-                if cut:
-                    yield links(shard[:cut], fp[:cut])
-                held, rows = [(shard[cut:], fp[cut:])], len(shard) - cut
+            if not batch.num_rows:
+                continue
+            shard, fp = batch.column("shard").to_numpy(), batch.column("fp").to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+            # Batches of one shard stay apart until it ends, so a long one is put together once.
+            if rows >= RUN_ROWS and (cut or shard[0] != held[-1][0][-1]):
+                held.append((shard[:cut], fp[:cut]))
+                yield links(*(np.concatenate(x) for x in zip(*held)))
+                held, rows, shard, fp = [], 0, shard[cut:], fp[cut:]
+            held.append((shard, fp))
+            rows += len(shard)
         if rows:
             yield links(*(np.concatenate(x) for x in zip(*held)))
 
@@ -204,7 +207,7 @@ def near_dups(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFr
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class)."""
     rows = staged(fingerprints(docs, k), "prints")
     classes = _classes(staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct"), radius)
-    names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = staged(classes.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     lookup = staged(classes.select("fp", "root").join(names, "root").select("fp", "component_id"), "classes")
     return rows.join(lookup, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,9 +1,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from pavilion.llm import components as connected
 from pavilion.llm import simhash
 from pavilion.llm.components import components
 
@@ -139,3 +142,41 @@ def test_whole_table(spark, sf_dir):
     want = brute_classes(prints)
     got = simhash.op2_simhash_near_dups(spark, sf_dir).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{prints[d]:016x}", want[d]) for d in prints}
+
+
+def test_shards_in_many_batches():
+    """A shard that goes on over batches is searched as one, whatever the batches are."""
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 8, 400).astype(np.int64)
+    shard = np.sort(rng.integers(0, 4, 400)).astype(np.int64)
+    expected = None
+    for size in (1, 7, 64, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(shard[i : i + size]), pa.array(fp[i : i + size])], names=["shard", "fp"])
+                   for i in range(0, 400, size)]
+        saved, simhash.RUN_ROWS = simhash.RUN_ROWS, 5
+        try:
+            links = {(a, b) for out in simhash._shard_links(1)(batches) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        finally:
+            simhash.RUN_ROWS = saved
+        expected = expected or links
+        assert links == expected and links
+
+
+def test_hub_is_split(spark):
+    """A node with many links is a skewed join side that Spark splits."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+             "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        hub = spark.range(0, 300_000).select(F.col("id").alias("a"), F.lit(-1).cast("long").alias("b")).unionByName(
+            spark.range(0, 3000).select((F.col("id") * 100 + 10**6).alias("a"), (F.col("id") + 10**5).alias("b")))
+        star = connected._small_star(hub)
+        star.collect()
+        swapped = connected._large_star(hub.select(F.col("b").alias("b"), F.col("a").alias("a")))
+        swapped.collect()
+        assert "skew=true" in star._jdf.queryExecution().executedPlan().toString() or "skew=true" in swapped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
