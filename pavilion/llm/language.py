@@ -6,11 +6,15 @@ computed by the forward algorithm; a text's score is the sum of its words' log s
 (equal priors) is the result. The probabilities are fitted by expectation-maximisation: the forward-backward sums of a
 language's words give expected piece counts, which give the next probabilities.
 
-A word is a run of letters, lower-cased, with the space before it; a run beyond ``CHUNK`` letters counts as several.
+A word is a run of letters, lower-cased, with the space before it. A combining mark is no letter and ends a run, so words
+written with marks that do not compose are several runs. Words are scored whole, however long they are; only the fit
+cuts runs beyond ``CHUNK`` letters.
 
-How it scales. The fit reads a bounded sample: whole texts of at most ``TRAIN_DOCS`` rows per language, those with the
-smallest hash of doc_id. Expected counts are summed in Spark; the driver sees one number per piece and language. Every
-text is then scored in one pass without a shuffle; a task remembers the scores of words it has met (a bounded cache).
+How it scales. The fit reads a bounded sample: at most ``TRAIN_DOCS`` rows per language, those with the smallest hashes of
+doc_id and text; rows equal in both are read once and weigh as many. At most ``LANGUAGES`` languages can be learned, as the
+piece probabilities of all are broadcast: more values of lang are an error. Expected counts are summed in Spark; the
+driver sees one number per piece and language. Every text is then scored in one pass without a shuffle; a task remembers
+the scores of words it has met (a bounded cache).
 
 Null text or text without a letter is ``und`` with score 0, and so is everything if no row can be learned from. Rows with
 null lang, text or doc_id are not learned from; a null doc_id is not held out. Ties go to the first language in order.
@@ -35,7 +39,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TRAIN_DOCS = 2000  # rows per language the fit may read
 ROUNDS = 3
 PRIOR = 0.05  # pseudo-count of each piece
-CHUNK = 24  # letters
+CHUNK = 24  # letters of a run the fit takes at once
+LANGUAGES = 500  # whose probabilities, 0.4 MB each, are broadcast
+LATTICE_BYTES = 4 * CHUNK + 1  # a longer word is scored alone, step by step
+STRETCH = 1 << 18  # numbers of its weights held at once
 CACHE_TOKENS = 300_000  # after which a task forgets the scores it remembers
 SCORED_BYTES = 1 << 22  # text bytes scored at once
 UNKNOWN = "und"
@@ -58,8 +65,15 @@ def words_of_token(token: str) -> list[bytes]:
     return [(" " + run[i : i + CHUNK]).encode() for run in runs for i in range(0, len(run), CHUNK)]
 
 
+def whole_words_of_token(token: str) -> list[bytes]:
+    """The words of a run of word characters, however long."""
+    if token.isalpha():
+        return [(" " + token).encode()]
+    return [(" " + run).encode() for run in "".join(c if c.isalpha() else " " for c in token).split()]
+
+
 def words_of(text: str) -> list[bytes]:
-    return [w for t in tokens_of(text) for w in words_of_token(t)]
+    return [w for t in tokens_of(text) for w in whole_words_of_token(t)]
 
 
 class Vocabulary:
@@ -165,6 +179,51 @@ class Lattice:
         return uses
 
 
+def long_score(word: bytes, theta: np.ndarray, path: str) -> np.ndarray:
+    """Log scores of one word of any length: the forward sums pass along its bytes, and are scaled back where they leave
+    the range of doubles, for each language by itself."""
+    known, n_langs = vocabulary(path), theta.shape[1]
+    width = known.longest
+    data = np.frombuffer(word, np.uint8)
+    extended = np.vstack([theta, np.zeros(n_langs)])  # row -1: no such piece
+    power = (_SCALE ** np.arange(1, width + 1))[None, :, None]
+    window, log = np.zeros((width, n_langs)), np.zeros(n_langs)
+    window[-1] = 1.0  # the sums at the last ``width`` borders
+    step = max(1, STRETCH // (width * n_langs))
+    for at in range(0, len(data), step):
+        back = max(0, at - width)
+        sums, n = prefix(data[back : at + step]), min(step, len(data) - at)
+        piece = np.full((n, width), -1, np.int64)
+        for size in range(1, width + 1):
+            end = np.arange(max(at + 1, size), at + n + 1)
+            if len(end):
+                piece[end - at - 1, size - 1] = known.find(span_hash(sums, end - size - back, end - back))
+        weight = extended[piece] * power
+        run = np.concatenate([window, np.zeros((n, n_langs))])
+        for i in range(n):
+            sums_here = np.einsum("nl,nl->l", weight[i], run[i : i + width][::-1])
+            run[i + width] = sums_here
+            if not (1e-80 < sums_here.min() and sums_here.max() < 1e80):
+                some = sums_here > 0
+                factor = np.where(some, sums_here, 1.0)
+                run[i + 1 : i + width + 1] /= factor
+                log += np.log(factor)
+        window = run[n:]
+    return np.log(np.maximum(window[-1], 1e-300)) + log - len(word) * np.log(_SCALE)
+
+
+def log_scores(words: list[bytes], theta: np.ndarray, path: str) -> np.ndarray:
+    """Words x languages: the log of each word's sum over all its segmentations."""
+    out = np.empty((len(words), theta.shape[1]))
+    size = np.array([len(w) for w in words], np.int64)
+    short, long = np.flatnonzero(size <= LATTICE_BYTES), np.flatnonzero(size > LATTICE_BYTES)
+    if len(short):
+        out[short] = Lattice([words[i] for i in short], path).log_scores(theta)
+    for i in long:
+        out[i] = long_score(words[i], theta, path)
+    return out
+
+
 def learnable() -> Column:
     """Rows to learn from: the check sum of doc_id leaves another remainder than the held-out one."""
     return F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1)
@@ -176,26 +235,33 @@ def fold() -> Column:
 
 def word_counts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(lang, word, n) over the sample of the rows to learn from."""
-    rows = docs.select("doc_id", "lang", "text").filter(learnable())
-    ids = rows.select("doc_id", "lang")
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("tie")).filter(learnable())
+    keys = staged(rows.groupBy("lang", "doc_id", "tie").agg(F.count("*").alias("copies")), "learnable")
     # Of a language with many rows, only hashes in the lowest part are ranked: about twice as many as are wanted.
-    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("rows")))  # a row per language
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    low = ids.withColumn("part", part).join(sizes, "lang").filter(F.col("part") * F.col("rows") < 2.0 * most + 100)
-    order = Window.partitionBy("lang").orderBy("part", "doc_id")
-    chosen = low.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    # At most ``most`` ids for each language: a bounded broadcast.
-    sample = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    part = F.pmod(F.col("tie"), F.lit(1 << 20)) / (1 << 20)
+    low = keys.withColumn("part", part).join(keys.groupBy("lang").agg(F.count("*").alias("rows")), "lang")
+    low = low.filter(F.col("part") * F.col("rows") < 2.0 * most + 100)
+    order = Window.partitionBy("lang").orderBy("part", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = low.withColumn("left", most - F.sum("copies").over(order) + F.col("copies")).filter(F.col("left") > 0)
+    chosen = staged(chosen.select("lang", "doc_id", "tie", F.least("left", "copies").alias("weight")), "learned")
+    if (n_langs := chosen.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{n_langs} languages to learn; at most {LANGUAGES} are possible")
+    # At most ``most`` short rows for each of at most ``LANGUAGES`` languages: a bounded broadcast.
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id", "tie"]).groupBy("lang", "doc_id", "tie").agg(
+        F.first("text").alias("text"), F.first("weight").alias("weight"))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, Counter] = {}
-        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-            found.setdefault(lang, Counter()).update(tokens_of(text))
+        for lang, text, weight in zip(*(part.column(c).to_pylist() for c in ("lang", "text", "weight"))):
+            total = found.setdefault(lang, Counter())
+            for token, n in Counter(tokens_of(text)).items():
+                total[token] += weight * n
         rows_ = [(lang, w, n) for lang, c in found.items() for t, n in c.items() for w in words_of_token(t)]
         lang, word, n = zip(*rows_) if rows_ else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
+    sample = sample.select("lang", "text", "weight")
     return sample.mapInArrow(by_slice(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -205,6 +271,7 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str
     n_pieces = vocabulary(path).n
     counts = staged(word_counts(docs, most).repartition(shards(spark), "lang", "word"), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    place = {lang: i for i, lang in enumerate(langs)}
     theta = np.full((n_pieces, len(langs)), 1.0 / n_pieces)
     for _ in range(rounds if langs else 0):
         shared = spark.sparkContext.broadcast(theta)
@@ -213,12 +280,13 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str
             total: dict[str, np.ndarray] = {}
             for b in batches:
                 rows = b.to_pydict()
-                for i, lang in enumerate(langs):
-                    mine = [j for j, x in enumerate(rows["lang"]) if x == lang]
-                    if mine:
-                        uses = Lattice([rows["word"][j] for j in mine], path).expected(
-                            shared.value[:, i], np.array([rows["n"][j] for j in mine], float))
-                        total[lang] = total.get(lang, 0) + uses
+                by_lang: dict[str, list[int]] = {}
+                for j, x in enumerate(rows["lang"]):
+                    by_lang.setdefault(x, []).append(j)
+                for lang, mine in by_lang.items():
+                    uses = Lattice([rows["word"][j] for j in mine], path).expected(
+                        shared.value[:, place[lang]], np.array([rows["n"][j] for j in mine], float))
+                    total[lang] = total.get(lang, 0) + uses
             for lang, uses in total.items():
                 used = np.flatnonzero(uses)
                 yield pa.RecordBatch.from_arrays(
@@ -230,8 +298,7 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str
             F.sum(F.col("uses").cast("decimal(28,8)")).cast("double").alias("uses"))
         theta = np.full((n_pieces, len(langs)), PRIOR)
         for batch in sums.toArrow().to_batches():  # one number per piece and language
-            column = {lang: i for i, lang in enumerate(langs)}
-            lang = np.array([column[x] for x in batch.column("lang").to_pylist()], int)
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], int)
             theta[batch.column("piece").to_numpy(), lang] += batch.column("uses").to_numpy()
         theta /= theta.sum(axis=0)
         shared.unpersist()
@@ -294,11 +361,11 @@ def _scorer(spark: SparkSession, langs: list[str], theta: np.ndarray, path: str,
                 known, scores, n_words = _Tokens(), scores[:0], n_words[:0]
             texts = [Counter(tokens_of(t)) if t else {} for t in part.column("text").to_pylist()]
             ids = [np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in texts]
-            new = [words_of_token(t) for t in known.drain()]
+            new = [whole_words_of_token(t) for t in known.drain()]
             n = np.array([len(w) for w in new], np.int64)
             added = np.zeros((len(new), len(langs)))
             if n.any() and langs:
-                per = Lattice([w for ws in new for w in ws], path).log_scores(shared.value)
+                per = log_scores([w for ws in new for w in ws], shared.value, path)
                 some = np.flatnonzero(n)
                 added[some] = np.add.reduceat(per, (np.cumsum(n) - n)[some], axis=0)
             scores, n_words = np.concatenate([scores, added]), np.concatenate([n_words, n])

@@ -1,9 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pavilion.llm import language
-from pavilion.llm.language import Lattice, words_of
+from pavilion.llm.language import Lattice, words_of, words_of_token
 
 
 def brute_score(word, pieces, p):
@@ -42,7 +44,47 @@ def test_forward_and_expected_counts(pieces):
 
 def test_words():
     assert words_of("The 3rd élève-x²y_z") == [b" the", b" rd", " élève".encode(), b" x", b" y", b" z"]
-    assert words_of("12 !? \n") == [] and len(words_of("a" * 100)) == 5
+    assert words_of("12 !? \n") == [] and words_of("a" * 100 + "1") == [b" " + b"a" * 100]
+    assert len(words_of_token("a" * 100)) == 5  # the fit cuts long runs
+    assert words_of("b" * 30 + "²" + "c" * 50) == [b" " + b"b" * 30, b" " + b"c" * 50]
+
+
+def test_long_words_are_scored_whole(pieces):
+    rng = np.random.default_rng(2)
+    theta = rng.random((len(pieces), 3))
+    theta /= theta.sum(0)
+    for word in (" the", " " + "banana" * 9, " " + "漢字かな" * 8):
+        per_step = language.long_score(word.encode(), theta, language.VOCABULARY)
+        assert np.allclose(per_step, Lattice([word.encode()], language.VOCABULARY).log_scores(theta)[0])
+    # Scores of a word of many equal parts grow with its length, far beyond the range of doubles.
+    one, two = (language.long_score(b" " + b"banana" * n, theta, language.VOCABULARY) for n in (3000, 6000))
+    assert np.isfinite(two).all() and (one < -700).all() and np.allclose(two / one, 2, rtol=1e-2)
+    small = language.long_score(b" " + b"banana" * 3000, theta, language.VOCABULARY)
+    saved, language.STRETCH = language.STRETCH, 1000
+    try:
+        assert np.allclose(small, language.long_score(b" " + b"banana" * 3000, theta, language.VOCABULARY))
+    finally:
+        language.STRETCH = saved
+
+
+def test_sample(spark):
+    """Repeated ids and rows lose no language, and no more rows are learned from than the limit says."""
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(free, "un deux trois", "fr")] * 3000 + [(free, f"eins zwei {chr(97 + i % 26)}x{i}", "de") for i in range(3000)]
+    rows += [(i, "one two three", "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {(r.lang, bytes(r.word).decode()): r.n for r in language.word_counts(docs, 100).collect()}
+    assert counts[("fr", " trois")] == counts[("de", " zwei")] == counts[("en", " three")] == 100
+    counts = {(r.lang, bytes(r.word).decode()): r.n for r in language.word_counts(docs, 5000).collect()}
+    assert counts[("fr", " trois")] == counts[("de", " zwei")] == 3000 and counts[("en", " three")] == len(ids)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "text", f"l{i % 9}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="at most 3"):
+        language.identify(docs)
 
 
 def test_held_out_accuracy(spark, sf_dir):
