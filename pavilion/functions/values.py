@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 NA = "N/A"
@@ -88,37 +90,58 @@ def _first_key(fields: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[filled(fields[k]) for k in keys])
 
 
-TEAM_DEPTH = 4  # levels of objects and lists below which a name is looked for
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, also inside the lambda of another function."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def _items(text: Column) -> Column:
     return F.from_json(F.when(text.startswith("["), text), "array<string>")
 
 
-def _name_below(text: Column, depth: int) -> Column:
-    """Name in the text of a value: of an object, of the first item of a list that has one, or the text itself."""
-    fields = object_map(text)
-    if depth == 0:
-        return F.coalesce(_first_key(fields, TEAM_NAME_KEYS), F.when(~text.rlike(r"^[\[{]"), text))
-    # What lies below, in order: the nested objects, or the items of a list.
-    nested = F.array(*[F.when(filled(fields[k]).startswith("{"), filled(fields[k])) for k in TEAM_NESTED_KEYS])
-    below = F.coalesce(F.when(fields.isNotNull(), nested), F.transform(_items(text), filled))
-    names = F.transform(below, lambda x: _name_below(x, depth - 1))
-    found = F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
-    is_json = fields.isNotNull() | _items(text).isNotNull()
-    return F.when(is_json, F.coalesce(_first_key(fields, TEAM_NAME_KEYS), found)).otherwise(text)
+_WALK = "struct<name: string, todo: array<string>>"
+
+
+def _look(state: Column) -> Column:
+    """The walk one value further: the first text to do is a name, or gives way to what lies in it, in order."""
+    head, rest = F.get(state["todo"], F.lit(0)), F.slice(state["todo"], 2, F.greatest(F.size(state["todo"]) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    known = lambda texts: F.filter(texts, lambda x: x.isNotNull())
+
+    def step(read: Column) -> Column:
+        fields, items = read["fields"], read["items"]
+        nested = F.array(*[F.when(filled(fields[k]).startswith("{"), filled(fields[k])) for k in TEAM_NESTED_KEYS])
+        name = F.when(fields.isNotNull(), _first_key(fields, TEAM_NAME_KEYS)).when(items.isNull(), read["text"])
+        below = F.when(fields.isNotNull(), known(nested)).when(items.isNotNull(), known(F.transform(items, filled))).otherwise(none)
+        return F.struct(name.alias("name"), F.concat(below, rest).alias("todo")).cast(_WALK)
+
+    read = F.struct(head.alias("text"), object_map(head).alias("fields"), _items(head).alias("items"))
+    return F.when(state["name"].isNotNull() | (F.size(state["todo"]) == 0), state).otherwise(bound(read, step))
+
+
+def _name_inside(text: Column) -> Column:
+    """Name in the text of an object or list: of an object, of the first item of a list that has one, however deep.
+
+    Each step takes one value, and a text holds no more values than brackets, braces and commas.
+    """
+    values = F.length(F.regexp_replace(text, r"[^\[{,]", "")) + 1
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.array(text).alias("todo")).cast(_WALK)
+    return F.aggregate(F.sequence(F.lit(1), values), start, lambda state, _: _look(state))["name"]
 
 
 def team_name(c: Column, fields: Column | None = None) -> Column:
-    """Team name from plain text, or from the JSON text of objects and lists, nested up to ``TEAM_DEPTH`` levels.
+    """Team name from plain text, or from the JSON text of objects and lists, nested to any depth.
 
     Text that only looks like JSON is returned as it is. ``fields`` may hold
     ``object_map(c)`` when the caller already has it.
     """
     text = filled(c)
-    direct = _first_key(object_map(text) if fields is None else fields, TEAM_NAME_KEYS)
+    fields = object_map(text) if fields is None else fields
     plain = F.when(~text.rlike(r"^[\[{]"), text)
-    return F.coalesce(plain, direct, _name_below(text, TEAM_DEPTH))
+    # Most names lie in the object itself or in the first one below it; only others need the walk.
+    below = F.coalesce(*[F.when(filled(fields[k]).startswith("{"), filled(fields[k])) for k in TEAM_NESTED_KEYS])
+    shallow = _first_key(object_map(below), TEAM_NAME_KEYS)
+    return F.coalesce(plain, _first_key(fields, TEAM_NAME_KEYS), shallow, F.when(text.isNotNull(), _name_inside(text)))
 
 
 def team_id(c: Column, fields: Column | None = None) -> Column:

@@ -34,11 +34,12 @@ SQL = {
     "NZ1_flat_matches": sql(f"WITH {_FLAT} SELECT * FROM flat"),
     "NZ2_canonical_from_flat": sql(_CANON),
     "NZ2_canonical_from_raw": sql(_CANON),
-    "NZ3_team_names": sql("SELECT match_id, CASE WHEN match_id % 5 < 4 OR match_id % 10 = 9 THEN team1 END AS team_name FROM v_matches"),
+    "NZ3_team_names": sql("SELECT match_id, CASE WHEN match_id % 5 < 4 OR match_id % 10 = 9 OR match_id % 20 = 14 THEN team1 END AS team_name FROM v_matches"),
     "NZ4_team_ids": sql(f"""
       SELECT match_id, CASE match_id % 5 WHEN 0 THEN {_text('team1_id')} WHEN 1 THEN {_text('team1_id')}
         WHEN 2 THEN '[{{}},{{"teamName":"' || team1 || '"}}]' WHEN 3 THEN team1
-        WHEN 4 THEN CASE WHEN match_id % 10 = 9 THEN '[[{{"team":{{"teamId":' || team1_id || ',"teamName":"' || team1 || '"}}}}]]' END END AS team_id
+        WHEN 4 THEN CASE WHEN match_id % 20 = 14 THEN '[[],[' || repeat('{{"teamInfo":{{"team":', 4) || '{{"teamInfo":{{"shortName":"' || team1 || '"}}}}'
+            || repeat('}}', 8) || ']]' WHEN match_id % 10 = 9 THEN '[[{{"team":{{"teamId":' || team1_id || ',"teamName":"' || team1 || '"}}}}]]' END END AS team_id
       FROM v_matches"""),
     "NZ5_timestamps": sql(f"""
       SELECT match_id, CASE WHEN match_id % 4 < 2 THEN {stamp('start_date')} END AS start_date FROM v_matches"""),

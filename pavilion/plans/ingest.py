@@ -40,14 +40,19 @@ def canonical_from_raw(t: Star) -> DataFrame:
 
 
 def _team_shapes(t: Star) -> DataFrame:
-    """First team of each match in one of six shapes."""
+    """First team of each match in one of seven shapes, the deepest twelve levels deep."""
     m = t.matches("match_id", "team1", "team1_id")
     key, name, number = F.col("match_id"), F.col("team1"), F.col("team1_id")
     plain = F.struct(number.alias("teamId"), name.alias("teamName"))
     nested = F.struct(number.alias("id"), F.struct(F.lit("").alias("name"), name.alias("shortName")).alias("teamInfo"))
     listed = F.array(F.struct(F.lit(None).cast("string").alias("teamName")), F.struct(name.alias("teamName")))
+    deep = F.struct(name.alias("shortName"))
+    for level in range(9):  # objects in objects, with a list between
+        deep = F.struct(deep.alias("team" if level % 2 else "teamInfo"))
+    deep = F.array(F.array(), F.array(deep))
     value = (
-        F.when(key % 10 == 9, F.to_json(F.array(F.array(F.struct(plain.alias("team")))))).when(key % 5 == 0, F.to_json(plain)).when(key % 5 == 1, F.to_json(nested))
+        F.when(key % 20 == 14, F.to_json(deep))
+        .when(key % 10 == 9, F.to_json(F.array(F.array(F.struct(plain.alias("team")))))).when(key % 5 == 0, F.to_json(plain)).when(key % 5 == 1, F.to_json(nested))
         .when(key % 5 == 2, F.to_json(listed)).when(key % 5 == 3, F.concat(F.lit("  "), name, F.lit(" ")))
     )
     return m.select("match_id", value.alias("team"))
@@ -77,12 +82,12 @@ def timestamps(t: Star) -> DataFrame:
 
 @query("NZ6_scorecard_batting", "Scorecard documents to batting rows")
 def batting_rows(t: Star) -> DataFrame:
-    return scorecard.scorecard_batting(scorecard_documents(t)).drop("meta", "batting_position")
+    return scorecard.scorecard_batting(scorecard_documents(t), meta=False).drop("batting_position")
 
 
 @query("NZ7_scorecard_bowling", "Scorecard documents to bowling rows")
 def bowling_rows(t: Star) -> DataFrame:
-    return scorecard.scorecard_bowling(scorecard_documents(t)).drop("meta")
+    return scorecard.scorecard_bowling(scorecard_documents(t), meta=False)
 
 
 @query("NZ8_scorecard_lines", "Scorecards as shown, with the extras line")

@@ -192,3 +192,37 @@ def test_saved_documents(spark, tmp_path):
     assert sorted((r.endpoint, r.subject) for r in df.collect()) == [("live", None), ("scard", "40")]
     assert feed.normalize_matches(df.where("endpoint = 'live'")).count() == 4
     assert [r.subject for r in snapshots.corrupt(df).collect()] == ["40"]
+
+
+def test_team_name_at_any_depth(spark):
+    def nested(depth, value):  # objects inside, lists around them
+        for level in range(depth):
+            value = {"teamInfo" if level % 3 else "team": value} if level < (depth + 1) // 2 and isinstance(value, dict) else [None, {}, value]
+        return json.dumps(value)
+
+    values = [nested(n, {"name": f"T{n}"}) for n in range(41)] + [nested(12, {"x": 1}), nested(5, "plain"), '[{"team": {"a": 1}}, "later"]', "[broken"]
+    values += ['{"team": {"team": {"id": 4}}, "teamInfo": {"team": {"shortName": "second"}}}', json.dumps([{"id": i} for i in range(500)] + ["end"])]
+    assert column(spark, values, team_name) == [*[f"T{n}" for n in range(41)], None, "plain", "later", "[broken", "second", "end"]
+
+
+def test_scorecards_with_odd_parts(spark):
+    """A part of the wrong shape costs that part only."""
+    odd = {"scorecard": [
+        {"inningsId": "7", "inningsid": "", "batsman": [None, {"name": "A", "runs": 1, "wicketInfo": "x"}], "bowler": "none", "extras": "none"},
+        {"batsman": {"name": "B"}, "batting": [{"batsman": "C", "score": "2", "4s": 1, "more": {"k": [1]}}], "bowlers": [{"player_name": "W", "runs_conceded": 9}, None]},
+        {"innings_id": 9, "batsmen": [{"Name": "no"}, {"player_name": "D", "out": "lbw"}]}]}
+    df = docs(spark, odd, "not json", "{}", match_id="m")
+    for meta in (True, False):
+        got = sorted((r.innings_id, r.player_name, r.runs, r.fours, r.dismissal, r.batting_position) for r in scorecard.scorecard_batting(df, meta=meta).collect())
+        assert [g[:5] for g in got] == [("2", "C", 2, 1, ""), ("7", "A", 1, None, ""), ("9", "D", None, None, "lbw")]
+        assert [(r.innings_id, r.player_name, r.runs_conceded) for r in scorecard.scorecard_bowling(df, meta=meta).collect()] == [("2", "W", 9)]
+    (extra,) = [json.loads(r.meta) for r in scorecard.scorecard_batting(df).collect() if r.player_name == "C"]
+    assert json.loads(extra["more"]) == {"k": [1]} and "score" in extra
+
+
+def test_a_scorecard_is_parsed_once(spark):
+    df = docs(spark, CARD, match_id="m")
+    plans = [scorecard.scorecard_batting(df, meta=False), scorecard.scorecard_bowling(df, meta=False), scorecard.scorecard_lines(df)]
+    for plan in plans:
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("from_json(") == 1 and "get_json_object" not in text
