@@ -32,7 +32,8 @@ EVERY = 100  # rows whose vec_id is divisible by it are anchors
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH, WHOLE = 30, 90, 100  # LOW * positive <= WHOLE * negative <= HIGH * positive
 ANCHORS = 4096  # per block
-STEP = 1024  # rows of a task scored at once
+PAIRS = 1 << 19  # of rows and anchors looked at together
+FEW = 0.1  # share of pairs below which they are followed one by one
 SEGMENTS = (1, 4, 16)  # from coarse to fine
 LAST = np.iinfo(np.int64).max  # stands for a null vec_id
 _EXACT = float(1 << 53)
@@ -67,31 +68,43 @@ class Summary:
         return out
 
 
+def _summable(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no inner product needs more digits than a double has."""
+    return not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < _EXACT
+
+
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of rows with rows, pair by pair, as longs."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < _EXACT:
+    if _summable(a, b):
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     exact = (sum(int(p) * int(q) for p, q in zip(x, y)) for x, y in zip(a, b))
     return np.array([min(max(s, -LAST - 1), LAST) for s in exact], np.int64)
 
 
+def _within(middle: np.ndarray, reach: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    slack = 1e-9 * (np.abs(middle) + reach) + 1e-3  # rounding of the bounds
+    return (middle + reach + slack >= least) & (middle - reach - slack <= most)
+
+
 def candidates(rows: Summary, anchors: Summary, allowed: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, anchor, score) of allowed pairs (rows x anchors) whose score can be within least and most (per anchor).
 
-    Level after level a pair goes when its bounds lie outside; what is left is scored exactly.
+    Level after level a pair goes when its bounds lie outside; what is left is scored exactly. While many pairs are left,
+    all are computed as one product of matrices; a few are followed one by one.
     """
+    levels = list(zip(rows.levels, anchors.levels))
+    at, enough = 0, FEW * allowed.size
+    while at < len(levels) and np.count_nonzero(allowed) > enough:
+        (m, s), (n, t) = levels[at]
+        allowed = allowed & _within(m @ n.T, s @ t.T, least, most)
+        at += 1
+    if np.count_nonzero(allowed) > enough and _summable(rows.x, anchors.x):
+        score = rows.x @ anchors.x.T
+        i, j = np.nonzero(allowed & (score >= least) & (score <= most))
+        return i, j, score[i, j].astype(np.int64)
     i, j = np.nonzero(allowed)
-    for level, ((m, s), (n, t)) in enumerate(zip(rows.levels, anchors.levels)):
-        if not len(i):
-            break
-        if level == 0:  # nearly all pairs are there: whole products are cheaper
-            middle, reach = (m @ n.T)[i, j], (s @ t.T)[i, j]
-        else:
-            middle, reach = np.einsum("ij,ij->i", m[i], n[j]), np.einsum("ij,ij->i", s[i], t[j])
-        slack = 1e-9 * (np.abs(middle) + reach) + 1e-3  # rounding of the bounds
-        keep = (middle + reach + slack >= least[j]) & (middle - reach - slack <= most[j])
+    for (m, s), (n, t) in levels[at:]:
+        keep = _within(np.einsum("ij,ij->i", m[i], n[j]), np.einsum("ij,ij->i", s[i], t[j]), least[j], most[j])
         i, j = i[keep], j[keep]
     score = scores(rows.x[i], anchors.x[j])
     keep = (score >= least[j]) & (score <= most[j])
@@ -174,7 +187,8 @@ def _search(shared, kind: str):
 
     def run(batches):
         lists = {size: Lists(block) for size, block in shared.value.items()}
-        step = 64  # few rows first, so that the lists have a floor early
+        most = max(16, PAIRS // max([1, *(len(block.uid) for block in shared.value.values())]))
+        step = 16  # few rows first, so that the lists have a floor early
         for b in batches:
             vec, at = b.column("vec").to_pylist(), 0
             uid, label = b.column("uid").to_numpy(), b.column("label").to_numpy()
@@ -185,7 +199,7 @@ def _search(shared, kind: str):
                     if (mine := lists.get(len(part[rows[0]]))) is not None:
                         x = Summary(whole_numbers(matrix([part[r] for r in rows], kind)))
                         mine.offer(uid[at + rows], vec_id[at + rows], label[at + rows], x)
-                at, step = at + step, min(2 * step, STEP)
+                at, step = at + step, min(2 * step, most)
         for mine in lists.values():
             slots = mine.block.low.shape[1]
             yield pa.RecordBatch.from_arrays([
