@@ -237,15 +237,17 @@ def word_counts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(lang, word, n) over the sample of the rows to learn from."""
     rows = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("tie")).filter(learnable())
     keys = staged(rows.groupBy("lang", "doc_id", "tie").agg(F.count("*").alias("copies")), "learnable")
-    # Of a language with many rows, only hashes in the lowest part are ranked: about twice as many as are wanted.
+    sizes = staged(keys.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    if (n_langs := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{n_langs} languages to learn; at most {LANGUAGES} are possible")
+    # Of a language with many rows, only hashes in the lowest part are ranked: about twice as many as are wanted. The sizes
+    # have at most ``LANGUAGES`` rows; joined otherwise, all rows of a language would meet in one task.
     part = F.pmod(F.col("tie"), F.lit(1 << 20)) / (1 << 20)
-    low = keys.withColumn("part", part).join(keys.groupBy("lang").agg(F.count("*").alias("rows")), "lang")
+    low = keys.withColumn("part", part).join(F.broadcast(sizes), "lang")
     low = low.filter(F.col("part") * F.col("rows") < 2.0 * most + 100)
     order = Window.partitionBy("lang").orderBy("part", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chosen = low.withColumn("left", most - F.sum("copies").over(order) + F.col("copies")).filter(F.col("left") > 0)
     chosen = staged(chosen.select("lang", "doc_id", "tie", F.least("left", "copies").alias("weight")), "learned")
-    if (n_langs := chosen.select("lang").distinct().count()) > LANGUAGES:
-        raise ValueError(f"{n_langs} languages to learn; at most {LANGUAGES} are possible")
     # At most ``most`` short rows for each of at most ``LANGUAGES`` languages: a bounded broadcast.
     sample = rows.join(F.broadcast(chosen), ["lang", "doc_id", "tie"]).groupBy("lang", "doc_id", "tie").agg(
         F.first("text").alias("text"), F.first("weight").alias("weight"))
