@@ -3,8 +3,8 @@
 Float sums depend on task order, so a re-run after a lost executor could give
 another last digit (and another row at a LIMIT tie). Rates are therefore summed
 as whole units of eight decimals, wide enough that no sum overflows, and means
-are one division of two exact integers. A rate that is no finite number counts
-as missing.
+are one division of two exact integers. A rate that is no finite number, or is
+10**10 or more, counts as missing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ _LARGEST = 10.0**10  # rates beyond are no rates
 
 
 def fixed(value: Column) -> Column:
-    """Rate in whole units of 1 / FIXED_SCALE, as a decimal; NULL when not finite."""
+    """Rate in whole units of 1 / FIXED_SCALE, as a decimal; NULL when not finite or too large."""
     units = F.floor(value.cast("double") * FIXED_SCALE + F.lit(0.5))
     return F.when(F.abs(value.cast("double")) < _LARGEST, units).cast("decimal(20,0)")
 
