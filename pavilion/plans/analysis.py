@@ -102,10 +102,9 @@ def players_per_role(t: Star) -> DataFrame:
 
 @query("S7_highest_score_by_format", "Highest score per format")
 def highest_score_by_format(t: Star) -> DataFrame:
-    per_match = t.batting("match_id", "runs").groupBy("match_id").agg(F.max("runs").alias("best"))
     return (
-        t.at_match(per_match, "match_format")
-        .groupBy("match_format").agg(F.max("best").alias("highest_score"))
+        t.batting_at("runs", at=["match_format"])
+        .groupBy("match_format").agg(F.max("runs").alias("highest_score"))
         .orderBy(desc("highest_score"), "match_format")
     )
 
@@ -146,7 +145,7 @@ def last_finished(t: Star, *, limit: int = 20) -> DataFrame:
 @query("S11_runs_across_formats", "Players of two formats or more, with runs per format")
 def runs_across_formats(t: Star, *, formats: dict[str, str] = FORMATS, min_formats: int = 2) -> DataFrame:
     per = (
-        t.at_match(t.batting("match_id", "player_id", "runs"), "match_format")
+        t.batting_at("player_id", "runs", at=["match_format"])
         .groupBy("player_id", "match_format").agg(F.sum("runs").alias("runs"))
     )
     wide = per.groupBy("player_id").agg(
@@ -216,11 +215,10 @@ def century_stands(t: Star, *, runs: int = 100) -> DataFrame:
 
 @query("S14_bowlers_at_venues", "Bowlers with three matches or more at a venue, spells of four overs or more")
 def bowlers_at_venues(t: Star, *, min_overs: int = 4, min_matches: int = 3) -> DataFrame:
-    spells = t.bowling("match_id", "player_id", "overs", "economy", "wickets").where(F.col("overs") >= min_overs)
+    spells = t.bowling_at("player_id", "overs", "economy", "wickets", at=["venue_id"]).where(F.col("overs") >= min_overs)
     measures = [*rate_of("economy"), total("total_wickets", F.col("wickets"))]
     per = (
-        t.at_match(spells, "venue_id")
-        .groupBy("player_id", "venue_id", "match_id").agg(*[m.partial() for m in measures])
+        spells.groupBy("player_id", "venue_id", "match_id").agg(*[m.partial() for m in measures])
         .groupBy("player_id", "venue_id")
         .agg(F.count(F.lit(1)).alias("matches_at_venue"), *[m.merge() for m in measures])
         .where(F.col("matches_at_venue") >= min_matches)
@@ -272,7 +270,7 @@ def close_match_players(t: Star, *, margin: int = 50) -> DataFrame:
 
 @query("S16_yearly_form", "Average runs and strike rate per player and year, five innings or more")
 def yearly_form(t: Star, *, since: int = 1996, min_innings: int = 5) -> DataFrame:
-    facts = t.at_match(t.batting("match_id", "player_id", "runs", "strike_rate"), "start_date")
+    facts = t.batting_at("player_id", "runs", "strike_rate", at=["start_date"])
     facts = facts.where(from_year(F.col("start_date"), since)).withColumn("year", F.year("start_date"))
     df = t.by_player(facts, [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "year")
     return (
@@ -302,10 +300,10 @@ def toss_advantage(t: Star) -> DataFrame:
 def limited_overs_economy(
     t: Star, *, formats: tuple[str, ...] = LIMITED_OVERS, min_matches: int = 10, min_overs: int = 2
 ) -> DataFrame:
-    m = t.matches("match_id", "match_format").where(F.col("match_format").isin(*formats)).select("match_id")
+    spells = t.bowling_at("player_id", "economy", "overs", "wickets", at=["match_format"])
     measures = [*rate_of("economy"), *rate_of("overs"), total("total_wickets", F.col("wickets"))]
     per = (
-        t.bowling("match_id", "player_id", "economy", "overs", "wickets").join(m, "match_id")
+        spells.where(F.col("match_format").isin(*formats))
         .groupBy("player_id", "match_id").agg(*[x.partial() for x in measures])
         .groupBy("player_id").agg(F.count(F.lit(1)).alias("matches"), *[x.merge() for x in measures])
         .where((F.col("matches") >= min_matches)
@@ -323,12 +321,11 @@ def limited_overs_economy(
 
 @query("S19_consistency_since", "Root mean square distance of recent scores from the all-time mean of the player")
 def consistency_since(t: Star, *, since: int = 1999, min_balls: int = 10) -> DataFrame:
-    facts = t.batting("match_id", "player_id", "runs", "balls")
     runs = F.col("runs")
-    career = facts.groupBy("player_id").agg(F.sum("runs").alias("_all"), F.count("runs").alias("_all_n"))
+    career = t.batting("player_id", "runs").groupBy("player_id").agg(F.sum("runs").alias("_all"), F.count("runs").alias("_all_n"))
     recent = (
-        t.at_match(facts.where(F.col("balls") >= min_balls), "start_date")
-        .where(from_year(F.col("start_date"), since))
+        t.batting_at("player_id", "runs", "balls", at=["start_date"])
+        .where((F.col("balls") >= min_balls) & from_year(F.col("start_date"), since))
         .groupBy("player_id")
         .agg(F.count(F.lit(1)).alias("innings"), F.sum(runs).alias("s"), F.count(runs).alias("n"),
              F.sum(runs * runs).alias("ss"))
@@ -351,7 +348,7 @@ def consistency_since(t: Star, *, since: int = 1999, min_balls: int = 10) -> Dat
 @query("S20_format_profile", "Innings and average per format side by side, twenty innings or more")
 def format_profile(t: Star, *, formats: dict[str, str] = FORMATS, min_innings: int = 20) -> DataFrame:
     per = (
-        t.at_match(t.batting("match_id", "player_id", "runs"), "match_format")
+        t.batting_at("player_id", "runs", at=["match_format"])
         .groupBy("player_id", "match_format")
         .agg(F.count(F.lit(1)).alias("k"), F.sum("runs").alias("s"), F.count("runs").alias("n"))
     )
@@ -541,14 +538,12 @@ def best_partnerships(t: Star, *, min_times: int = 2, limit: int = 20) -> DataFr
 def period_trend(
     t: Star, *, as_of: str = AS_OF, years: int = 2, min_balls: int = 3, min_innings: int = 3
 ) -> DataFrame:
-    recent = t.matches("match_id", "start_date").where(F.col("start_date") >= before(as_of, years=years))
     day = F.col("start_date")
-    recent = recent.select(
-        "match_id", F.concat(F.year(day), F.lit("-Q"), F.dayofweek(day) - 1).alias("quarter")
-    )
-    facts = t.batting("match_id", "player_id", "runs", "balls", "strike_rate").where(F.col("balls") >= min_balls)
+    facts = t.batting_at("player_id", "runs", "balls", "strike_rate", at=["start_date"])
+    facts = facts.where((F.col("balls") >= min_balls) & (day >= before(as_of, years=years)))
+    facts = facts.withColumn("quarter", F.concat(F.year(day), F.lit("-Q"), F.dayofweek(day) - 1))
     df = t.by_player(
-        facts.join(recent, "match_id"), [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "quarter"
+        facts, [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "quarter"
     ).where(F.col("matches") >= min_innings)
     avg = mean(F.col("runs_sum"), F.col("runs_n"))
     return (

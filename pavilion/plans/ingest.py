@@ -202,8 +202,8 @@ def land_bad_bodies(t: Star) -> DataFrame:
     )
 
 
-def store(t: Star, root: str) -> tuple[str, ...]:
-    """Write a star into canonical tables; gives back their names."""
+def store(t: Star, root: str, only: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Write a star (or ``only`` some tables of it) into canonical tables; gives back their names."""
     tables.ensure_tables(t.spark, root)
     text = lambda c: F.col(c).cast("string")
     parts = {
@@ -215,6 +215,7 @@ def store(t: Star, root: str) -> tuple[str, ...]:
         "bowling_stats": t.with_name(t.bowling()).withColumn("external_match_id", text("match_id")),
         "innings": t.innings().withColumn("external_match_id", text("match_id")),
     }
+    parts = {name: df for name, df in parts.items() if not only or name in only}
     for name, df in parts.items():
         tables.append_batch(df, root, name, "star", 1)
     return tuple(parts)

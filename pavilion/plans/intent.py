@@ -19,10 +19,10 @@ desc = F.desc
 
 @query("X1_format_runs_and_centuries", "Ten highest run totals in one format, with hundreds")
 def format_runs_and_centuries(t: Star, *, match_format: str = "2-HIGH", limit: int = 10) -> DataFrame:
-    m = t.matches("match_id", "match_format").where(F.col("match_format") == match_format).select("match_id")
+    facts = t.batting_at("player_id", "runs", "dismissal", at=["match_format"])
     out = F.col("dismissal").isNotNull() & (F.lower("dismissal") != "not out")
     df = t.by_player(
-        t.batting("match_id", "player_id", "runs", "dismissal").join(m, "match_id"),
+        facts.where(F.col("match_format") == match_format),
         [total("total_runs", F.col("runs")), total("_outs", flag(out)), total("centuries", flag(F.col("runs") >= 100))],
     )
     return (
@@ -107,7 +107,7 @@ FIELDER = r"^(?:c|st) (?!& b )(.+?) b "
 def format_ranking(t: Star, *, top: int = 10) -> DataFrame:
     out = F.col("dismissal").isNotNull() & (F.lower("dismissal") != "not out")
     key = t.name_key
-    facts = t.at_match(t.batting("match_id", "runs", "strike_rate", "dismissal"), "match_format")
+    facts = t.batting_at("runs", "strike_rate", "dismissal", at=["match_format"])
     bat = t.with_name(
         facts.groupBy("match_format", key).agg(
             *[m.partial() for m in (*mean_of("runs"), *rate_of("strike_rate"), total("outs", flag(out)))]
@@ -116,7 +116,7 @@ def format_ranking(t: Star, *, top: int = 10) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("runs_sum", "strike_rate_sum", "strike_rate_n", "outs")]
     )
     bowl = t.with_name(
-        t.at_match(t.bowling("match_id", "wickets", "runs_conceded"), "match_format")
+        t.bowling_at("wickets", "runs_conceded", at=["match_format"])
         .groupBy("match_format", key)
         .agg(F.sum("wickets").alias("wickets"), F.sum("runs_conceded").alias("conceded"))
     ).groupBy("match_format", "player_name").agg(F.sum("wickets").alias("wickets"), F.sum("conceded").alias("conceded"))
@@ -179,13 +179,11 @@ def quarterly_trajectory(
     t: Star, *, as_of: str = AS_OF, years: int = 2, min_balls: int = 3, min_innings: int = 3, step: float = 5.0
 ) -> DataFrame:
     """Ascending or declining when the average moved by more than ``step`` runs, else (or at first) stable."""
-    recent = t.matches("match_id", "start_date").where(F.col("start_date") >= before(as_of, years=years))
-    recent = recent.select(
-        "match_id", F.concat(F.year("start_date"), F.lit("-Q"), F.quarter("start_date")).alias("quarter")
-    )
-    facts = t.batting("match_id", "player_id", "runs", "balls", "strike_rate").where(F.col("balls") >= min_balls)
+    facts = t.batting_at("player_id", "runs", "balls", "strike_rate", at=["start_date"])
+    facts = facts.where((F.col("balls") >= min_balls) & (F.col("start_date") >= before(as_of, years=years)))
+    facts = facts.withColumn("quarter", F.concat(F.year("start_date"), F.lit("-Q"), F.quarter("start_date")))
     df = t.by_player(
-        facts.join(recent, "match_id"), [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "quarter"
+        facts, [rows("matches"), *mean_of("runs"), *rate_of("strike_rate")], "quarter"
     ).where(F.col("matches") >= min_innings)
     df = df.select(
         "player_name", "player_id", "quarter", "matches",

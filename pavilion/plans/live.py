@@ -101,11 +101,10 @@ def batting_by_format(t: Star) -> DataFrame:
         *mean_of("runs"), *rate_of("strike_rate"),
         total("total_fours", F.col("fours")), total("total_sixes", F.col("sixes")),
     ]
-    facts = t.batting("match_id", "runs", "strike_rate", "fours", "sixes")
-    known = t.matches("match_id", "match_format").where("match_format IS NOT NULL")
+    facts = t.batting_at("runs", "strike_rate", "fours", "sixes", at=["match_format"]).where("match_format IS NOT NULL")
     # Summed per (format, player) first: distinct players and the totals then come from few rows.
     per_player = (
-        facts.join(known, "match_id").groupBy("match_format", t.name_key).agg(*[m.partial() for m in measures])
+        facts.groupBy("match_format", t.name_key).agg(*[m.partial() for m in measures])
     )
     return (
         t.with_name(per_player)

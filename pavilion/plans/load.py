@@ -8,3 +8,4 @@ import pavilion.plans.intent  # noqa: F401
 import pavilion.plans.ingest  # noqa: F401
 import pavilion.plans.upkeep  # noqa: F401
 import pavilion.plans.streams  # noqa: F401
+import pavilion.plans.stored  # noqa: F401

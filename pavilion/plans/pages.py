@@ -242,25 +242,27 @@ def bowling_career_board(t: Star, *, order: str = "bowling_average", limit: int
     ).drop("player_id")
 
 
-def _format_year(t: Star, facts: DataFrame, match_format: str | None = None, year: int | None = None) -> DataFrame:
-    """Facts with format and year of their match; only matches of the given ones are read and joined."""
-    m = t.matches("match_id", "match_format", "start_date")
+_FORMAT_YEAR = ("match_format", "start_date")
+
+
+def _format_year(facts: DataFrame, match_format: str | None = None, year: int | None = None) -> DataFrame:
+    """Facts beside format and start of their match, of the given format and year only, with the year."""
     if match_format is not None:
-        m = m.where(F.col("match_format") == match_format)
+        facts = facts.where(F.col("match_format") == match_format)
     if year is not None:
-        m = m.where(from_year(F.col("start_date"), year, year))
-    return facts.join(m.select("match_id", "match_format", F.year("start_date").alias("year")), "match_id")
+        facts = facts.where(from_year(F.col("start_date"), year, year))
+    return facts.withColumn("year", F.year("start_date"))
 
 
 def batting_format_year(t: Star, match_format: str | None = None, year: int | None = None) -> DataFrame:
     """Batting aggregate per player, format and year (see ``store_format_year``)."""
-    per_match = t.batting("match_id", "player_id", "runs", "balls", "dismissal")
-    return batting_career(t, "match_format", "year", facts=_format_year(t, per_match, match_format, year))
+    facts = t.batting_at("player_id", "runs", "balls", "dismissal", at=_FORMAT_YEAR)
+    return batting_career(t, "match_format", "year", facts=_format_year(facts, match_format, year))
 
 
 def bowling_format_year(t: Star, match_format: str | None = None, year: int | None = None) -> DataFrame:
-    facts = t.bowling("match_id", "player_id", "wickets", "runs_conceded", "economy")
-    return bowling_career(t, "match_format", "year", facts=_format_year(t, facts, match_format, year))
+    facts = t.bowling_at("player_id", "wickets", "runs_conceded", "economy", at=_FORMAT_YEAR)
+    return bowling_career(t, "match_format", "year", facts=_format_year(facts, match_format, year))
 
 
 @query("P9_batting_format_year", "Batting aggregate per player, format and year")

@@ -183,9 +183,8 @@ def boundary_hitters(t: Star, *, limit: int = 20) -> DataFrame:
 @query("M17_recent_form", "Batting over the last 30 days, three innings or more")
 def recent_form(t: Star, *, as_of: str = AS_OF, days: int = 30, limit: int = 20, min_innings: int = 3) -> DataFrame:
     since = as_of_date(as_of) - F.make_dt_interval(F.lit(days))
-    recent = t.matches("match_id", "start_date").where(F.col("start_date") >= since).select("match_id")
     df = t.by_name(
-        t.batting("match_id", "runs", "strike_rate", "fours", "sixes").join(recent, "match_id"),
+        t.batting_at("runs", "strike_rate", "fours", "sixes", at=["start_date"]).where(F.col("start_date") >= since),
         [rows("recent_innings"), *mean_of("runs"), *rate_of("strike_rate"),
          total("fours", F.col("fours")), total("sixes", F.col("sixes"))],
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql.types import (
-    DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
+    BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
 _COLUMNS = {
@@ -47,6 +47,13 @@ SCHEMAS: dict[str, StructType] = {
 }
 
 
+# Columns of the match which the snapshot of a fact table carries, and whether the row's match was known then.
+FACTS = ("batting_stats", "bowling_stats")
+MATCH_KEY = "external_match_id"
+PLACED = ("match_format", "start_date", "venue_id")
+PLACE_FIELDS = [*(SCHEMAS["matches"][c] for c in PLACED), StructField("_placed", BooleanType())]
+
+
 @dataclass(frozen=True)
 class Rule:
     """``last`` or ``first`` row per key, or the ``whole`` latest group of rows per key."""

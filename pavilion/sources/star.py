@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pavilion.functions.measures import Measure, flag, mean
 from pavilion.functions.values import filled
+from pavilion.schemas import PLACED
 
 Pick = Callable[[DataFrame], DataFrame]
 
@@ -64,6 +65,14 @@ class Star:
         """Fact rows beside columns of their match."""
         return fact.join(self.matches("match_id", *cols), "match_id")
 
+    def batting_at(self, *cols: str, at: Sequence[str]) -> DataFrame:
+        """Batting rows beside the columns ``at`` of their match; rows without a match are left out."""
+        return self.at_match(self.batting(*_with_key(cols, "match_id")), *at)
+
+    def bowling_at(self, *cols: str, at: Sequence[str]) -> DataFrame:
+        """Bowling rows, likewise."""
+        return self.at_match(self.bowling(*_with_key(cols, "match_id")), *at)
+
     def teams(self, *cols: str) -> DataFrame:
         raise NotImplementedError
 
@@ -145,6 +154,19 @@ class CatalogStar(Star):
     def bowling(self, *cols: str) -> DataFrame:
         return self._table("bowling_stats", _with_key(_with_key(cols, "player_id"), self.name_key))
 
+    def _placed(self, name: str, cols: Sequence[str], at: Sequence[str]) -> DataFrame:
+        from pavilion.sources.tables import read_placed
+
+        df = read_placed(self.spark, self.root, name).withColumnsRenamed(self._RENAMES[name])
+        return df.withColumn("player_id", F.col("player_name")).select(*dict.fromkeys((*cols, "match_id", self.name_key, *at)))
+
+    def batting_at(self, *cols: str, at: Sequence[str]) -> DataFrame:
+        """Compacted facts carry format, start and venue of their match, so these need no join."""
+        return self._placed("batting_stats", cols, at) if set(at) <= set(PLACED) else super().batting_at(*cols, at=at)
+
+    def bowling_at(self, *cols: str, at: Sequence[str]) -> DataFrame:
+        return self._placed("bowling_stats", cols, at) if set(at) <= set(PLACED) else super().bowling_at(*cols, at=at)
+
     def innings(self, *cols: str, within: DataFrame | None = None) -> DataFrame:
         df = self._table("innings", ())
         if within is not None:

@@ -6,6 +6,11 @@ after a failure leaves no trace, and no table is rewritten to change some rows.
 ``compact`` writes the current rows as the snapshot of a new root. A table of
 which only a snapshot exists is read plainly; otherwise only the keys that newer
 batches touch are resolved, by the rule of the table.
+
+The snapshot of a fact table also carries format, start and venue of each row's
+match, and lies in ranges of the start, so that a question by format, date or
+venue is one scan of the facts which skips other years (``read_placed``). Rows of
+matches that newer batches touch take these columns from the match again.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructType, TimestampNTZType
 
 from pavilion.operators.maintenance import first_per_key, last_per_key
-from pavilion.schemas import RULES, SCHEMAS
+from pavilion.schemas import FACTS, MATCH_KEY, PLACE_FIELDS, PLACED, RULES, SCHEMAS
 
 SNAPSHOT = "compacted"
 # In snapshots: when a row was written last, while created_at is when it was first seen.
@@ -22,8 +27,13 @@ _WRITTEN = "_written"
 
 
 def _log_schema(name: str) -> StructType:
-    return StructType(list(SCHEMAS[name].fields)).add(_WRITTEN, TimestampNTZType()).add("feed", StringType()).add(
-        "batch_id", LongType())
+    fields = [*SCHEMAS[name].fields, *(PLACE_FIELDS if name in FACTS else ())]
+    return StructType(fields).add(_WRITTEN, TimestampNTZType()).add("feed", StringType()).add("batch_id", LongType())
+
+
+def _columns(name: str) -> list[str]:
+    """Columns of current rows: those of the table, the match columns of facts, the time of the last write."""
+    return [f for f in _log_schema(name).fieldNames() if f not in ("feed", "batch_id")]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -59,8 +69,7 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
 def _resolved(log: DataFrame, name: str) -> DataFrame:
     """Current rows of log rows, with the time of their last write."""
     rule = RULES[name]
-    seq, keys = [_WRITTEN, "batch_id", "feed"], list(rule.keys)
-    columns = [*SCHEMAS[name].fieldNames(), _WRITTEN]
+    seq, keys, columns = [_WRITTEN, "batch_id", "feed"], list(rule.keys), _columns(name)
     log = log.withColumn(_WRITTEN, F.coalesce(_WRITTEN, "created_at"))
     if rule.keep == "last":
         # The row changes, the time it was first seen does not.
@@ -75,15 +84,20 @@ def _resolved(log: DataFrame, name: str) -> DataFrame:
     return marked.join(newest, keys).where("_mark = _newest").select(*columns)
 
 
+def _parts(log: DataFrame) -> tuple[bool, bool]:
+    """Whether the log has a snapshot, and whether it has newer batches."""
+    in_snapshot = [f"/feed={SNAPSHOT}/" in f for f in log.inputFiles()]
+    return any(in_snapshot), not all(in_snapshot)
+
+
 def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
     log = read_log(spark, root, name)
-    files = log.inputFiles()
-    in_snapshot = [f"/feed={SNAPSHOT}/" in f for f in files]
-    if not any(in_snapshot):
+    has_snapshot, has_newer = _parts(log)
+    if not has_snapshot:
         return _resolved(log, name)
-    columns = [*SCHEMAS[name].fieldNames(), _WRITTEN]
+    columns = _columns(name)
     snapshot = log.where(F.col("feed") == SNAPSHOT)
-    if all(in_snapshot):
+    if not has_newer:
         return snapshot.select(*columns)
     newer, keys = log.where(F.col("feed") != SNAPSHOT), list(RULES[name].keys)
     touched = newer.select(*keys).distinct()
@@ -93,11 +107,53 @@ def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Current rows of a table."""
-    return _current(spark, root, name).drop(_WRITTEN)
+    return _current(spark, root, name).select(*SCHEMAS[name].fieldNames())
+
+
+def _games(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "matches").select(MATCH_KEY, *PLACED)
+
+
+def _snapshot_is_placed(spark: SparkSession, root: str, name: str) -> bool:
+    return "_placed" in spark.read.parquet(f"{root}/{name}/feed={SNAPSHOT}").columns
+
+
+def read_placed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Current rows of a fact table beside ``PLACED`` of their match; rows whose match is unknown are left out.
+
+    The same rows as a join with the matches. Facts of a snapshot already carry
+    these columns, so they are scanned without a join; where newer batches wrote
+    facts or matches, the facts meet the touched match ids only, a side that is
+    as small as those batches.
+    """
+    fields = [*SCHEMAS[name].fieldNames(), *PLACED]
+    logs = {n: read_log(spark, root, n) for n in (name, "matches")}
+    parts = {n: _parts(log) for n, log in logs.items()}
+    if not all(has for has, _ in parts.values()) or not _snapshot_is_placed(spark, root, name):
+        return read_table(spark, root, name).join(_games(spark, root), MATCH_KEY).select(*fields)
+    rows = _current(spark, root, name)
+    newer = [logs[n].where(F.col("feed") != SNAPSHOT).select(MATCH_KEY) for n, (_, has) in parts.items() if has]
+    if not newer:
+        return rows.where("_placed").select(*fields)
+    touched = (newer[0].unionByName(newer[1]) if len(newer) == 2 else newer[0]).distinct()
+    games = _games(spark, root).join(touched, MATCH_KEY, "left_semi").withColumn("_known", F.lit(True))
+    fresh = touched.join(games, MATCH_KEY, "left").select(
+        MATCH_KEY, F.coalesce("_known", F.lit(False)).alias("_known"), F.struct(*PLACED).alias("_fresh"))
+    hit = F.col("_known").isNotNull()
+    return rows.join(fresh, MATCH_KEY, "left").where(F.when(hit, F.col("_known")).otherwise(F.col("_placed"))).select(
+        *SCHEMAS[name].fieldNames(), *[F.when(hit, F.col(f"_fresh.{c}")).otherwise(F.col(c)).alias(c) for c in PLACED])
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the current rows of every table as the snapshot of a new root; then point readers and writers there."""
-    for name in SCHEMAS:
+    """Write the current rows of every table as the snapshot of a new root; then point readers and writers there.
+
+    Matches come first: facts take their match columns from the snapshot just
+    written. Facts without a start lie by match and player, so they spread too.
+    """
+    for name in sorted(SCHEMAS, key=lambda n: n in FACTS):
         rows = _current(spark, root, name)
-        rows.write.mode("overwrite").parquet(f"{new_root}/{name}/feed={SNAPSHOT}/batch_id=0")
+        if name in FACTS:
+            games = _games(spark, new_root).withColumn("_placed", F.lit(True))
+            rows = rows.drop(*[f.name for f in PLACE_FIELDS]).join(games, MATCH_KEY, "left").na.fill(False, ["_placed"])
+            rows = rows.repartitionByRange("start_date", MATCH_KEY, "player_name").sortWithinPartitions("start_date", MATCH_KEY)
+        rows.select(*_columns(name)).write.mode("overwrite").parquet(f"{new_root}/{name}/feed={SNAPSHOT}/batch_id=0")

@@ -6,7 +6,7 @@ from pavilion.plans.ingest import store
 from pavilion.registry import catalogue, portable
 from pavilion.sources.star import CatalogStar
 
-NAMES = sorted(n for n in catalogue() if n[0] in "LPMSXCV" and not n.startswith(("ST", "S13", "L2_")))
+NAMES = sorted(n for n in catalogue() if n[0] in "LPMSXCV" and not n.startswith(("ST", "S13", "L2_")) and "_stored_" not in n)
 SAME = ("L3_top_run_scorers", "L4_top_wicket_takers", "L5_matches_by_format", "L7_batting_by_format", "M10_team_summary",
         "M13_result_distribution", "M15_player_consistency", "M20_best_by_format", "M24_match_completeness",
         "S15_close_match_players", "S16_yearly_form", "S20_format_profile", "S22_head_to_head", "X3_home_and_away",
