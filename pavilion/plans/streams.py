@@ -87,9 +87,10 @@ def _events(t: Star, folder: str | None) -> DataFrame:
 def latest_state(t: Star, *, folder: str | None = None) -> DataFrame:
     base = work_dir(t.spark, "latest")
     events = _events(t, folder).select("user_id", "ts", "event_id", "event_type", "value")
-    state = follow.latest_state(events, ["user_id"], ["ts", "event_id"])
-    _finish(follow.write_updates(state, f"{base}/state", f"{base}/checkpoint"))
-    return follow.current(t.spark, f"{base}/state", ["user_id"]).select("user_id", "event_id", "event_type", "value")
+    keys, order = ["user_id"], ["ts", "event_id"]
+    state = follow.latest_state(events, keys, order, time="ts")
+    _finish(follow.write_updates(state, f"{base}/state", f"{base}/checkpoint", keys=keys, order=order))
+    return follow.current(t.spark, f"{base}/state", keys, order).select("user_id", "event_id", "event_type", "value")
 
 
 @query("ST4_live_counts", "Events per type and hour, repeated events counted once, kept by a stream")
@@ -98,8 +99,9 @@ def live_counts(t: Star, *, folder: str | None = None) -> DataFrame:
     events = _events(t, folder).withColumn("ts", follow.as_time("ts"))
     twice = events.unionByName(events)
     counts = follow.live_counts(twice, "event_id", "ts", "event_type")
-    _finish(follow.write_updates(counts, f"{base}/counts", f"{base}/checkpoint"))
-    rows = follow.current(t.spark, f"{base}/counts", ["window_start", "event_type"])
+    keys = ["window_start", "event_type"]
+    _finish(follow.write_updates(counts, f"{base}/counts", f"{base}/checkpoint", keys=keys))
+    rows = follow.current(t.spark, f"{base}/counts", keys)
     return rows.select(
         F.from_utc_timestamp("window_start", F.current_timezone()).cast("timestamp_ntz").alias("hour"), "event_type", "n"
     )

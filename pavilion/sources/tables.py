@@ -36,7 +36,7 @@ def _columns(name: str) -> list[str]:
     return [f for f in _log_schema(name).fieldNames() if f not in ("feed", "batch_id")]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(hadoop_path)
@@ -46,7 +46,7 @@ def ensure_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Create missing tables (empty), and register every table as a temp view of its current rows."""
     out = {}
     for name, schema in SCHEMAS.items():
-        if not _exists(spark, f"{root}/{name}"):
+        if not path_exists(spark, f"{root}/{name}"):
             append_batch(spark.createDataFrame([], schema), root, name, "empty", 0)
         out[name] = read_table(spark, root, name)
         out[name].createOrReplaceTempView(name)

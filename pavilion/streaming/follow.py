@@ -13,7 +13,7 @@ from pavilion.operators.scorecard import (
     match_squads, scorecard_batting, scorecard_bowling, scorecard_innings, squad_players,
 )
 from pavilion.sources.snapshots import LANDED
-from pavilion.sources.tables import append_batch, ensure_tables
+from pavilion.sources.tables import append_batch, ensure_tables, path_exists
 
 # Refresh choices of the live view.
 TRIGGERS = {"30 seconds": "30 seconds", "1 minute": "1 minute", "5 minutes": "5 minutes"}
@@ -114,11 +114,25 @@ def _dimension_rows(matches: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Stateful latest row per key by the order columns (for update mode). One state row per key."""
+def latest_state(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], time: str | None = None, delay: str = "1 day",
+    window: str = "1 day",
+) -> DataFrame:
+    """Stateful latest row per key by the order columns (for update mode).
+
+    Without ``time`` there is one state row per key for ever. With the zone-less
+    ``time`` column there is one per key and time window, which leaves the state
+    once the window is older than the newest time by the delay; a key may then
+    give a row per window, and ``current(order=...)`` picks the newest, also of
+    keys that left the state long ago. Rows without a time, or later than the
+    delay, are left out.
+    """
     others = [c for c in stream.columns if c not in keys and c not in order]
     row = F.max(F.struct(*order, *others)).alias("_row")
-    return stream.groupBy(*keys).agg(row).select(*keys, "_row.*")
+    if time is None:
+        return stream.groupBy(*keys).agg(row).select(*keys, "_row.*")
+    timed = stream.withColumn("_at", as_time(time)).withWatermark("_at", delay)
+    return timed.groupBy(F.window("_at", window).alias("_window"), *keys).agg(row).select(*keys, "_row.*")
 
 
 def live_counts(
@@ -136,19 +150,68 @@ def live_counts(
     )
 
 
-def write_updates(updates: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Changed result rows of each micro-batch to the folder of that batch (idempotent)."""
+def write_updates(
+    updates: DataFrame, path: str, checkpoint: str, every: str | None = None, keys: Sequence[str] = (),
+    order: Sequence[str] = (), merge_every: int = 50,
+) -> StreamingQuery:
+    """Changed result rows of each micro-batch to the folder of that batch (idempotent); one checkpoint per path.
+
+    With ``keys`` every ``merge_every``-th batch also merges what was written
+    into a snapshot, so that ``current`` never reads more than that and the
+    batches after it.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        keep_update(batch, path, batch_id)
+        if keys and (batch_id + 1) % merge_every == 0:
+            merge_updates(batch.sparkSession, path, keys, order)
 
     writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(apply)
     return _trigger(writer, every).start()
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest written row per key of ``write_updates``."""
-    return last_per_key(spark.read.parquet(path), list(keys), ["batch_id"]).drop("batch_id")
+def keep_update(batch: DataFrame, path: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
+
+
+def _merged_upto(spark: SparkSession, path: str) -> int | None:
+    """The last batch the newest snapshot holds, None before the first merge."""
+    if not path_exists(spark, f"{path}/merges"):
+        return None
+    return spark.read.schema("upto long").parquet(f"{path}/merges").agg(F.max("upto")).first()[0]
+
+
+def _written(spark: SparkSession, path: str, upto: int | None) -> DataFrame:
+    """Rows of the snapshot and of the batches after it, with the batch that wrote each."""
+    rows = spark.read.parquet(f"{path}/updates").withColumn("batch_id", F.col("batch_id").cast("long"))
+    if upto is None:
+        return rows
+    return rows.where(F.col("batch_id") > upto).unionByName(spark.read.parquet(f"{path}/merged/upto={upto}"))
+
+
+def merge_updates(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Write the newest row of every key as a snapshot, then note how far it reaches.
+
+    Readers use a snapshot only once it is noted, so a merge that was cut off or
+    repeated changes no answer. Merging again without newer batches does nothing.
+    """
+    before = _merged_upto(spark, path)
+    rows = _written(spark, path, before)
+    last = spark.read.parquet(f"{path}/updates").select(F.col("batch_id").cast("long").alias("b"))
+    if before is not None:
+        last = last.where(F.col("b") > before)
+    upto = last.agg(F.max("b")).first()[0]
+    if upto is None:
+        return
+    newest = last_per_key(rows.where(F.col("batch_id") <= upto), list(keys), [*order, "batch_id"])
+    newest.write.mode("overwrite").parquet(f"{path}/merged/upto={upto}")
+    spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("append").parquet(f"{path}/merges")
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Newest written row per key of ``write_updates``: by the order columns, then by batch."""
+    rows = _written(spark, path, _merged_upto(spark, path))
+    return last_per_key(rows, list(keys), [*order, "batch_id"]).drop("batch_id")
 
 
 def as_time(c: str) -> Column:

@@ -124,3 +124,49 @@ def test_live_counts_drop_repeats_and_late_rows(spark, tmp_path):
     go()
     got = {(str(r.window_start), r.kind): r.n for r in follow.current(spark, out, ["window_start", "kind"]).collect()}
     assert got == {("2024-01-01 10:00:00", "a"): 2, ("2024-01-01 14:00:00", "b"): 2}
+
+
+def test_old_state_leaves_and_its_answer_stays(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    columns = "id int, ts string, seq int, status string"
+
+    def go(rows):
+        spark.createDataFrame(rows, columns).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("id int, ts timestamp_ntz, seq int, status string").parquet(src)
+        state = follow.latest_state(stream, ["id"], ["ts", "seq"], time="ts")
+        query = follow.write_updates(state, out, cp, keys=["id"], order=["ts", "seq"], merge_every=2)
+        query.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1]
+
+    held = [
+        go([(i, "2024-01-01 10:00:00", 1, "Preview") for i in range(30)] + [(3, "2024-01-01 12:00:00", 2, "Complete")]),
+        go([(3, "2024-01-01 11:00:00", 9, "Late"), (50, "2024-01-09 10:00:00", 1, "Preview")]),  # in time: the watermark is of the first run
+        go([(7, "2024-01-10 10:00:00", 1, "Rain"), (8, "2024-01-02 10:00:00", 1, "Too late")]),
+    ]
+    assert held[0] == 30 and held[2] <= 2
+    got = {r.id: r.status for r in follow.current(spark, out, ["id"], ["ts", "seq"]).collect()}
+    assert got == {i: "Preview" for i in range(30)} | {3: "Complete", 50: "Preview", 7: "Rain"}
+
+
+def test_updates_are_merged_and_old_batches_not_read_again(spark, tmp_path):
+    path, keys, order = str(tmp_path / "out"), ["id"], ["seq"]
+
+    def update(batch_id, rows):
+        follow.keep_update(spark.createDataFrame(rows, "id int, seq int, status string").coalesce(1), path, batch_id)
+
+    expected = {}
+    for b in range(50):
+        rows = [(b % 7, b, f"s{b}"), (100 + b, b, "once")]
+        update(b, rows)
+        expected |= {i: s for i, _, s in rows}
+        if (b + 1) % 20 == 0:
+            follow.merge_updates(spark, path, keys, order)
+    read = lambda: {r.id: r.status for r in follow.current(spark, path, keys, order).collect()}
+    assert read() == expected
+    update(3, [(0, 999, "old batches are not read again")])
+    assert read() == expected
+    follow.merge_updates(spark, path, keys, order)
+    follow.merge_updates(spark, path, keys, order)  # nothing newer: no further snapshot
+    assert read() == expected and spark.read.parquet(f"{path}/merges").count() == 3
+    update(50, [(0, 2, "older than what is known"), (1, 50, "new")])
+    assert read() == expected | {1: "new"}
