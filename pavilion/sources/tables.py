@@ -105,6 +105,11 @@ def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return snapshot.join(touched, keys, "left_anti").select(*columns).unionByName(_resolved(changed, name))
 
 
+def current_of(log: DataFrame, name: str) -> DataFrame:
+    """Current rows as part of a log tells them: all log rows of some keys, or those up to some batch."""
+    return _resolved(log, name).select(*SCHEMAS[name].fieldNames())
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Current rows of a table."""
     return _current(spark, root, name).select(*SCHEMAS[name].fieldNames())
