@@ -10,13 +10,15 @@ The exchange has two rounds between groups of documents and shards of names:
 
 So text that occurs once is never sent, and a passage that any number of documents share is sent once per group. Segments
 of very frequent names are cut into single windows dealt by their contents, so the surroundings of a common passage do
-not meet in one task. Groups are one shuffle of the texts, which all three passes over them use. Rows between groups and
+not meet in one task. Groups are one shuffle of the texts, which all three passes over them use; a group or shard is a
+task of its own, and there are as many as the bytes of the texts ask for. Rows fall into groups by a hash of doc_id and
+text; rows equal in both are merged per Arrow batch before the shuffle and carry their number. Rows between groups and
 shards hold arrays, not single names. Nothing is capped: each window is judged against all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,10 @@ from pavilion.llm.common import mix, powers, prefix, shards, single_spaced, slic
 MANY = 2000  # places from which a name's segments are cut into single windows
 RUN = 64  # windows per segment at most
 CELLS = 16  # of a shard, judged one after another: a judge needs many times the bytes of its segments
+GROUP_BYTES = 8 << 20  # text bytes in a group, on average
+MERGE_BYTES = 16 << 20  # text bytes in which equal rows are looked for before the shuffle
 PART_BYTES = 1 << 18  # text bytes whose windows are named at once; the arrays for it take about a hundred times that
+STRETCH = 1 << 18  # windows of a longer text that are named at once
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id, which comes after all others
 
 # contents, smallest doc_id and occurrences (2 may stand for more) of distinct segments -> for each window, in order, the level: the window of a
@@ -63,6 +68,51 @@ def shard_of(name: np.ndarray, n: int) -> np.ndarray:
     return ((name >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _segments(values: np.ndarray, off: np.ndarray, copies: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
+    """Start, number of windows, owner and name of each segment, and the grams that name a window."""
+    size, k = units.window, units.gram
+    n_windows = np.maximum(np.diff(off) - size + 1, 0)
+    filled = np.flatnonzero(n_windows)
+    if not len(filled):
+        none, unnamed = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, none, unnamed, unnamed
+    sums, (_, down) = prefix(values), powers(len(values) + 1)
+    gram, span = mix((sums[k:] - sums[:-k]) * down[: len(values) - k + 1]), size - k + 1
+    least = sliding(np.minimum, gram, span)
+    # The grams that name a window, each place once: a name with one place has one window of each kind only.
+    border = np.zeros(len(least) + 1, np.int8)
+    border[off[filled]] = 1
+    np.subtract.at(border, off[filled] + n_windows[filled], 1)
+    valid = np.where(np.cumsum(border[:-1], dtype=np.int8) > 0, least, 0).astype(np.uint64)
+    pad = np.zeros(span - 1, np.uint64)
+    naming = np.flatnonzero(sliding(np.maximum, np.concatenate([pad, valid, pad]), span) == gram)
+    if (copies > 1).any():  # a merged row's names have two places at least
+        again = copies[np.searchsorted(off, naming, side="right") - 1] > 1
+        naming = np.concatenate([naming, naming[again]])
+    # Mixed once more (one to one): smallest hashes lie close together, names must fall evenly into shards.
+    grams = mix(gram[naming])
+    head = np.zeros(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=head[1:-1])
+    head[off[filled]] = True
+    head[off[filled] + n_windows[filled]] = True  # behind a text's last window
+    head[-1] = True
+    edge = np.flatnonzero(head)
+    start, n = edge[:-1], np.diff(edge)
+    owner = np.searchsorted(off, start, side="right") - 1
+    inside = start < off[owner] + n_windows[owner]
+    start, n, owner = start[inside], n[inside], owner[inside]
+    pieces = -(-n // RUN)
+    if (pieces > 1).any():
+        nth = ragged(np.zeros(len(n), np.int64), pieces)
+        start, owner, left = np.repeat(start, pieces) + nth * RUN, np.repeat(owner, pieces), np.repeat(n, pieces) - nth * RUN
+        n = np.minimum(left, RUN)
+    return start, n, owner, mix(least[start]), grams
+
+
 class Part:
     """Some whole texts of a group: their units, and the segments of their windows."""
 
@@ -70,49 +120,27 @@ class Part:
         self.units = units
         ids = batch.column("doc_id")
         self.doc_id, self.docs = ids, ids.fill_null(LAST).to_numpy(zero_copy_only=False)
+        self.copies = batch.column("copies").to_numpy(zero_copy_only=False)
         data, off = text_bytes(batch.column("text"))
         if units.words:
             self.buf, self.begin, self.end, self.off = single_spaced(data, off)
             values = span_hash(prefix(self.buf), self.begin, self.end)
         else:
             self.buf, self.off, values = data, off, data
-        self._segments(values)
-
-    def _segments(self, values: np.ndarray) -> None:
-        size, k = self.units.window, self.units.gram
-        n_windows = np.maximum(np.diff(self.off) - size + 1, 0)
-        filled = np.flatnonzero(n_windows)
-        if not len(filled):
-            self.start = self.n = self.owner = np.zeros(0, np.int64)
-            self.name = self.grams = np.zeros(0, np.uint64)
+        self.start, self.n, self.owner, self.name, self.grams = _joined(list(self._stretches(values)))
+
+    def _stretches(self, values: np.ndarray):
+        """Segments of all texts, or of one long text in stretches that share the units of windows across their border.
+
+        A gram in the shared units may count twice: its name is then sent though it may have one place, which the judge sees.
+        """
+        if len(self.docs) > 1 or len(values) <= STRETCH + self.units.window:
+            yield _segments(values, self.off, self.copies, self.units)
             return
-        sums, (_, down) = prefix(values), powers(len(values) + 1)
-        gram, span = mix((sums[k:] - sums[:-k]) * down[: len(values) - k + 1]), size - k + 1
-        least = sliding(np.minimum, gram, span)
-        # The grams that name a window, each place once: a name with one place has one window of each kind only.
-        border = np.zeros(len(least) + 1, np.int8)
-        border[self.off[filled]] = 1
-        np.subtract.at(border, self.off[filled] + n_windows[filled], 1)
-        valid = np.where(np.cumsum(border[:-1], dtype=np.int8) > 0, least, 0).astype(np.uint64)
-        pad = np.zeros(span - 1, np.uint64)
-        # Mixed once more (one to one): smallest hashes lie close together, names must fall evenly into shards.
-        self.grams = mix(gram[sliding(np.maximum, np.concatenate([pad, valid, pad]), span) == gram])
-        head = np.zeros(len(least) + 1, bool)
-        np.not_equal(least[1:], least[:-1], out=head[1:-1])
-        head[self.off[filled]] = True
-        head[self.off[filled] + n_windows[filled]] = True  # behind a text's last window
-        head[-1] = True
-        edge = np.flatnonzero(head)
-        start, n = edge[:-1], np.diff(edge)
-        owner = np.searchsorted(self.off, start, side="right") - 1
-        inside = start < self.off[owner] + n_windows[owner]
-        start, n, owner = start[inside], n[inside], owner[inside]
-        pieces = -(-n // RUN)
-        if (pieces > 1).any():
-            nth = ragged(np.zeros(len(n), np.int64), pieces)
-            start, owner, left = np.repeat(start, pieces) + nth * RUN, np.repeat(owner, pieces), np.repeat(n, pieces) - nth * RUN
-            n = np.minimum(left, RUN)
-        self.start, self.n, self.owner, self.name = start, n, owner, mix(least[start])
+        for a in range(0, len(values) - self.units.window + 1, STRETCH):
+            piece = values[a : a + STRETCH + self.units.window - 1]
+            start, *rest = _segments(piece, np.array([0, len(piece)]), self.copies, self.units)
+            yield start + a, *rest
 
     def contents(self, start: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The text of each run of ``n`` windows."""
@@ -127,7 +155,7 @@ class Group:
     """All texts of a group, in an order that does not depend on how they arrived."""
 
     def __init__(self, table: pa.Table, units: Units):
-        table = table.select(["doc_id", "text"]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.select(["doc_id", "text", "copies"]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.parts = [Part(s, units) for b in table.to_batches() for s in slices(b, limit=PART_BYTES)]
         names = [p.grams for p in self.parts]
         self.names, self.counts = np.unique(np.concatenate(names) if names else np.zeros(0, np.uint64), return_counts=True)
@@ -150,7 +178,7 @@ class Group:
             owner = np.concatenate([p.owner[some], np.repeat(p.owner[often], p.n[often])])
             cell = shard_of(p.name[some], n_cells).tolist()
             place = np.empty((len(start), 2), np.int64)
-            docs = p.docs[owner].tolist()
+            docs, copies = p.docs[owner].tolist(), p.copies[owner].tolist()
             for i, content in enumerate(p.contents(start, n)):
                 at = known.get(content)
                 if at is None:
@@ -159,12 +187,12 @@ class Group:
                     at = known[content] = (s, len(lists[0]))
                     lists[0].append(content)
                     lists[1].append(docs[i])
-                    lists[2].append(1)
+                    lists[2].append(copies[i])
                     lists[3].append(c)
                 else:
                     lists = by_shard[at[0]]
                     lists[1][at[1]] = min(lists[1][at[1]], docs[i])
-                    lists[2][at[1]] += 1
+                    lists[2][at[1]] += copies[i]
                 place[i] = at
             runs.append((start, n, owner, place))
         return by_shard, runs
@@ -182,7 +210,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 _NAMES = "shard int, gid int, names binary, counts binary"
 _KINDS = "gid int, shard int, kind string, data binary"
 _SEGMENTS = "shard int, gid int, data binary, size binary, docs binary, counts binary, cells binary"
-_KEPT = "doc_id long, n_units long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
+_KEPT = "doc_id long, copies long, n_units long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
 
 
 def _table(schema: str, columns: list[list]) -> pa.Table:
@@ -288,7 +316,7 @@ def _remove(units: Units, n_shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         g = Group(texts, units) if texts.num_rows else None
         if g is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_units": pa.array([], pa.int64()),
+            return pa.table({"doc_id": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "n_units": pa.array([], pa.int64()),
                              "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.binary()),
                              "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
         by_shard, runs = g.candidates(_kinds(g, answers), n_shards)
@@ -315,10 +343,10 @@ def _remove(units: Units, n_shards: int):
 def _kept(p: Part, windows: np.ndarray) -> pa.Table:
     """The rows of a part after the units covered by the windows are removed."""
     n = int(p.off[-1])
-    cover = np.zeros(n + 1, np.int64)
+    cover = np.zeros(n + 1, np.int32)
     cover[windows] += 1
     cover[windows + p.units.window] -= 1
-    gone = np.cumsum(cover)[:n] > 0
+    gone = np.cumsum(cover, dtype=np.int32)[:n] > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[p.off[1:]] - total[p.off[:-1]]
     opens, closes = gone.copy(), gone.copy()
@@ -345,20 +373,37 @@ def _kept(p: Part, windows: np.ndarray) -> pa.Table:
     ends = np.concatenate([[0], np.cumsum(keep)])[byte_off]
     kept = pa.Array.from_buffers(pa.binary(), len(p.docs), [None, pa.py_buffer(ends.astype(np.int32).tobytes()),
                                                              pa.py_buffer(p.buf[keep].tobytes())])
-    return pa.table([p.doc_id, pa.array(np.diff(p.off)), pa.array(removed), kept, spans],
-                    names=["doc_id", "n_units", "n_removed", "kept", "spans"])
+    return pa.table([p.doc_id, pa.array(p.copies), pa.array(np.diff(p.off)), pa.array(removed), kept, spans],
+                    names=["doc_id", "copies", "n_units", "n_removed", "kept", "spans"])
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows equal in doc_id and text as one row with their number, within some bytes of a batch."""
+    for batch in batches:
+        for part in slices(batch, limit=MERGE_BYTES):
+            rows = pa.table(part).group_by(["doc_id", "text"], use_threads=False).aggregate([([], "count_all")])
+            yield from rows.rename_columns(["doc_id", "text", "copies"]).to_batches()
+
+
+def group_count(docs: DataFrame) -> int:
+    """Groups for the bytes of the texts, one for each of the session's partitions at least."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shards(docs.sparkSession), -(-size // GROUP_BYTES))
 
 
 def remove_repeats(docs: DataFrame, units: Units, judge: Judge, many: int = MANY) -> DataFrame:
     """One row per input row: doc_id, n_units, n_removed, kept (bytes left), spans (units removed, as runs)."""
-    # Twice the session's partitions: a task holds one group or shard at a time, and many times its bytes in arrays.
-    n_names = shards(docs.sparkSession)
-    n = n_shards = 2 * n_names
-    gid = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")
-    texts = docs.select("doc_id", "text", gid.alias("gid"))
-    names = texts.groupBy("gid").applyInArrow(_send_names(units, n_names), _NAMES)
-    kinds = names.groupBy("shard").applyInArrow(_answer_names(many), _KINDS)
-    segments = texts.groupBy("gid").cogroup(kinds.groupBy("gid")).applyInArrow(_send_segments(units, n_shards), _SEGMENTS)
-    verdicts = segments.groupBy("shard").applyInArrow(_answer_segments(units, judge), _KINDS)
-    answers = kinds.unionByName(verdicts)
-    return texts.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_remove(units, n_shards), _KEPT)
+    docs = docs.select("doc_id", "text")
+    n = n_shards = group_count(docs)
+    n_names = -(-n // 2)
+    gid = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int")
+    # A group or shard is the whole of a task: it takes many times its bytes in arrays.
+    rows = docs.mapInArrow(_merged, "doc_id long, text string, copies long")
+    texts = rows.withColumn("gid", gid).repartitionById(n, "gid").groupBy("gid")
+    names = texts.applyInArrow(_send_names(units, n_names), _NAMES)
+    kinds = names.repartitionById(n_names, "shard").groupBy("shard").applyInArrow(_answer_names(many), _KINDS)
+    segments = texts.cogroup(kinds.repartitionById(n, "gid").groupBy("gid")).applyInArrow(_send_segments(units, n_shards), _SEGMENTS)
+    verdicts = segments.repartitionById(n_shards, "shard").groupBy("shard").applyInArrow(_answer_segments(units, judge), _KINDS)
+    answers = kinds.unionByName(verdicts).repartitionById(n, "gid").groupBy("gid")
+    kept = texts.cogroup(answers).applyInArrow(_remove(units, n_shards), _KEPT)
+    return kept.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copies")

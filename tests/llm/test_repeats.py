@@ -135,3 +135,34 @@ def test_whole_tables(spark, sf_dir):
         spans = sum(m and (i == 0 or not mask[i - 1]) for i, m in enumerate(mask))
         want.add((d, len(t), sum(mask), spans, sha(bytes(x for x, m in zip(t, mask) if not m))))
     assert got == want
+
+
+def test_long_text_and_many_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    shared = "".join(rng.choice(list("abcdefgh "), 90))
+    long = "".join(rng.choice(list("abcdefghij "), 600_000))
+    border = repeats.STRETCH - 40
+    long = long[:border] + shared + long[border + 90 :]
+    rows = [(5, long), (1, "x " + shared[10:]), (None, shared)] + [(7, shared + " y")] * 300 + [(None, "z" * 60)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    units = Units(21, 6, False)
+    got = remove_repeats(docs, units, radix_windows.first_documents(units)).collect()
+    want = kept_units(rows, 21, lambda t: list(t.encode()), earlier)
+    assert sorted((str(r.doc_id), r.n_units, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == sorted(
+        (str(d), n, m, s, bytes(k)) for d, n, m, s, k in want)
+    units = Units(7, 3, True)
+    got = remove_repeats(docs, units, fm_index.repeated_windows(units)).collect()
+    want = kept_units(rows, 7, words, elsewhere)
+    assert sorted((str(r.doc_id), r.n_units, r.n_removed, bytes(r.kept).decode()) for r in got) == sorted(
+        (str(d), n, m, " ".join(k)) for d, n, m, _, k in want)
+
+
+def test_groups_follow_the_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, f"{i} " * 50) for i in range(400)], "doc_id long, text string")
+    least = repeats.group_count(docs)
+    assert least == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1000)
+    assert repeats.group_count(docs) > 50
+    units = Units(21, 6, False)
+    plan = remove_repeats(docs, units, radix_windows.first_documents(units))._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" in plan.lower()
