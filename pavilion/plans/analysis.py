@@ -457,10 +457,19 @@ def _cards(t: Star) -> DataFrame:
         F.max("runs").alias("hi"), F.min("runs").alias("lo"),
     )
     # The list has one entry per score from 0 to GOOD_STAND at most.
-    return by_score.groupBy(*keys).agg(
+    cards = by_score.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("k").alias("k"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"),
         F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.collect_list(F.struct("score", "k")).alias("scores"),
     )
+    return cards.withColumn("reach", F.when(F.size("scores") > 1, _reach(F.map_from_entries("scores"))))
+
+
+def _reach(counts: Column) -> Column:
+    """From counts per score, the rows that score i or more at index i: one running sum from the highest score down."""
+    return F.aggregate(
+        F.sequence(F.lit(GOOD_STAND), F.lit(0), F.lit(-1)), F.array(F.lit(0).cast("long")),
+        lambda sums, i: F.concat(F.array(F.get(sums, F.lit(0)) + F.coalesce(counts[i.cast("long")], F.lit(0))), sums),
+    )
 
 
 def pair_totals(t: Star, min_times: int) -> DataFrame:
@@ -470,21 +479,20 @@ def pair_totals(t: Star, min_times: int) -> DataFrame:
     follow from the two sums, so repeated rows never multiply into pairs.
     """
     cards = _cards(t)
-    values = ("n", "k", "s", "hi", "lo", "scores")
+    values = ("n", "k", "s", "hi", "lo")
     first = cards.select(
         "innings_id", (F.col("batting_position") + 1).alias("next_position"),
-        F.col("player_id").alias("player1_id"), *[F.col(c).alias(f"{c}1") for c in values],
+        F.col("player_id").alias("player1_id"), "scores", *[F.col(c).alias(f"{c}1") for c in values],
     )
     second = cards.select(
         "innings_id", F.col("batting_position").alias("next_position"),
-        F.col("player_id").alias("player2_id"), *[F.col(c).alias(f"{c}2") for c in values],
+        F.col("player_id").alias("player2_id"), "reach", *[F.col(c).alias(f"{c}2") for c in values],
     )
+    # A score needs the rest from the partner: a lookup in the partner's sums, or its one score.
+    one = lambda a: F.when(a["score"] + F.col("lo2") >= GOOD_STAND, F.col("k2")).otherwise(F.lit(0))
     mixed = F.aggregate(
-        "scores1", F.lit(0).cast("long"),
-        lambda acc, a: acc + a["k"] * F.aggregate(
-            F.filter("scores2", lambda b: a["score"] + b["score"] >= GOOD_STAND),
-            F.lit(0).cast("long"), lambda got, b: got + b["k"],
-        ),
+        "scores", F.lit(0).cast("long"),
+        lambda acc, a: acc + a["k"] * F.coalesce(F.get("reach", (F.lit(GOOD_STAND) - a["score"]).cast("int")), one(a)),
     )
     good = (
         F.when(F.col("lo1") + F.col("lo2") >= GOOD_STAND, F.col("k1") * F.col("k2"))
