@@ -6,7 +6,7 @@ joins are one to one; the target is never repeated and no key piles up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,6 +33,30 @@ def first_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str] = ()) -
     return _one_per_key(df, keys, seq, F.asc_nulls_first)
 
 
+MANY_KEYS = 200_000
+
+
+def resolve_repeats(
+    df: DataFrame, keys: Sequence[str], resolve: Callable[[DataFrame], DataFrame], repeated: Column | None = None,
+) -> DataFrame:
+    """``resolve(df)``, where ``resolve`` keeps the rows of a key as they are unless the key is ``repeated``.
+
+    ``repeated`` is an aggregate over the rows of a key; by default more than one. These keys are written first. Few
+    are broadcast, so that only their rows are shuffled; of more than ``MANY_KEYS`` the whole frame is resolved. Reads
+    ``df`` several times, so it should be staged.
+    """
+    df = _has_keys(df, keys)
+    mark = (F.count(F.lit(1)) > 1) if repeated is None else repeated
+    path = work_dir(df.sparkSession, "repeats")
+    df.groupBy(*keys).agg(mark.alias("_repeated")).where("_repeated").select(*keys).write.parquet(path)
+    again = df.sparkSession.read.parquet(path)
+    if again.count() > MANY_KEYS:
+        return resolve(df)
+    again = F.broadcast(again)
+    once = df.join(again, list(keys), "left_anti").select(*df.columns)
+    return once.unionByName(resolve(df.join(again, list(keys), "left_semi").select(*df.columns)))
+
+
 def upsert(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], seq: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -66,7 +66,7 @@ def sync_scorecards(t: Star) -> DataFrame:
         F.lit("scard").alias("endpoint"), F.col("match_id").cast("string").alias("subject"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("fetched_at"), F.lit(200).alias("status_code"), "body",
     )
-    snapshots.land_snapshots(landed, f"{base}/landed")
+    snapshots.land_snapshots(landed, f"{base}/landed", dealt=True)  # by the grouping per match
     stream = follow.stream_snapshots(t.spark, f"{base}/landed")
     _finish(follow.sync_stream(stream, f"{base}/tables", f"{base}/checkpoint"))
     read = lambda name: tables.read_table(t.spark, f"{base}/tables", name)

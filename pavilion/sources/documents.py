@@ -6,6 +6,8 @@ document grows with the data. Aliases and shapes alternate from row to row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pavilion.functions.values import to_epoch_ms
@@ -81,30 +83,42 @@ def feed_documents(t: Star) -> DataFrame:
 
 def scorecard_documents(t: Star) -> DataFrame:
     """One scorecard per batting row, beside a nameless entry, in two sets of aliases; extras with some."""
-    b, plain, inn = _entries(t)
+    b = t.with_name(t.batting())
+    plain, inn = _plain(F.col), _entry(F.col)
     body = _document(_maybe(plain, F.array(inn)).alias("scorecard"), _maybe(~plain, F.array(inn)).alias("inningsData"))
     return b.select("match_id", body.alias("body"))
 
 
 def match_scorecards(t: Star) -> DataFrame:
-    """One scorecard per match with all its entries; a match has as many rows as were played."""
-    b, _, inn = _entries(t)
-    whole = b.select("match_id", inn.alias("inn")).groupBy("match_id").agg(F.collect_list("inn").alias("innings"))
+    """One scorecard per match with all its entries; a match has as many rows as were played.
+
+    Plain rows are grouped, and become entries after the shuffle.
+    """
+    b = t.with_name(t.batting())
+    whole = b.groupBy("match_id").agg(F.collect_list(F.struct(*_ENTRY_COLUMNS)).alias("rows"))
+    whole = whole.select("match_id", F.transform("rows", lambda r: _entry(lambda c: r[c])).alias("innings"))
     first = F.col("match_id") % 2 == 0
     body = F.to_json(F.struct(
         _maybe(first, F.col("innings")).alias("scorecard"), _maybe(~first, F.col("innings")).alias("inningsData")))
     return whole.select("match_id", body.alias("body"))
 
 
-def _entries(t: Star) -> tuple[DataFrame, Column, Column]:
-    """Batting rows, whether one has the first set of aliases, and its scorecard entry."""
-    b = t.with_name(t.batting())
-    pos = F.col("batting_position")
-    plain, never = pos % 2 == 1, F.lit(False)
-    text = lambda c: F.col(c).cast("string")
+_ENTRY_COLUMNS = ("innings_id", "player_id", "player_name", "batting_position", "runs", "balls", "fours", "sixes",
+                  "strike_rate", "dismissal")
+
+
+def _plain(col: Callable[[str], Column]) -> Column:
+    """Whether a batting row has the first set of aliases."""
+    return col("batting_position") % 2 == 1
+
+
+def _entry(col: Callable[[str], Column]) -> Column:
+    """Scorecard entry of a batting row, whose columns ``col`` gives."""
+    pos, plain, never = col("batting_position"), _plain(col), F.lit(False)
+    text = lambda c: col(c).cast("string")
     batter = F.struct(
-        _maybe(plain, F.col("player_name")).alias("name"),
-        _maybe(~plain, F.col("player_name")).alias("player_name"),
+        _maybe(plain, col("player_name")).alias("name"),
+        _maybe(~plain, col("player_name")).alias("player_name"),
         _maybe(plain, text("runs")).alias("runs"),
         _maybe(~plain, text("runs")).alias("score"),
         _maybe(plain, text("balls")).alias("balls"),
@@ -113,26 +127,25 @@ def _entries(t: Star) -> tuple[DataFrame, Column, Column]:
         text("sixes").alias("6s"),
         _maybe(plain, text("strike_rate")).alias("strkrate"),
         _maybe(~plain, text("strike_rate")).alias("sr"),
-        F.col("dismissal").alias("outdec"),
-        F.col("player_id").cast("string").alias("batId"),
+        col("dismissal").alias("outdec"),
+        col("player_id").cast("string").alias("batId"),
     )
     header = F.struct(*[_maybe(never, batter[c]).alias(c) for c in (
         "name", "player_name", "runs", "score", "balls", "b", "fours", "6s", "strkrate", "sr", "outdec")],
         F.lit("x").alias("batId"))
     bowler = F.struct(
-        F.col("player_name").alias("name"), (F.col("balls") % 7).cast("string").alias("overs"), text("fours").alias("maidens"),
-        F.col("runs").alias("runs"), F.col("sixes").alias("wickets"), F.lit("n/a").alias("economy"),
+        col("player_name").alias("name"), (col("balls") % 7).cast("string").alias("overs"), text("fours").alias("maidens"),
+        col("runs").alias("runs"), col("sixes").alias("wickets"), F.lit("n/a").alias("economy"),
     )
-    extras = F.struct(pos.alias("total"), F.col("sixes").alias("wides"), F.col("fours").alias("noballs"))
-    inn = F.struct(
-        _maybe(plain, F.col("innings_id")).alias("inningsid"),
-        _maybe(~plain, F.col("innings_id")).alias("inningsId"),
+    extras = F.struct(pos.alias("total"), col("sixes").alias("wides"), col("fours").alias("noballs"))
+    return F.struct(
+        _maybe(plain, col("innings_id")).alias("inningsid"),
+        _maybe(~plain, col("innings_id")).alias("inningsId"),
         _maybe(plain, F.array(batter)).alias("batsman"),
         _maybe(~plain, F.array(header, batter)).alias("batting"),
         F.array(bowler).alias("bowler"),
         _maybe(plain, extras).alias("extras"),
     )
-    return b, plain, inn
 
 
 def innings_documents(t: Star) -> DataFrame:

@@ -15,24 +15,24 @@ def is_json(body: Column) -> Column:
     return F.try_parse_json(body).isNotNull()
 
 
-def land_snapshots(df: DataFrame, path: str) -> None:
-    """Append ``(endpoint, subject, fetched_at, status_code, body)`` rows as JSON lines per endpoint and day.
+def land_snapshots(df: DataFrame, path: str, dealt: bool = False) -> None:
+    """Append ``(endpoint, subject, fetched_at, status_code, body)`` rows as compressed JSON lines per endpoint
+    and day.
 
     A body that is not JSON is kept as an object of its status code and text.
     Rows are rebalanced by folder first: small folders get one file, big ones
-    are split, and no task writes into every folder.
+    are split, and no task writes into every folder. Rows that are ``dealt``,
+    as those of a few folders after a grouping, are written where they are.
     """
     kept = F.to_json(F.struct("status_code", F.col("body").alias("text")))
     subject = F.col("subject") if "subject" in df.columns else F.lit(None).cast("string")
-    (
-        df.select(
-            subject.alias("subject"), "fetched_at", "status_code",
-            F.when(is_json(F.col("body")), F.col("body")).otherwise(kept).alias("body"),
-            "endpoint", F.to_date("fetched_at").alias("ingest_date"),
-        )
-        .hint("rebalance", "endpoint", "ingest_date")
-        .write.mode("append").partitionBy("endpoint", "ingest_date").json(path)
+    rows = df.select(
+        subject.alias("subject"), "fetched_at", "status_code",
+        F.when(is_json(F.col("body")), F.col("body")).otherwise(kept).alias("body"),
+        "endpoint", F.to_date("fetched_at").alias("ingest_date"),
     )
+    rows = rows if dealt else rows.hint("rebalance", "endpoint", "ingest_date")
+    rows.write.mode("append").partitionBy("endpoint", "ingest_date").json(path, compression="gzip")
 
 
 def read_snapshots(spark: SparkSession, path: str, endpoint: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pavilion.operators.feed import canonical_match, normalize_matches, outcome
-from pavilion.operators.maintenance import first_per_key, last_per_key
+from pavilion.operators.maintenance import first_per_key, last_per_key, resolve_repeats
 from pavilion.operators.scorecard import (
     match_squads, scorecard_batting, scorecard_bowling, scorecard_innings, squad_players,
 )
@@ -43,41 +43,42 @@ def sync_stream(
     Match feeds write series, teams, venues and matches (with winner and margin
     as the status tells them); squads write players; scorecards (optional) write
     batting, bowling and innings rows. Every write goes to the folder of its
-    batch, so a replayed batch overwrites itself.
+    batch, so a replayed batch overwrites itself. The snapshots of the batch at
+    hand lie compressed beside the checkpoint, as they are read once per kind.
     """
     spark = snapshots.sparkSession
+    staged = f"{checkpoint.rstrip('/')}-batch"
     ensure_tables(spark, root)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read once per kind below
-        try:
-            kind = F.col("endpoint")
-            flat = normalize_matches(batch.where(kind.isin(*MATCH_FEEDS)), keep=("fetched_at",))
-            keep = ("fetched_at", "feed_time", "city", "country")
-            matches = canonical_match(flat, keep=keep).withColumn("created_at", F.col("fetched_at"))
-            matches = matches.persist()
-            for name, rows in _dimension_rows(matches).items():
-                append_batch(rows, root, name, feed, batch_id)
-            squads = batch.where(kind == "squad").withColumnsRenamed({"subject": "team_id", "fetched_at": "created_at"})
-            listed = match_squads(
-                batch.where(kind == "match").withColumnRenamed("fetched_at", "created_at"), keep=("created_at",))
-            players = squad_players(squads, keep=("team_id", "created_at")).unionByName(listed)
-            append_batch(players, root, "players", feed, batch_id)
-            if scorecards:
-                cards = batch.where(kind == "scard").withColumnsRenamed(
-                    {"subject": "external_match_id", "fetched_at": "created_at"}
-                )
-                # Several snapshots of one match in a batch: the last one counts.
-                cards = last_per_key(
-                    cards.select("external_match_id", "created_at", "body"), ["external_match_id"], ["created_at"]
-                )
-                keep = ("external_match_id", "created_at")
-                append_batch(scorecard_batting(cards, keep=keep), root, "batting_stats", feed, batch_id)
-                append_batch(scorecard_bowling(cards, keep=keep), root, "bowling_stats", feed, batch_id)
-                append_batch(scorecard_innings(cards, keep=keep), root, "innings", feed, batch_id)
-            matches.unpersist()
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").parquet(staged, compression="zstd")
+        batch = spark.read.schema(batch.schema).parquet(staged)
+        kind = F.col("endpoint")
+        flat = normalize_matches(batch.where(kind.isin(*MATCH_FEEDS)), keep=("fetched_at",))
+        keep = ("fetched_at", "feed_time", "city", "country")
+        matches = canonical_match(flat, keep=keep).withColumn("created_at", F.col("fetched_at"))
+        matches = matches.persist()
+        for name, rows in _dimension_rows(matches).items():
+            append_batch(rows, root, name, feed, batch_id)
+        squads = batch.where(kind == "squad").withColumnsRenamed({"subject": "team_id", "fetched_at": "created_at"})
+        listed = match_squads(
+            batch.where(kind == "match").withColumnRenamed("fetched_at", "created_at"), keep=("created_at",))
+        players = squad_players(squads, keep=("team_id", "created_at")).unionByName(listed)
+        append_batch(players, root, "players", feed, batch_id)
+        if scorecards:
+            cards = batch.where(kind == "scard").withColumnsRenamed(
+                {"subject": "external_match_id", "fetched_at": "created_at"}
+            )
+            # Several snapshots of one match in a batch: the last one counts.
+            cards = resolve_repeats(
+                cards.select("external_match_id", "created_at", "body"), ["external_match_id"],
+                lambda rows: last_per_key(rows, ["external_match_id"], ["created_at"]),
+            )
+            keep = ("external_match_id", "created_at")
+            append_batch(scorecard_batting(cards, keep=keep), root, "batting_stats", feed, batch_id)
+            append_batch(scorecard_bowling(cards, keep=keep), root, "bowling_stats", feed, batch_id)
+            append_batch(scorecard_innings(cards, keep=keep), root, "innings", feed, batch_id)
+        matches.unpersist()
 
     writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return _trigger(writer, every).start()

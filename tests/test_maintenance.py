@@ -75,3 +75,22 @@ def test_enrich_and_profile(spark):
     assert status["e"].is_empty and not status["p"].is_empty and status["e"].database_state == "has data"
     empty = quality.table_status({"e": players.limit(0)}).first()
     assert empty.database_state == "all empty"
+
+
+def test_resolve_repeats_touches_repeated_keys_only(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), (None, 9, "w"), ("c", None, None), ("d", 1, "p"), ("d", 1, "p")],
+        "k string, s int, v string")
+    given = []
+
+    def newest(rows):
+        given.append(sorted(r.k for r in rows.collect()))
+        return m.last_per_key(rows, ["k"], ["s"])
+
+    want = rows(m.last_per_key(df, ["k"], ["s"]))
+    out = m.resolve_repeats(df, ["k"], newest)
+    assert rows(out) == want and given == [["a", "a", "d", "d"]]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr("pavilion.operators.maintenance.MANY_KEYS", 1)
+    assert rows(m.resolve_repeats(df, ["k"], newest)) == want and len(given[1]) == 6

@@ -170,3 +170,31 @@ def test_updates_are_merged_and_old_batches_not_read_again(spark, tmp_path):
     assert read() == expected and spark.read.parquet(f"{path}/merges").count() == 3
     update(50, [(0, 2, "older than what is known"), (1, 50, "new")])
     assert read() == expected | {1: "new"}
+
+
+def test_landed_and_staged_snapshots_are_compressed(spark, tmp_path):
+    """Bodies are written compressed, landed and for the batch at hand, and no batch is kept in memory or on local disks."""
+    root = str(tmp_path)
+    first, later = "2024-01-01 10:00:00", "2024-01-01 12:00:00"
+    land(spark, f"{root}/landed", [
+        ("scard", "1", first, card(10)), ("scard", "1", later, card(20)), ("scard", "2", first, card(30)),
+        ("live", None, first, match(1, "X won by 5 runs"))])
+    files = [str(f) for f in tmp_path.glob("landed/**/*.json*") if not f.name.startswith(".")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    seen = []
+    keep = follow.append_batch
+
+    def watched(*args):
+        seen.append(spark.sparkContext._jsc.getPersistentRDDs().size() - cached)
+        keep(*args)
+
+    follow.append_batch = watched
+    try:
+        follow.sync_stream(follow.stream_snapshots(spark, f"{root}/landed"), f"{root}/t", f"{root}/c").awaitTermination()
+    finally:
+        follow.append_batch = keep
+    assert max(seen) <= 1  # the few columns of the matches
+    assert list(tmp_path.glob("c-batch/*.zstd.parquet"))
+    runs = {r.external_match_id: r.runs for r in tables.read_table(spark, f"{root}/t", "batting_stats").collect()}
+    assert runs == {"1": 20, "2": 30}
