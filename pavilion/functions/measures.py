@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 FIXED_SCALE = 100_000_000
 _LARGEST = 10.0**10  # rates beyond are no rates
@@ -110,6 +110,15 @@ def rate_of(col: str) -> list[Measure]:
     return [total(f"{col}_sum", fixed(F.col(col))), counted(f"{col}_n", F.col(col))]
 
 
+def new_match(*keys: str, match: str = "match_id") -> Column:
+    """1 on one row of each match of the keys, else 0: its sum counts matches without a hash table of them.
+
+    The rows are sorted by match and keys, which can spill; after a join by match they need no further shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(match, *keys).orderBy(match))
+    return flag(place == 1)
+
+
 def flag(cond: Column) -> Column:
     """1 when the condition is true, 0 when false or unknown."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pavilion.functions.measures import (
-    fixed_mean2, fixed_value, flag, half_up, largest, mean, mean2, mean_of, percent, rate_of, rows, total,
+    fixed_mean2, fixed_value, flag, half_up, largest, mean, mean2, mean_of, new_match, percent, rate_of, rows, total,
 )
 from pavilion.functions.values import from_year, or_na, playing_style
 from pavilion.operators.ranking import leaderboard, ranked
@@ -202,12 +202,9 @@ def bowling_career(t: Star, *extra: str, facts: DataFrame | None = None) -> Data
     """Career bowling per player: wickets, matches, average (runs per wicket), economy (mean of innings economies)."""
     facts = t.bowling("match_id", "wickets", "runs_conceded", "economy") if facts is None else facts
     measures = [total("wickets_taken", F.col("wickets")), total("_runs", F.col("runs_conceded")), *rate_of("economy")]
-    per = (
-        facts.groupBy("player_id", *extra, "match_id")
-        .agg(*[m.partial() for m in measures])
-        .groupBy("player_id", *extra)
-        .agg(F.count(F.lit(1)).alias("matches_played"), *[m.merge() for m in measures])
-    )
+    facts = facts.withColumn("_new_match", new_match("player_id", *extra))
+    per = facts.groupBy("player_id", *extra).agg(
+        F.sum("_new_match").alias("matches_played"), *[m.partial() for m in measures])
     return t.named(per).select(
         "player_id", "player_name", *extra, "wickets_taken", "matches_played",
         half_up(F.col("_runs"), F.col("wickets_taken")).alias("bowling_average"),

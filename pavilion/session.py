@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every plan in this package relies on. Skewed join sides are split by
-# AQE even where that costs one more shuffle of the (smaller) result.
+# AQE even where that costs one more shuffle of the (smaller) result. Shuffled
+# facts are small beside what a task needs to sort and sum them.
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
