@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pavilion.functions.measures import (
-    FIXED_SCALE, fixed_mean, flag, mean, mean_of, percent, rate_of, rows, total,
+    FIXED_SCALE, fixed_mean, flag, mean, mean_of, new_match, percent, rate_of, rows, total,
 )
 from pavilion.functions.values import from_year, safe_int
 from pavilion.operators.ranking import ranked
@@ -218,9 +218,9 @@ def bowlers_at_venues(t: Star, *, min_overs: int = 4, min_matches: int = 3) -> D
     spells = t.bowling_at("player_id", "overs", "economy", "wickets", at=["venue_id"]).where(F.col("overs") >= min_overs)
     measures = [*rate_of("economy"), total("total_wickets", F.col("wickets"))]
     per = (
-        spells.groupBy("player_id", "venue_id", "match_id").agg(*[m.partial() for m in measures])
+        spells.withColumn("_new_match", new_match("player_id", "venue_id"))
         .groupBy("player_id", "venue_id")
-        .agg(F.count(F.lit(1)).alias("matches_at_venue"), *[m.merge() for m in measures])
+        .agg(F.sum("_new_match").alias("matches_at_venue"), *[m.partial() for m in measures])
         .where(F.col("matches_at_venue") >= min_matches)
     )
     return (
@@ -304,8 +304,8 @@ def limited_overs_economy(
     measures = [*rate_of("economy"), *rate_of("overs"), total("total_wickets", F.col("wickets"))]
     per = (
         spells.where(F.col("match_format").isin(*formats))
-        .groupBy("player_id", "match_id").agg(*[x.partial() for x in measures])
-        .groupBy("player_id").agg(F.count(F.lit(1)).alias("matches"), *[x.merge() for x in measures])
+        .withColumn("_new_match", new_match("player_id"))
+        .groupBy("player_id").agg(F.sum("_new_match").alias("matches"), *[x.partial() for x in measures])
         .where((F.col("matches") >= min_matches)
                & (F.col("overs_sum") >= F.col("overs_n") * (min_overs * FIXED_SCALE)))
     )
