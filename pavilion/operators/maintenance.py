@@ -53,8 +53,8 @@ def resolve_repeats(
     if again.count() > MANY_KEYS:
         return resolve(df)
     again = F.broadcast(again)
-    once = df.join(again, list(keys), "left_anti").select(*df.columns)
-    return once.unionByName(resolve(df.join(again, list(keys), "left_semi").select(*df.columns)))
+    resolved = resolve(df.join(again, list(keys), "left_semi").select(*df.columns))
+    return df.join(again, list(keys), "left_anti").select(*resolved.columns).unionByName(resolved)
 
 
 def upsert(

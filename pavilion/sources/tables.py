@@ -15,10 +15,12 @@ matches that newer batches touch take these columns from the match again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructType, TimestampNTZType
 
-from pavilion.operators.maintenance import first_per_key, last_per_key
+from pavilion.operators.maintenance import first_per_key, last_per_key, resolve_repeats
 from pavilion.schemas import FACTS, MATCH_KEY, PLACE_FIELDS, PLACED, RULES, SCHEMAS
 
 SNAPSHOT = "compacted"
@@ -59,7 +61,8 @@ def append_batch(df: DataFrame, root: str, name: str, feed: str, batch_id: int)
     cols = [
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
     ]
-    df.select(*cols).write.mode("overwrite").parquet(f"{root}/{name}/feed={feed}/batch_id={batch_id}")
+    df.select(*cols).write.mode("overwrite").parquet(
+        f"{root}/{name}/feed={feed}/batch_id={batch_id}", compression="zstd")
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -84,17 +87,46 @@ def _resolved(log: DataFrame, name: str) -> DataFrame:
     return marked.join(newest, keys).where("_mark = _newest").select(*columns)
 
 
+def _mark() -> Column:
+    """When a log row was written, as ``_resolved`` orders whole groups."""
+    return F.struct(F.coalesce(_WRITTEN, "created_at").alias(_WRITTEN), "batch_id", "feed")
+
+
+def written_once(log: DataFrame) -> bool:
+    """Whether all rows of a log are of one write: then every group of rows is whole and current. Reads the marks only."""
+    return log.agg(F.min(_mark()).eqNullSafe(F.max(_mark())).alias("one")).first()[0]
+
+
+def _as_written(log: DataFrame, name: str) -> DataFrame:
+    """Current rows of a log of whole groups that was ``written_once``."""
+    log = log.dropna(subset=list(RULES[name].keys))
+    return log.withColumn(_WRITTEN, F.coalesce(_WRITTEN, "created_at")).select(*_columns(name))
+
+
+def _resolved_by_key(log: DataFrame, name: str) -> DataFrame:
+    """``_resolved`` for a log read as a whole. Looks at marks and keys first, so that only rows of keys that were
+    written again are shuffled."""
+    rule = RULES[name]
+    if rule.keep == "whole" and written_once(log):
+        return _as_written(log, name)
+    repeated = F.min(_mark()) < F.max(_mark()) if rule.keep == "whole" else None
+    log = log.withColumn(_WRITTEN, F.coalesce(_WRITTEN, "created_at"))
+    return resolve_repeats(log, rule.keys, lambda rows: _resolved(rows, name), repeated)
+
+
 def _parts(log: DataFrame) -> tuple[bool, bool]:
     """Whether the log has a snapshot, and whether it has newer batches."""
     in_snapshot = [f"/feed={SNAPSHOT}/" in f for f in log.inputFiles()]
     return any(in_snapshot), not all(in_snapshot)
 
 
-def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
+def _current(
+    spark: SparkSession, root: str, name: str, resolve: Callable[[DataFrame, str], DataFrame] = _resolved
+) -> DataFrame:
     log = read_log(spark, root, name)
     has_snapshot, has_newer = _parts(log)
     if not has_snapshot:
-        return _resolved(log, name)
+        return resolve(log, name)
     columns = _columns(name)
     snapshot = log.where(F.col("feed") == SNAPSHOT)
     if not has_newer:
@@ -105,9 +137,12 @@ def _current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return snapshot.join(touched, keys, "left_anti").select(*columns).unionByName(_resolved(changed, name))
 
 
-def current_of(log: DataFrame, name: str) -> DataFrame:
-    """Current rows as part of a log tells them: all log rows of some keys, or those up to some batch."""
-    return _resolved(log, name).select(*SCHEMAS[name].fieldNames())
+def current_of(log: DataFrame, name: str, once: bool = False) -> DataFrame:
+    """Current rows as part of a log tells them: all log rows of some keys, or those up to some batch.
+
+    ``once``: the part is known to be ``written_once``.
+    """
+    return (_as_written if once else _resolved)(log, name).select(*SCHEMAS[name].fieldNames())
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -156,9 +191,10 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
     written. Facts without a start lie by match and player, so they spread too.
     """
     for name in sorted(SCHEMAS, key=lambda n: n in FACTS):
-        rows = _current(spark, root, name)
+        rows = _current(spark, root, name, _resolved_by_key)
         if name in FACTS:
-            games = _games(spark, new_root).withColumn("_placed", F.lit(True))
+            # All matches: their files are much smaller than their rows, so the size of these must not make a broadcast.
+            games = _games(spark, new_root).withColumn("_placed", F.lit(True)).hint("merge")
             rows = rows.drop(*[f.name for f in PLACE_FIELDS]).join(games, MATCH_KEY, "left").na.fill(False, ["_placed"])
             rows = rows.repartitionByRange("start_date", MATCH_KEY, "player_name").sortWithinPartitions("start_date", MATCH_KEY)
         rows.select(*_columns(name)).write.mode("overwrite").parquet(f"{new_root}/{name}/feed={SNAPSHOT}/batch_id=0")

@@ -105,3 +105,39 @@ def test_empty_tables(spark, tmp_path):
     tables.ensure_tables(spark, log)
     tables.compact(spark, log, new)
     assert placed(spark, new) == [] and tables.read_placed(spark, new, "bowling_stats").count() == 0
+
+
+def test_only_keys_written_again_are_resolved(spark, tmp_path):
+    """Looking at marks and keys first gives the same rows; facts of one write meet no shuffle, others only where repeated."""
+    root = str(tmp_path)
+    day = lambda d: F.lit(f"2024-01-0{d}").cast("timestamp_ntz")
+    facts = spark.createDataFrame(
+        [("1", "a", "P", 1), ("1", "a", "Q", 2), ("1", "a", "Q", 2), ("2", "a", "P", 3), (None, "a", "P", 4), ("3", None, "P", 5)],
+        "external_match_id string, innings_id string, player_name string, runs long")
+    games = spark.createDataFrame([("1", "T20"), ("2", "ODI"), (None, "ODI")], "external_match_id string, match_format string")
+    shuffled = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    rows = lambda df: sorted(map(str, df.collect()))
+
+    def same(name):
+        log = tables.read_log(spark, root, name)
+        out, plain = tables._resolved_by_key(log, name), tables._resolved(log, name)
+        assert rows(out) == rows(plain.select(*out.columns)) and rows(out)
+        return out
+
+    tables.append_batch(facts, root, "batting_stats", "live", 1)
+    assert tables.written_once(tables.read_log(spark, root, "batting_stats"))
+    assert shuffled(same("batting_stats")) == 0
+    tables.append_batch(games, root, "matches", "live", 1)
+    same("matches")
+    again = facts.where("external_match_id = '1'").withColumn("created_at", day(2))
+    tables.append_batch(again.withColumn("runs", F.lit(9)), root, "batting_stats", "live", 2)
+    assert not tables.written_once(tables.read_log(spark, root, "batting_stats"))
+    same("batting_stats")
+    tables.append_batch(games.where("external_match_id = '1'").withColumn("created_at", day(1)), root, "matches", "live", 2)
+    tables.append_batch(games.withColumn("created_at", day(3)).withColumn("match_format", F.lit("Test")), root, "matches", "x", 3)
+    same("matches")
+    for name, key in (("players", "external_player_id"), ("venues", "venue_name"), ("teams", "external_team_id")):
+        for batch in (1, 2):
+            some = spark.createDataFrame([("k",), ("k",), (f"only{batch}",), (None,)], f"{key} string")
+            tables.append_batch(some.withColumn("created_at", day(3 - batch)), root, name, "live", batch)
+        same(name)
