@@ -13,9 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pavilion.functions.measures import fixed_mean2, flag, half_up, mean_of, percent, rate_of, rows, total
+from pavilion.functions.measures import fixed_mean2, flag, half_up, mean_of, new_match, percent, rate_of, rows, total
 from pavilion.schemas import MATCH_KEY
-from pavilion.sources.tables import current_of, path_exists, read_log
+from pavilion.sources.tables import current_of, path_exists, read_log, written_once
 
 TABLES = {"batting": "batting_stats", "bowling": "bowling_stats"}
 _NOTE = "version long, feed string, batch_id long"
@@ -34,8 +34,8 @@ def _sums(facts: DataFrame, kind: str, back: bool) -> DataFrame:
     if kind == "batting":
         out = facts.groupBy("player_name").agg(*[m.partial() for m in parts])
     else:
-        per_match = facts.groupBy("player_name", MATCH_KEY).agg(*[m.partial() for m in parts])
-        out = per_match.groupBy("player_name").agg(F.count(F.lit(1)).alias("matches"), *[m.merge() for m in parts])
+        marked = facts.withColumn("_new_match", new_match("player_name", match=MATCH_KEY))
+        out = marked.groupBy("player_name").agg(F.sum("_new_match").alias("matches"), *[m.partial() for m in parts])
     return out.select("player_name", *[F.negative(c).alias(c) if back else c for c in out.columns[1:]])
 
 
@@ -68,9 +68,10 @@ def _refresh(spark: SparkSession, root: str, store: str, kind: str) -> int:
         known = known | ((F.col("feed") == feed) & (F.col("batch_id") <= b))
     touched = log.where(~known).select(MATCH_KEY).distinct()
     part = log.join(touched, MATCH_KEY, "left_semi") if version else log
-    sums = _sums(current_of(part, TABLES[kind]), kind, back=False)
+    sums = _sums(current_of(part, TABLES[kind], written_once(log)), kind, back=False)
     if version:
-        sums = sums.unionByName(_sums(current_of(part.where(known), TABLES[kind]), kind, back=True))
+        before = current_of(part.where(known), TABLES[kind], written_once(log.where(known)))
+        sums = sums.unionByName(_sums(before, kind, back=True))
         sums = sums.unionByName(spark.read.parquet(f"{store}/{kind}/version={version}"))
     merged = sums.groupBy("player_name").agg(*[
         F.sum(c).cast("decimal(38,0)" if c == "economy_sum" else "long").alias(c) for c in sums.columns[1:]])
