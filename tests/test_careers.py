@@ -41,3 +41,23 @@ def test_careers_follow_the_syncs(spark, tmp_path):
     sync(3, [("5", "1", "C", 1, 1, "b X")], [])
     careers.refresh(spark, root, store)
     assert "999" not in repr(kept()[0]) and len(kept()[0]) == len(before[0]) + 1 and kept()[1] == before[1]
+
+
+def test_one_write_is_summed_without_resolving(spark, tmp_path, monkeypatch):
+    """The first refresh, and the rows as they were before the second, need no look for the newest rows."""
+    root, store = str(tmp_path / "tables"), str(tmp_path / "store")
+    tables.ensure_tables(spark, root)
+    resolved, plain = [], tables._resolved
+    monkeypatch.setattr(tables, "_resolved", lambda log, name: resolved.append(name) or plain(log, name))
+
+    def sync(batch_id, rows):
+        at = f"2024-01-{batch_id:02d} 00:00:00"
+        df = spark.createDataFrame([(*r, at) for r in rows], BAT).coalesce(1)
+        tables.append_batch(df, root, "batting_stats", "live", batch_id)
+        careers.refresh(spark, root, store)
+        return {r.player_name: (r.runs_scored, r.innings_played) for r in careers.stored(spark, store, "batting").collect()}
+
+    assert sync(1, [("1", "1", "A", 10, 12, "b X"), ("2", "1", "A", 7, 9, "lbw"), (None, "1", "A", 99, 1, None)]) == {"A": (17, 2)}
+    assert resolved == []
+    assert sync(2, [("1", "1", "A", 11, 13, "b X"), ("3", "1", "B", 4, 4, "lbw")]) == {"A": (18, 2), "B": (4, 1)}
+    assert resolved == ["batting_stats"]
