@@ -44,7 +44,7 @@ def sync_tables(t: Star) -> DataFrame:
     snapshots.land_snapshots(squads, f"{base}/landed")
     stream = follow.stream_snapshots(t.spark, f"{base}/landed")
     _finish(follow.sync_stream(stream, f"{base}/tables", f"{base}/checkpoint"))
-    read = lambda name: tables.read_table(t.spark, f"{base}/tables", name)
+    read = lambda name: tables.read_table(t.spark, f"{base}/tables", name, whole=True)
     matches = read("matches").groupBy("match_format").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("team1").alias("names"), F.max("start_date").alias("latest")
     ).select(F.concat(F.lit("matches "), "match_format").alias("part"), "n", "names", "latest")
@@ -69,7 +69,7 @@ def sync_scorecards(t: Star) -> DataFrame:
     snapshots.land_snapshots(landed, f"{base}/landed", dealt=True)  # by the grouping per match
     stream = follow.stream_snapshots(t.spark, f"{base}/landed")
     _finish(follow.sync_stream(stream, f"{base}/tables", f"{base}/checkpoint"))
-    read = lambda name: tables.read_table(t.spark, f"{base}/tables", name)
+    read = lambda name: tables.read_table(t.spark, f"{base}/tables", name, whole=True)
     return read("batting_stats").groupBy("player_name").agg(
         F.count(F.lit(1)).alias("rows_loaded"), F.sum("runs").alias("runs"), F.max("strike_rate").alias("best_rate")
     )

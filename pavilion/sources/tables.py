@@ -145,9 +145,13 @@ def current_of(log: DataFrame, name: str, once: bool = False) -> DataFrame:
     return (_as_written if once else _resolved)(log, name).select(*SCHEMAS[name].fieldNames())
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current rows of a table."""
-    return _current(spark, root, name).select(*SCHEMAS[name].fieldNames())
+def read_table(spark: SparkSession, root: str, name: str, whole: bool = False) -> DataFrame:
+    """Current rows of a table.
+
+    ``whole``: all of them will be read, so the keys are looked at first and only rows of keys written again are shuffled.
+    """
+    resolve = _resolved_by_key if whole else _resolved
+    return _current(spark, root, name, resolve).select(*SCHEMAS[name].fieldNames())
 
 
 def _games(spark: SparkSession, root: str) -> DataFrame:

@@ -43,23 +43,26 @@ def sync_stream(
     Match feeds write series, teams, venues and matches (with winner and margin
     as the status tells them); squads write players; scorecards (optional) write
     batting, bowling and innings rows. Every write goes to the folder of its
-    batch, so a replayed batch overwrites itself. The snapshots of the batch at
-    hand lie compressed beside the checkpoint, as they are read once per kind.
+    batch, so a replayed batch overwrites itself. What is read several times of
+    the batch at hand lies compressed beside the checkpoint: the rows of its
+    matches, and its other snapshots.
     """
     spark = snapshots.sparkSession
-    staged = f"{checkpoint.rstrip('/')}-batch"
     ensure_tables(spark, root)
 
+    def staged(rows: DataFrame, label: str) -> DataFrame:
+        path = f"{checkpoint.rstrip('/')}-{label}"
+        rows.write.mode("overwrite").parquet(path, compression="zstd")
+        return spark.read.schema(rows.schema).parquet(path)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(staged, compression="zstd")
-        batch = spark.read.schema(batch.schema).parquet(staged)
         kind = F.col("endpoint")
         flat = normalize_matches(batch.where(kind.isin(*MATCH_FEEDS)), keep=("fetched_at",))
         keep = ("fetched_at", "feed_time", "city", "country")
         matches = canonical_match(flat, keep=keep).withColumn("created_at", F.col("fetched_at"))
-        matches = matches.persist()
-        for name, rows in _dimension_rows(matches).items():
+        for name, rows in _dimension_rows(staged(matches, "matches")).items():
             append_batch(rows, root, name, feed, batch_id)
+        batch = staged(batch.where(kind.isin("squad", "match", "scard")), "batch")
         squads = batch.where(kind == "squad").withColumnsRenamed({"subject": "team_id", "fetched_at": "created_at"})
         listed = match_squads(
             batch.where(kind == "match").withColumnRenamed("fetched_at", "created_at"), keep=("created_at",))
@@ -78,14 +81,16 @@ def sync_stream(
             append_batch(scorecard_batting(cards, keep=keep), root, "batting_stats", feed, batch_id)
             append_batch(scorecard_bowling(cards, keep=keep), root, "bowling_stats", feed, batch_id)
             append_batch(scorecard_innings(cards, keep=keep), root, "innings", feed, batch_id)
-        matches.unpersist()
 
     writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return _trigger(writer, every).start()
 
 
 def _dimension_rows(matches: DataFrame) -> dict[str, DataFrame]:
-    """Table rows of one batch of canonical matches, one row per key: the latest by fetch and feed time."""
+    """Table rows of one batch of canonical matches (staged), one row per key: the latest by fetch and feed time.
+
+    Of the matches, the rows themselves, only those that came several times are shuffled.
+    """
     seq = ["fetched_at", "feed_time"]
     numeric = lambda c: F.col(c).try_cast("bigint").cast("string")
     series = matches.select(numeric("series_id").alias("external_series_id"), "series_name", "created_at", *seq)
@@ -111,7 +116,7 @@ def _dimension_rows(matches: DataFrame) -> dict[str, DataFrame]:
         "venues": first_per_key(venues, ["venue_name"], ["created_at"]),
         "series": last_per_key(series, ["external_series_id"], seq),
         "teams": last_per_key(sides, ["external_team_id"], seq),
-        "matches": last_per_key(games, ["external_match_id"], seq),
+        "matches": resolve_repeats(games, ["external_match_id"], lambda rows: last_per_key(rows, ["external_match_id"], seq)),
     }
 
 

@@ -198,3 +198,38 @@ def test_landed_and_staged_snapshots_are_compressed(spark, tmp_path):
     assert list(tmp_path.glob("c-batch/*.zstd.parquet"))
     runs = {r.external_match_id: r.runs for r in tables.read_table(spark, f"{root}/t", "batting_stats").collect()}
     assert runs == {"1": 20, "2": 30}
+
+
+def test_only_matches_sent_again_are_resolved(spark, tmp_path, monkeypatch):
+    """Writing and reading the matches of a sync orders the rows of repeated ids only, and caches nothing."""
+    landed, root, cp = (str(tmp_path / x) for x in ("landed", "tables", "checkpoint"))
+    first, later, last = (f"2024-01-01 {h}:00:00" for h in (10, 11, 12))
+    written, read, cached = [], [], []
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ids = lambda rows: sorted(r.external_match_id for r in rows.select("external_match_id").collect())
+    last_per_key, append_batch, resolved = follow.last_per_key, follow.append_batch, tables._resolved
+
+    def ordered(rows, keys, seq):
+        if keys == ["external_match_id"] and "status" in rows.columns:
+            written.append(ids(rows))
+        return last_per_key(rows, keys, seq)
+
+    def appended(*args):
+        cached.append(spark.sparkContext._jsc.getPersistentRDDs().size() - before)
+        append_batch(*args)
+
+    monkeypatch.setattr(follow, "last_per_key", ordered)
+    monkeypatch.setattr(follow, "append_batch", appended)
+
+    def sync(rows):
+        land(spark, landed, rows)
+        follow.sync_stream(follow.stream_snapshots(spark, landed), root, cp).awaitTermination()
+
+    sync([("live", None, first, match(i, "Preview")) for i in (1, 2, 3, None)] + [("recent", None, later, match(1, "X won by 2 runs"))])
+    sync([("live", None, last, match(i, "Match tied")) for i in (2, 4)])
+    assert written == [["1", "1"], []] and max(cached) == 0
+    monkeypatch.setattr(tables, "_resolved", lambda log, name: read.append(ids(log)) or resolved(log, name))
+    whole = {r.external_match_id: (r.status, str(r.created_at)) for r in tables.read_table(spark, root, "matches", whole=True).collect()}
+    assert read == [["2", "2"]]
+    assert whole == {"1": ("X won by 2 runs", later), "2": ("Match tied", first), "3": ("Preview", first), "4": ("Match tied", last)}
+    assert sorted(tables.read_table(spark, root, "matches", whole=True).collect()) == sorted(tables.read_table(spark, root, "matches").collect())
