@@ -206,7 +206,7 @@ def test_only_matches_sent_again_are_resolved(spark, tmp_path, monkeypatch):
     first, later, last = (f"2024-01-01 {h}:00:00" for h in (10, 11, 12))
     written, read, cached = [], [], []
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
-    ids = lambda rows: sorted(r.external_match_id for r in rows.select("external_match_id").collect())
+    ids = lambda rows: sorted((r.external_match_id for r in rows.select("external_match_id").collect()), key=str)
     last_per_key, append_batch, resolved = follow.last_per_key, follow.append_batch, tables._resolved
 
     def ordered(rows, keys, seq):
