@@ -226,3 +226,21 @@ def test_a_scorecard_is_parsed_once(spark):
     for plan in plans:
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("from_json(") == 1 and "get_json_object" not in text
+
+
+def test_entries_with_meta_are_read_with_their_document(spark):
+    """No filter reads entries again; parts of another shape and fields given twice come out as from each entry by itself."""
+    mixed = {"scorecard": [{"inningsid": "1", "batsman": [3, {"name": "A", "runs": 4, "k": [1.50, None]}, "x", [], '{"name": "T"}', None, {"name": "B", "r": 7}],
+                            "bowler": [{"name": "W", "wickets": 2}]}, None, {"batting": [{"name": "C"}]}]}
+    twice = '{"innings": [{"batsman": [{"name": "E", "runs": 1, "runs": "9", "z": 1, "z": 2}, {"name": "F", "name": null, "batsman": "G"}]}]}'
+    df = docs(spark, mixed, twice, CARD, match_id="m")
+    for read in (scorecard.scorecard_batting, scorecard.scorecard_bowling):
+        lines = read(df)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        readings = [line for line in lines if "Filter" in line and "from_json(" in line]
+        assert all("CASE WHEN _twice" in line for line in readings)  # only entries with a field given twice
+    df = docs(spark, mixed, twice, match_id="m")
+    rows = sorted(tuple(r) for r in scorecard.scorecard_batting(df).select("innings_id", "player_name", "batting_position", "runs", "meta").collect())
+    assert rows == [
+        ("1", "A", 2, 4, '{"k":"[1.5,null]"}'), ("1", "B", 7, 7, '{"r":"7"}'), ("1", "E", 1, 9, '{"z":"1","z":"2"}'),
+        ("1", "G", 2, None, '{"batsman":"G"}'), ("1", "T", 5, None, "{}"), ("3", "C", 1, None, "{}")]
+    assert [(r.player_name, r.wickets) for r in scorecard.scorecard_bowling(df).collect()] == [("W", 2)]
